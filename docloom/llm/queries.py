@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import packing, sharding
+from docloom.llm import decontaminate, language, licenses, lines, packing, quality, sharding, simhash, substrings, vptree
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,13 +25,56 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "old_shard")
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality.train(docs, table(spark, sf_dir, "labels").filter(language.learnable()), "quality")
+    scored = quality.score(docs.select("doc_id", "text"), model)
+    return scored.select("doc_id", language.is_held_out().alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_size")
+
+
+def op5_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return vptree.nearest(vectors, vectors.filter("vec_id % 50 = 0"), k=5)
+
+
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language.train(docs.filter(language.learnable()))
+    found = language.identify(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", language.is_held_out().alias("held_out"), "lang_pred", "score", "rejected")
+
+
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = lines.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return done.filter("text is not null").select("doc_id", F.col("__dl_lines").alias("n_lines"), F.col("__dl_removed").alias("n_removed"), "text")
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), word_tokenizer())
 
 
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(table(spark, sf_dir, "documents"))
+
+
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.remove_repeats(table(spark, sf_dir, "documents"), with_text=False)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_sharding": op1_sharding, "op8_packing": op8_packing}
+    return {
+        f.__name__: f
+        for f in (op1_sharding, op2_decontamination, op3_quality, op4_near_duplicates, op5_nearest, op6_language, op7_line_dedup, op8_packing, op9_license_scan, op10_substring_dedup)
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_decontamination": decontaminate.SQL, "op7_line_dedup": lines.SQL, "op9_license_scan": licenses.SQL}
