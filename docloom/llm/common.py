@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -59,9 +60,21 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/docloom/{name}-{uuid.uuid4().hex}"
     _TABLES.append((spark, path))
     df.write.option("compression", "zstd").parquet(path)
+    # Shuffle files of the jobs behind the table are of no more use; they go once the driver has collected what refers to them.
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows that may be broadcast where their number has been counted: at about 40 bytes each, some tens of megabytes.
+MAX_BROADCAST_ROWS = 1_000_000
+
+
+def maybe_broadcast(df: DataFrame, rows: int) -> DataFrame:
+    """df, to be broadcast if its counted rows are few enough, else left to a shuffle join."""
+    return F.broadcast(df) if rows <= MAX_BROADCAST_ROWS else df
+
+
 def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of all rows and the len(column) + 1 offsets of the rows in them; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):

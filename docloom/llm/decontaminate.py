@@ -16,14 +16,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import materialize
+from docloom.llm.common import materialize, maybe_broadcast
 from docloom.llm.lines import _keys, bind
 
 SPAN = 8
 MASKS = ((0, 1, 3, 5, 6, 7), (0, 1, 2, 3, 6, 7))
 WORDS, AGREE = 13, 0.8
-#: Rows that may be broadcast: at about 40 bytes each, some tens of megabytes.
-MAX_BROADCAST_ROWS = 1_000_000
 
 
 def word_hashes(text: Column) -> Column:
@@ -49,11 +47,6 @@ def _seed_rows(texts: DataFrame, ids: list[str], masks: tuple, span: int) -> Dat
     return both.select(*ids, "seed", (F.col("number") % F.col("places")).alias("place"))
 
 
-def _maybe_broadcast(df: DataFrame, rows: int) -> DataFrame:
-    """df, to be broadcast if its counted rows are few enough, else left to a shuffle join."""
-    return F.broadcast(df) if rows <= MAX_BROADCAST_ROWS else df
-
-
 def best_run(agree: Column, width: Column) -> Column:
     """The most 1s in any `width` neighbours of an array of 0 and 1."""
 
@@ -76,15 +69,15 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
     found = None
     for masks, span, part in plans:
         known = materialize(_seed_rows(part, ["item_key"], masks, span).withColumnRenamed("place", "item_place").distinct(), "seeds")
-        hits = _seed_rows(texts, keys, masks, span).join(_maybe_broadcast(known, known.count()), "seed")
+        hits = _seed_rows(texts, keys, masks, span).join(maybe_broadcast(known, known.count()), "seed")
         hits = hits.select(*keys, "item_key", (F.col("place") - F.col("item_place")).alias("diagonal"))
         found = hits if found is None else found.unionByName(hits)
     found = materialize(found.distinct(), "hits")
     wanted = found.groupBy(*keys).agg(F.collect_list(F.struct("item_key", "diagonal")).alias("found"))
     wanted = materialize(wanted, "wanted")
-    held = docs.select(F.col(id_col).alias("id"), *_keys(id_col, text_col), F.col(text_col).alias("text")).join(_maybe_broadcast(wanted, found.count()), keys)
+    held = docs.select(F.col(id_col).alias("id"), *_keys(id_col, text_col), F.col(text_col).alias("text")).join(maybe_broadcast(wanted, found.count()), keys)
     held = held.select("id", *keys, word_hashes(F.col("text")).alias("doc_words"), "found").select("id", *keys, "doc_words", F.explode("found").alias("f"))
-    met = held.select("id", *keys, "doc_words", "f.item_key", "f.diagonal").join(_maybe_broadcast(items, items.count()), "item_key")
+    met = held.select("id", *keys, "doc_words", "f.item_key", "f.diagonal").join(maybe_broadcast(items, items.count()), "item_key")
     width = F.least(F.lit(words), F.size("words"))
 
     def same(w: Column, k: Column) -> Column:
@@ -108,7 +101,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_
     """docs without those that hold a benchmark item."""
     bad = materialize(overlaps(docs, benchmark, id_col, text_col, **options).select("__dl_k1", "__dl_k2").distinct(), "contaminated")
     keyed = docs.select(*[F.col(c) for c in docs.columns], *_keys(id_col, text_col))
-    return keyed.join(_maybe_broadcast(bad, bad.count()), ["__dl_k1", "__dl_k2"], "left_anti").select(*docs.columns)
+    return keyed.join(maybe_broadcast(bad, bad.count()), ["__dl_k1", "__dl_k2"], "left_anti").select(*docs.columns)
 
 
 def _sql() -> str:

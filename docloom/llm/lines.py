@@ -17,7 +17,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import materialize
+from docloom.llm.common import materialize, maybe_broadcast
 
 WINDOW, DIVISOR, MIN_LINES = 2, 3, 2
 
@@ -70,12 +70,12 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     each = each.select("id", *keys, "c.first", "c.lines", F.col("c.text").alias("text")).filter((F.col("lines") >= min_lines) & F.col("text").rlike("\\S"))
     each = each.withColumn("h", F.xxhash64("text"))
     twice = materialize(each.groupBy("h").count().filter("count > 1").select("h"), "hashes")
-    seen = materialize(each.join(twice, "h"), "seen")
+    seen = materialize(each.join(maybe_broadcast(twice, twice.count()), "h"), "seen")
     place = F.struct("id", *keys, "first")
     first = seen.groupBy("h", "text").agg(F.min(place).alias("kept"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     gone = seen.join(first.select("h", "text", "kept"), ["h", "text"]).filter(~place.eqNullSafe(F.col("kept")))
     gone = materialize(gone.groupBy(*keys).agg(F.collect_set("first").alias("__dl_gone")), "removed")
-    keyed = docs.select(*[F.col(c) for c in docs.columns], *_keys(id_col, text_col)).join(gone, keys, "left")
+    keyed = docs.select(*[F.col(c) for c in docs.columns], *_keys(id_col, text_col)).join(maybe_broadcast(gone, gone.count()), keys, "left")
     out = "__dl_out"
 
     def rest(parts: Column) -> Column:
