@@ -44,7 +44,7 @@ def decode(files: DataFrame, decoder: Decoder) -> DataFrame:
                 except Exception as e:
                     rows = [{"path": path, "error": f"E_PARSE_CORRUPT: {type(e).__name__}"}]
                 if rows:
-                    yield pd.DataFrame(rows, columns=["path", "error", *fields])
+                    yield pd.DataFrame(rows, columns=["path", "error", *fields], dtype=object)
 
     return files.select("path", "content").mapInPandas(run, f"path string, error string, {decoder.schema}")
 

@@ -22,7 +22,7 @@ MB = 1 << 20
 
 
 def read_files(spark: SparkSession, path: str, version: str = "1", tenant: str | None = None) -> DataFrame:
-    """path, length, content, content_hash, format and ingest_key of the files under a path."""
+    """path, length, content, content_hash, format and ingest_key of the files under a path. Spark's scan leaves out files of no bytes."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     hashed = files.select("path", "length", "content", content_hash(F.col("content")).alias("content_hash"), file_format(F.col("path")).alias("format"))
     return hashed.withColumn("ingest_key", ingest_key(F.col("content_hash"), F.col("path"), F.lit(version), F.lit(tenant)))

