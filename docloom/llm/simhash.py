@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import gram_hashes, materialize, mix, row_slices, text_buffers, words
+from docloom.llm.common import gram_hashes, materialize, maybe_broadcast, mix, row_slices, text_buffers, words
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -186,8 +186,8 @@ def candidates(nodes: DataFrame, similarity: float, bucket: int, cap: int, recal
 
 def verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     """The pairs whose texts' shingle sets have that Jaccard similarity. texts: node, text, repeated nodes allowed."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    sets = texts.join(wanted, "node").mapInArrow(_sets, "node string, set binary").dropDuplicates(["node"])
+    wanted = materialize(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "wanted")
+    sets = texts.join(maybe_broadcast(wanted, wanted.count()), "node").mapInArrow(_sets, "node string, set binary").dropDuplicates(["node"])
     sets = materialize(sets, "sets")
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
