@@ -4,8 +4,8 @@ A text's shingles (five lower-cased words; all words of a shorter text) give a 2
 of the fingerprint and groups texts that agree in all of them. The number of coordinates follows the number of texts, so that
 chance buckets keep their size, and the number of tables follows from it, so that a pair at the threshold meets in some table
 with probability `recall` at every size. A bucket over the cap is split by additional coordinates, in as many independent ways
-as keep that probability. Within a bucket, Hamming distances give candidate pairs, of which two edge-disjoint minimum spanning
-forests are kept: as many rows as the bucket has, however alike its texts are. Candidates are then verified by the exact
+as keep that probability. Within a bucket, Hamming distances give candidate pairs, of which FORESTS edge-disjoint minimum
+spanning forests are kept: some rows for each text of the bucket, however alike they are. Candidates are then verified by the exact
 Jaccard similarity of their shingle sets, and classes are the connected components of verified links.
 
 Equal texts are one node from the start, and texts with equal shingle sets are linked without a search, so thousands of copies
@@ -32,6 +32,8 @@ BITS = 256
 BUCKET, CAP = 2048, 16_384
 RECALL = 0.995
 EXTRA_BITS = 4
+#: Edge-disjoint spanning forests of a bucket: each text is verified against that many nearest ones at least.
+FORESTS = 5
 
 _BYTE_SIGNS = (2 * np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64) - 1)
 
@@ -117,7 +119,7 @@ def _bucket_key(seed: int, bits: int):
     return sum((F.shiftleft(F.getbit(F.col(f"f{c // 64}"), F.lit(int(c % 64))).cast("long"), i) for i, c in enumerate(chosen)), F.lit(0).cast("long"))
 
 
-def forest(prints: np.ndarray, limit: int, forests: int = 2) -> tuple[np.ndarray, np.ndarray]:
+def forest(prints: np.ndarray, limit: int, forests: int = FORESTS) -> tuple[np.ndarray, np.ndarray]:
     """Edges (i, j) of edge-disjoint minimum spanning forests over pairs with a Hamming distance of at most limit."""
     n, near = len(prints), np.zeros(len(prints), dtype=bool)
     step = max(1, (1 << 20) // max(1, n))
