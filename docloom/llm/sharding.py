@@ -209,6 +209,21 @@ def read_shard(spark: SparkSession, root: str, shard: int) -> DataFrame:
     return spark.read.parquet(*(f"{root}/{f}" for f in read_manifest(spark, root)["shards"][shard]))
 
 
+def _parting(parts: list[tuple[int, int]]):
+    def part_block(block: pd.DataFrame) -> pd.DataFrame:
+        room = [(-x, shard) for shard, x in parts]
+        heapq.heapify(room)
+        block = block.sort_values("size", ascending=False, kind="stable")
+        to = []
+        for x in block["size"]:
+            left, shard = room[0]
+            heapq.heapreplace(room, (left + int(x), shard))
+            to.append(shard)
+        return block.drop(columns=["old_shard", "size"]).assign(shard=np.array(to, dtype="int32"))
+
+    return part_block
+
+
 def rewrite_affected(spark: SparkSession, root: str, new_capacities: list[int] | int, size: str, block_rows: int = BLOCK_ROWS) -> dict:
     """Moves a sharded dataset to new capacities; size: SQL for the bytes of a row. Returns the new manifest with `rewritten`.
 
@@ -236,19 +251,8 @@ def rewrite_affected(spark: SparkSession, root: str, new_capacities: list[int] |
             continue
         columns = [c for c in frame.columns if c not in ("old_shard", "block", "size")]
 
-        def part_block(block: pd.DataFrame, parts=parts) -> pd.DataFrame:
-            room = [(-x, shard) for shard, x in parts]
-            heapq.heapify(room)
-            block = block.sort_values("size", ascending=False, kind="stable")
-            to = []
-            for x in block["size"]:
-                left, shard = room[0]
-                heapq.heapreplace(room, (left + int(x), shard))
-                to.append(shard)
-            return block.drop(columns=["old_shard", "size"]).assign(shard=np.array(to, dtype="int32"))
-
         schema = ", ".join(f"`{x.name}` {x.dataType.simpleString()}" for x in frame.schema if x.name in (*columns, "block")) + ", shard int"
-        frame.groupBy("old_shard").applyInPandas(part_block, schema).write.partitionBy("shard", "block").parquet(f"{root}/v{version}-{s}-{k}")
+        frame.groupBy("old_shard").applyInPandas(_parting(parts), schema).write.partitionBy("shard", "block").parquet(f"{root}/v{version}-{s}-{k}")
         rewritten.append(f)
         for shard, _, folder in _block_folders(spark, root, f"v{version}-{s}-{k}"):
             shards[shard].append(folder)
