@@ -54,15 +54,20 @@ def drop_scratch_tables() -> None:
         _delete(*_TABLES.pop())
 
 
+def release_shuffles(spark: SparkSession) -> None:
+    """Lets Spark delete shuffle files that no job needs any more: it does so once the driver has collected what refers to them."""
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(10_000)  # events refer to plans
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Writes df to the shared folder and reads it again: lineage ends here, and a lost executor costs no recomputation."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/docloom/{name}-{uuid.uuid4().hex}"
     _TABLES.append((spark, path))
     df.write.option("compression", "zstd").parquet(path)
-    # Shuffle files of the jobs behind the table are of no more use; they go once the driver has collected what refers to them.
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    release_shuffles(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 
