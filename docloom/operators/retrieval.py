@@ -62,7 +62,7 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))
 
 
-def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, most_queries: int = 1000) -> DataFrame:
+def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, most_queries: int = 20_000) -> DataFrame:
     """The k nearest vectors of each query by cosine. queries: query_id, query, a set of at most most_queries rows.
 
     The queries are few by contract and checked, so they are broadcast; only each task's k best per query are shuffled on.

@@ -28,8 +28,8 @@ def s4_form_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 GRID = """g AS (SELECT vec_id, list_transform(embedding, lambda x: CASE WHEN abs(x) < 0.05 THEN 0 WHEN abs(x) < 0.25 THEN 1 WHEN abs(x) < 0.6 THEN 2 ELSE 3 END) AS grid FROM embeddings),
-  d AS (SELECT vec_id // 3 AS doc, vec_id % 3 AS page, CASE WHEN vec_id // 3 % 2 = 0 THEN 'pdf' ELSE 'image' END AS format, grid FROM g WHERE vec_id < 300),
-  t AS (SELECT (vec_id - 300) // 2 AS template, 1 AS version, (vec_id - 300) % 2 AS page, CASE WHEN (vec_id - 300) // 2 % 3 = 0 THEN 'pdf' ELSE 'image' END AS format, grid FROM g WHERE vec_id >= 300 AND vec_id < 340),
+  d AS (SELECT vec_id // 3 AS doc, vec_id % 3 AS page, CASE WHEN vec_id // 3 % 2 = 0 THEN 'pdf' ELSE 'image' END AS format, grid FROM g),
+  t AS (SELECT doc AS template, 1 AS version, page, format, grid FROM d WHERE doc % 25 < 2 AND page < 2),
   sim AS (SELECT d.doc, t.template, t.version, d.page - t.page AS start, list_sum(list_transform(list_zip(d.grid, t.grid), lambda z: CASE WHEN z[1] = z[2] THEN 1.0 WHEN abs(z[1] - z[2]) = 1 THEN 0.5 ELSE 0.0 END))::DOUBLE / len(d.grid) AS s,
     dn.n AS d_n, tn.n AS t_n FROM d JOIN t USING (format) JOIN (SELECT doc, count(*) AS n FROM d GROUP BY 1) dn ON dn.doc = d.doc JOIN (SELECT template, count(*) AS n FROM t GROUP BY 1) tn ON tn.template = t.template
     WHERE dn.n >= tn.n AND d.page >= t.page AND d.page - t.page <= dn.n - tn.n),
@@ -39,9 +39,10 @@ GRID = """g AS (SELECT vec_id, list_transform(embedding, lambda x: CASE WHEN abs
 
 def grids(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     g = table(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda x: text.fill_level(F.abs(x))).alias("grid"))
-    d = g.filter("vec_id < 300").select(F.expr("vec_id div 3 AS doc"), F.expr("vec_id % 3 AS page"), F.expr("CASE WHEN vec_id div 3 % 2 = 0 THEN 'pdf' ELSE 'image' END AS format"), "grid")
-    t = g.filter("vec_id >= 300 and vec_id < 340").withColumn("v", F.col("vec_id") - 300)
-    return d, t.select(F.expr("v div 2 AS template"), F.lit(1).alias("version"), F.expr("v % 2 AS page"), F.expr("CASE WHEN v div 2 % 3 = 0 THEN 'pdf' ELSE 'image' END AS format"), "grid")
+    d = g.select(F.expr("vec_id div 3 AS doc"), F.expr("vec_id % 3 AS page"), F.expr("CASE WHEN vec_id div 3 % 2 = 0 THEN 'pdf' ELSE 'image' END AS format"), "grid")
+    # Every vector is a document's page; the first two pages of some documents are the templates.
+    t = d.filter("doc % 25 < 2 and page < 2")
+    return d, t.select(F.col("doc").alias("template"), F.lit(1).alias("version"), "page", "format", "grid")
 
 
 @query(f"WITH {GRID} SELECT doc, template, start, round(confidence, 6) AS confidence FROM m")

@@ -16,23 +16,23 @@ def tagged(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.flatten_tags(table(spark, sf_dir, "embeddings").withColumn("tags", tags), "tags", ["label", "class"])
 
 
-SEARCH = """q AS (SELECT vec_id AS query_id, embedding AS query FROM embeddings WHERE vec_id < 20),
+SEARCH = """q AS (SELECT vec_id AS query_id, embedding AS query FROM embeddings WHERE vec_id % 20 = 0),
   s AS (SELECT query_id, vec_id, list_dot_product(embedding::DOUBLE[], query::DOUBLE[]) / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]) * list_dot_product(query::DOUBLE[], query::DOUBLE[])) AS score, tag_label, tag_class FROM e, q)"""
 
 
 @query(f"WITH {TAGS}, {SEARCH} SELECT query_id, rank::INTEGER AS rank, vec_id, round(score, 9) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 10")
 def l5_vector_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
-    queries = table(spark, sf_dir, "embeddings").filter("vec_id < 20").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    queries = table(spark, sf_dir, "embeddings").filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
     return retrieval.top_k(tagged(spark, sf_dir), queries).withColumn("score", F.round("score", 9))
 
 
-@query(f"""WITH {TAGS}, {SEARCH}, i AS (SELECT *, true AS scoped FROM s WHERE list_contains(tag_label, 'l1') AND (list_contains(tag_class, 'c0') OR list_contains(tag_class, 'm1')) AND query_id % 2 = 0),
+@query(f"""WITH {TAGS}, {SEARCH}, i AS (SELECT *, true AS scoped FROM s WHERE list_contains(tag_label, 'l1') AND (list_contains(tag_class, 'c0') OR list_contains(tag_class, 'm1')) AND query_id % 40 = 0),
   b AS (SELECT * FROM i UNION ALL SELECT *, false FROM s WHERE query_id NOT IN (SELECT query_id FROM i))
   SELECT query_id, rank::INTEGER AS rank, vec_id, round(score, 9) AS score, scoped FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM b) WHERE rank <= 10""")
 def q6_q7_scoped_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    queries = table(spark, sf_dir, "embeddings").filter("vec_id < 20").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    queries = table(spark, sf_dir, "embeddings").filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
     vectors, scope = tagged(spark, sf_dir), retrieval.tag_filter({"label": ["l1"], "class": ["c0", "m1"]})
-    even, odd = queries.filter("query_id % 2 = 0"), queries.filter("query_id % 2 = 1")
+    even, odd = queries.filter("query_id % 40 = 0"), queries.filter("query_id % 40 <> 0")
     found = retrieval.scoped_top_k(vectors, even, scope).unionByName(retrieval.scoped_top_k(vectors, odd, F.lit(False)))
     return found.withColumn("score", F.round("score", 9))
 
