@@ -12,6 +12,9 @@ def rows(frame):
             return str(v)
         if v is None or pd.isna(v):
             return "null"
-        return f"{v:.6f}" if isinstance(v, float) else str(v)
+        if isinstance(v, float):
+            v = round(v, 6)
+            return str(int(v)) if v.is_integer() else f"{v:.6f}"
+        return str(v)
 
     return sorted(tuple(plain(v) for v in row) for row in frame.itertuples(index=False, name=None))
