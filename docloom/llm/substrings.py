@@ -185,7 +185,7 @@ def repeated_spans(keyed: DataFrame, window: int = WINDOW, hot_contexts: int = H
     distinct = materialize(distinct, "distinct")
     full = shared.join(distinct.filter("c > 1").select("anchor", "ctx"), ["anchor", "ctx"]).select("__dl_k1", "__dl_k2", "first", "n")
     mixed = distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("forms"), F.min("c").alias("least"), F.max("again").alias("self")).filter("least = 1 and (forms > 1 or self)")
-    open_ = distinct.join(mixed, "anchor").select("anchor", F.least("c", F.lit(2)).alias("c"), "forms", "at.*")
+    open_ = materialize(distinct.join(mixed, "anchor").select("anchor", F.least("c", F.lit(2)).alias("c"), "forms", "at.*"), "open")
     wanted = open_.groupBy("__dl_k1", "__dl_k2").agg(F.collect_list(F.struct("anchor", "first", "n", "c", "forms")).alias("wanted"))
     texts = keyed.select("__dl_text", "__dl_k1", "__dl_k2").join(wanted, ["__dl_k1", "__dl_k2"])
     # Rows alike in id and text give the same context twice; its count says so already.
@@ -193,7 +193,8 @@ def repeated_spans(keyed: DataFrame, window: int = WINDOW, hot_contexts: int = H
     schema = f"{_KEY}, anchor long, first int, c long, windows binary"
     cool = windows.withColumn("wanted", F.filter("wanted", lambda x: x["forms"] <= hot_contexts)).drop("__dl_hot").filter(F.size("wanted") > 0)
     partial = cool.mapInArrow(_windows(window), schema).repartition("anchor").sortWithinPartitions("anchor")
-    spans = partial.mapInArrow(_compare, f"{_KEY}, first int, n int")
+    # Written by itself, so that the shuffled texts are gone before the spans of all documents are put together.
+    spans = materialize(partial.mapInArrow(_compare, f"{_KEY}, first int, n int"), "partial")
     result = full.unionByName(spans)
     hot = open_.filter(F.col("forms") > hot_contexts)
     if hot.limit(1).count():
