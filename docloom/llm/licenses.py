@@ -56,12 +56,13 @@ def size_bounds(size: int, threshold: float) -> tuple[int, int]:
     return math.ceil(size * threshold / (2 - threshold) - 1e-9), math.floor(size * (2 - threshold) / threshold + 1e-9)
 
 
-def word_bigrams(text: Column) -> Column:
+def word_bigrams(text: Column, most: int) -> Column:
+    """Distinct bigrams, or none where there are more than `most` for sure: v different words are joined by v - 1 bigrams at least."""
     clean = F.trim(F.regexp_replace(F.lower(text), "[^\\p{L}\\p{N}]+", " "))
 
     def of_words(w: Column) -> Column:
         pair = lambda i: F.concat(F.element_at(w, i), F.lit(" "), F.element_at(w, i + 1))
-        return F.when(F.size(w) < 2, F.array().cast("array<string>")).otherwise(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(w) - 1), pair)))
+        return F.when((F.size(w) < 2) | (F.size(F.array_distinct(F.slice(w, 1, 2 * most + 2))) > most + 1), F.array().cast("array<string>")).otherwise(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(w) - 1), pair)))
 
     return bind(F.split(clean, " "), of_words)
 
@@ -76,7 +77,7 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, thre
     lines = F.split(text, "\n")
     units = docs.select(F.col(id_col), F.posexplode(F.when(F.size(lines) > 1, F.concat(F.array(text), lines)).otherwise(F.array(text))).alias("pos", "unit"), F.size(lines).alias("n"))
     line = F.when(F.col("n") > 1, F.col("pos") - 1).otherwise(F.col("pos")).cast("long").alias("line")
-    sized = units.filter("unit is not null").select(F.col(id_col), line, word_bigrams(F.col("unit")).alias("bigrams"))
+    sized = units.filter("unit is not null").select(F.col(id_col), line, word_bigrams(F.col("unit"), most).alias("bigrams"))
     sized = sized.withColumn("size", F.size("bigrams")).filter(F.col("size").between(1, most))
     met = sized.join(F.broadcast(known), "size")
     dice = 2 * F.size(F.array_intersect("bigrams", "t_bigrams")) / (F.col("size") + F.col("t_size"))
@@ -84,7 +85,7 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, thre
     # A unit meets its templates in one task, and few reach the threshold: the best is chosen from what is left.
     best = F.max_by("license", F.struct("dice", F.col("rank")))
     ranks = F.create_map(*(x for i, (name, _) in enumerate(chosen) for x in (F.lit(name), F.lit(-i))))
-    ranked = scored.withColumn("rank", ranks[F.col("license")]).withColumn("row", F.monotonically_increasing_id())
+    ranked = scored.withColumn("rank", ranks[F.col("license")])
     grouped = ranked.groupBy(id_col, "line").agg(best.alias("license"), F.max("dice").alias("dice"), F.count(F.lit(1)).alias("n"))
     return grouped.select(id_col, "line", "license", F.round("dice", 9).alias("dice"))
 
