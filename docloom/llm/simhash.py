@@ -4,9 +4,10 @@ A text's shingles (five lower-cased words; all words of a shorter text) give a 2
 of the fingerprint and groups texts that agree in all of them. The number of coordinates follows the number of texts, so that
 chance buckets keep their size, and the number of tables follows from it, so that a pair at the threshold meets in some table
 with probability `recall` at every size. A bucket over the cap is split by additional coordinates, in as many independent ways
-as keep that probability. Within a bucket, Hamming distances give candidate pairs, of which FORESTS edge-disjoint minimum
-spanning forests are kept: some rows for each text of the bucket, however alike they are. Candidates are then verified by the exact
-Jaccard similarity of their shingle sets, and classes are the connected components of verified links.
+as keep that probability. Within a bucket, Hamming distances give candidate pairs, which are verified by the exact Jaccard
+similarity of their shingle sets in two rounds. The first takes FORESTS edge-disjoint minimum spanning forests: some rows for
+each text of the bucket, however alike they are. The second takes every other candidate pair whose texts the first round hasn't
+put in one class; a pair within a class can't change the result. Classes are the connected components of verified links.
 
 Equal texts are one node from the start, and texts with equal shingle sets are linked without a search, so thousands of copies
 cost what one does. A null text, and one without a word, is a class of its own (equal texts without words are one class);
@@ -32,8 +33,10 @@ BITS = 256
 BUCKET, CAP = 2048, 16_384
 RECALL = 0.995
 EXTRA_BITS = 4
-#: Edge-disjoint spanning forests of a bucket: each text is verified against that many nearest ones at least.
+#: Edge-disjoint spanning forests of a bucket: in the first round each text is verified against that many nearest ones at least.
 FORESTS = 5
+#: Pairs of the second round that are verified at once in any case.
+CHUNK = 500_000
 
 _BYTE_SIGNS = (2 * np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64) - 1)
 
@@ -155,9 +158,24 @@ def forest(prints: np.ndarray, limit: int, forests: int = FORESTS) -> tuple[np.n
     return np.array(left, dtype=np.int64), np.array(right, dtype=np.int64)
 
 
-def candidates(nodes: DataFrame, similarity: float, bucket: int, cap: int, recall: float) -> DataFrame:
-    """Pairs (a, b) of nodes to verify. nodes: node, f0 to f3, each fingerprint once."""
-    limit, n = max_distance(similarity), nodes.count()
+def pairs_across(prints: np.ndarray, classes: np.ndarray, sizes: np.ndarray, limit: int, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs (i, j) of different classes within limit whose set sizes allow the similarity, block by block."""
+    n = len(prints)
+    step = max(1, (1 << 20) // max(1, n))
+    for lo in range(0, n, step):
+        block, rest = prints[lo : lo + step], prints[lo:]
+        apart = np.zeros((len(block), len(rest)), dtype=np.uint16)
+        for j in range(prints.shape[1]):
+            apart += np.bitwise_count(block[:, j : j + 1] ^ rest[None, :, j])
+        i, j = np.nonzero((apart <= limit) & (classes[lo : lo + step, None] != classes[None, lo:]))
+        i, j = i[i < j] + lo, j[i < j] + lo
+        fit = np.minimum(sizes[i], sizes[j]) >= similarity * np.maximum(sizes[i], sizes[j]) - 1e-9
+        yield i[fit], j[fit]
+
+
+def buckets(nodes: DataFrame, similarity: float, bucket: int, cap: int, recall: float) -> DataFrame:
+    """A row per node and bucket: node, f0 to f3, t, key. nodes: node, f0 to f3, each fingerprint once."""
+    n = nodes.count()
     bits = max(1, round(math.log2(max(2, n / bucket))))
     tables = tables_for(bits, similarity, recall)
     rows = nodes.select("*", F.explode(F.array(*(F.struct(F.lit(t).cast("long").alias("t"), _bucket_key(1000 + t, bits).alias("key")) for t in range(tables)))).alias("at"))
@@ -175,6 +193,12 @@ def candidates(nodes: DataFrame, similarity: float, bucket: int, cap: int, recal
         rows = rows.select("*", F.explode(more).alias("m")).select("node", "f0", "f1", "f2", "f3", F.xxhash64("t", "m.w", F.lit(level)).alias("t"), F.xxhash64("key", "m.extra").alias("key"))
     for other in done:
         rows = rows.unionByName(other)
+    return rows
+
+
+def candidates(rows: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) of nodes to verify first: the spanning forests of the buckets."""
+    limit = max_distance(similarity)
 
     def link(table: pa.Table) -> pa.Table:
         prints = np.stack([table.column(f"f{j}").to_numpy().view(np.uint64) for j in range(4)], axis=1)
@@ -186,6 +210,23 @@ def candidates(nodes: DataFrame, similarity: float, bucket: int, cap: int, recal
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def candidates_across(rows: DataFrame, active: DataFrame, similarity: float) -> DataFrame:
+    """All pairs (a, b) of nodes in different classes that share a bucket within the limit. active: node, root, n."""
+    limit = max_distance(similarity)
+
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(batches)
+        prints = np.stack([table.column(f"f{j}").to_numpy().view(np.uint64) for j in range(4)], axis=1)
+        classes = table.column("root").combine_chunks().dictionary_encode().indices.to_numpy()
+        names = table.column("node").combine_chunks()
+        for i, j in pairs_across(prints, classes, table.column("n").to_numpy(), limit, similarity):
+            yield pa.RecordBatch.from_arrays([names.take(pa.array(i)), names.take(pa.array(j))], names=["a", "b"])
+
+    rows = rows.join(maybe_broadcast(active, active.count()), "node")
+    pairs = rows.groupBy("t", "key").applyInArrow(link, "a string, b string")
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     """The pairs whose texts' shingle sets have that Jaccard similarity. texts: node, text, repeated nodes allowed."""
     wanted = materialize(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "wanted")
@@ -243,8 +284,20 @@ def near_duplicates(
     # One node for each fingerprint goes into the tables; other sets with that fingerprint are verified against it.
     printed = alike.groupBy("f0", "f1", "f2", "f3").agg(F.min("first").alias("node"))
     same_print = alike.join(printed, ["f0", "f1", "f2", "f3"]).filter("first <> node").select(F.least("first", "node").alias("a"), F.greatest("first", "node").alias("b"))
-    pairs = materialize(candidates(printed, similarity, bucket, cap, recall).unionByName(same_print).distinct(), "pairs")
-    links = verified(pairs, keyed.select("node", "text"), similarity)
+    rows = buckets(printed, similarity, bucket, cap, recall)
+    pairs = materialize(candidates(rows, similarity).unionByName(same_print).distinct(), "pairs")
+    texts = keyed.select("node", "text")
+    links = materialize(verified(pairs, texts, similarity), "links")
+    # A node with any candidate pair is in a forest, so the others are left out from here on.
+    active = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(alike.select(F.col("first").alias("node"), "n"), "node")
+    active = active.join(components(links), "node", "left").select("node", F.coalesce("root", "node").alias("root"), "n")
+    more = candidates_across(rows, materialize(active, "active"), similarity).join(pairs, ["a", "b"], "left_anti")
+    more = materialize(more, "more")
+    # Sets travel with their pairs: in chunks of at most the first round's size, they take no more disk than that did.
+    parts = math.ceil(more.count() / max(CHUNK, pairs.count()))
+    for k in range(parts):
+        part = more.filter(F.pmod(F.xxhash64("a", "b"), F.lit(parts)) == k)
+        links = links.unionByName(materialize(verified(part, texts, similarity), "links"))
     roots = components(links.unionByName(same_set))
     named = scanned.select("id", "node").join(roots, "node", "left").select("id", "node", F.coalesce("root", "node").alias("root"))
     named = materialize(named, "classes")

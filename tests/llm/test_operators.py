@@ -275,6 +275,27 @@ def test_near_duplicates(spark, cap):
     assert list(found["class_size"]) == [Counter(classes_of(texts))[c] for c in classes_of(texts)]
 
 
+def test_links_within_a_family_just_under_the_threshold(spark):
+    shared = sentence(1, 794)
+    texts = [f"{shared} {sentence(1000 + i // 2, 25)} {sentence(2000 + i, 80)}" for i in range(240)]
+    sets = [shingles(t) for t in texts]
+    near = lambda i, j: len(sets[i] & sets[j]) / len(sets[i] | sets[j])
+    assert 0.78 < near(0, 2) < 0.8 < near(0, 1) < 0.84
+    # A recall at which no pair should miss all tables: what is lost is lost within a bucket.
+    found = simhash.near_duplicates(docs(spark, texts), recall=0.99999).toPandas().sort_values("doc_id")
+    classes = list(found["class_id"])
+    assert classes == [i // 2 * 2 for i in range(240)], sum(c != i // 2 * 2 for i, c in enumerate(classes))
+
+
+def test_pairs_across_blocks():
+    r = np.random.default_rng(2)
+    prints, classes, sizes = r.integers(0, 4, (1500, 4), dtype=np.uint64), r.integers(0, 9, 1500), r.integers(5, 12, 1500)
+    found = [(i, j) for a, b in simhash.pairs_across(prints, classes, sizes, 2, 0.8) for i, j in zip(a.tolist(), b.tolist())]
+    apart = np.bitwise_count(prints[:, None] ^ prints[None]).sum(axis=2)
+    want = (apart <= 2) & (classes[:, None] != classes[None]) & (np.minimum(sizes[:, None], sizes) >= 0.8 * np.maximum(sizes[:, None], sizes))
+    assert len(found) == len(set(found)) and set(found) == {(i, j) for i, j in np.argwhere(want).tolist() if i < j}
+
+
 def test_keep_one(spark):
     texts = near_texts()
     twice = docs(spark, texts).union(docs(spark, texts))
