@@ -7,12 +7,16 @@ of all documents are joined with those of the benchmark; each hit names a diagon
 the item are compared one by one. A document holds an item if on some diagonal, in some run of W words of the item (W: 13, or
 all words of a shorter item), at least 0.8 W words agree.
 
-Items with fewer words than a mask are looked up as a whole; items without a word, and null texts, match nothing. Rows alike
+Items with fewer than W words have masks of their own: where k words may be substituted, the item is cut into k + 2 blocks, of
+which two at least are untouched, and each mask keeps two blocks. Where none may be, the mask is the whole item. Items without a word, and null texts, match nothing. Rows alike
 in id and text are one document. An empty table gives an empty result. Only DataFrame functions are used.
 """
 
 from __future__ import annotations
 
+import itertools
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,6 +28,14 @@ MASKS = ((0, 1, 3, 5, 6, 7), (0, 1, 2, 3, 6, 7))
 WORDS, AGREE = 13, 0.8
 
 
+def short_masks(n: int, agree: float = AGREE) -> set[tuple[int, ...]]:
+    """Masks, each from its first kept word on, of which one at some place is untouched by any substitution that leaves agree * n of n words."""
+    blocks = n - math.ceil(n * agree - 1e-9) + 2
+    cuts = [n * b // blocks for b in range(blocks + 1)]
+    kept = ([*range(cuts[a], cuts[a + 1]), *range(cuts[b], cuts[b + 1])] for a, b in itertools.combinations(range(blocks), 2))
+    return {tuple(i - k[0] for i in k) for k in kept if k}
+
+
 def word_hashes(text: Column) -> Column:
     clean = F.trim(F.regexp_replace(F.lower(text), "[^\\p{L}\\p{N}]+", " "))
     return F.when(clean == "", F.array().cast("array<bigint>")).otherwise(F.transform(F.split(clean, " "), lambda w: F.xxhash64(w)))
@@ -61,9 +73,16 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
     """A row per document and item that it holds: __dl_k1, __dl_k2 (the document's key), id, item, matched, window."""
     items = benchmark.select(F.col(item_col).alias("item"), word_hashes(F.col(item_text)).alias("words")).filter(F.size("words") > 0)
     items = materialize(items.select("item", F.xxhash64("item", "words").alias("item_key"), "words").dropDuplicates(["item_key"]), "items")
-    # Short items: one mask of all words for each length below the span, so SPAN - 1 lengths at most.
-    short = sorted(r[0] for r in items.select(F.size("words")).distinct().filter(F.size("words") < SPAN).collect())
-    plans = [(MASKS, SPAN, items), *((((tuple(range(n))),), n, items.filter(F.size("words") == n)) for n in short)]
+    # Short items: a plan for each span of their masks, so a few at most.
+    least = max(words, SPAN)
+    short = sorted(r[0] for r in items.select(F.size("words")).distinct().filter(F.size("words") < least).collect())
+    by_span: dict[int, tuple[set, set]] = {}
+    for n in short:
+        for mask in short_masks(min(n, words), agree):
+            masks, lengths = by_span.setdefault(mask[-1] + 1, (set(), set()))
+            masks.add(mask)
+            lengths.add(n)
+    plans = [(MASKS, SPAN, items.filter(F.size("words") >= least)), *((tuple(sorted(m)), span, items.filter(F.size("words").isin(*n))) for span, (m, n) in sorted(by_span.items()))]
     keys = ["__dl_k1", "__dl_k2"]
     texts = docs.select(*_keys(id_col, text_col), word_hashes(F.col(text_col)).alias("words"))
     found = None

@@ -129,6 +129,32 @@ def test_masks_stand_two_substitutions():
         assert any(not {i + k for k in mask} & set(bad) for mask in decontaminate.MASKS for i in places), bad
 
 
+@pytest.mark.parametrize("n", range(1, decontaminate.WORDS + 1))
+def test_masks_of_each_length_stand_the_allowed_substitutions(n):
+    masks = decontaminate.MASKS if n == decontaminate.WORDS else decontaminate.short_masks(n)
+    for bad in itertools.combinations(range(n), n - -(-4 * n // 5)):
+        assert any(not {i + k for k in mask} & set(bad) for mask in masks for i in range(n - mask[-1])), bad
+
+
+def test_short_leaks_with_substitutions(spark):
+    items = {n: sentence(700 + n, n).split() for n in range(1, 13)}
+    texts, want = [], set()
+    for n, item in items.items():
+        allowed = n - -(-4 * n // 5)
+        for k in range(allowed + 2):
+            for bad in itertools.combinations(range(n), k):
+                changed = " ".join("zzz" if i in bad else w for i, w in enumerate(item))
+                want |= {(len(texts), n)} if k <= allowed else set()
+                texts.append(f"{sentence(800, 3)} {changed} {sentence(801, 3)}")
+        # At a text's edges, where the words left out aren't there at all.
+        for cut in (item[allowed:], item[: n - allowed]):
+            want.add((len(texts), n))
+            texts.append(" ".join(cut))
+    benchmark = spark.createDataFrame([(n, " ".join(w)) for n, w in items.items()], "item_id long, text string")
+    found = {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(docs(spark, texts), benchmark).collect()}
+    assert found == want
+
+
 def test_leaks_with_substitutions(spark):
     item, other = sentence(1, 30).split(), sentence(2, 20).split()
     changed = [w if i not in (3, 11, 19, 27) else "zzz" for i, w in enumerate(item)]
