@@ -56,9 +56,12 @@ def drop_scratch_tables() -> None:
 
 def release_shuffles(spark: SparkSession) -> None:
     """Lets Spark delete shuffle files that no job needs any more: it does so once the driver has collected what refers to them."""
-    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(10_000)  # events refer to plans
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    try:
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(10_000)  # events refer to plans
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+    except Exception:  # a busy listener bus, or no such method: the files stay until the driver's own next collection
+        pass
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -71,13 +74,13 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-#: Rows that may be broadcast where their number has been counted: at about 40 bytes each, some tens of megabytes.
-MAX_BROADCAST_ROWS = 1_000_000
+#: Bytes of rows that may be broadcast where they have been counted; in memory they take about twice that.
+MAX_BROADCAST_BYTES = 64 << 20
 
 
-def maybe_broadcast(df: DataFrame, rows: int) -> DataFrame:
-    """df, to be broadcast if its counted rows are few enough, else left to a shuffle join."""
-    return F.broadcast(df) if rows <= MAX_BROADCAST_ROWS else df
+def maybe_broadcast(df: DataFrame, rows: int, width: int = 64) -> DataFrame:
+    """df, to be broadcast if its counted rows of about `width` bytes are few enough, else left to a shuffle join."""
+    return F.broadcast(df) if rows * width <= MAX_BROADCAST_BYTES else df
 
 
 def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

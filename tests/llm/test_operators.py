@@ -34,6 +34,7 @@ ODD = [None, "", "   \n\t ", "one", "a b c d", "x" * 50_000, "the same words her
 # Words and ranks
 
 
+@settings(deadline=None)
 @given(st.lists(st.text(st.sampled_from("ab é中\t\n\x0b\x0c\r\xa0\x1c"), max_size=30), max_size=8), st.integers(1, 9))
 def test_words(texts, chunk):
     import pyarrow as pa
@@ -241,6 +242,7 @@ def test_language_odd_cases(spark):
     assert language.identify(docs(spark, []), model).count() == 0
 
 
+@settings(deadline=None)
 @given(st.lists(st.text(st.sampled_from("aé中 .1"), max_size=12), min_size=1, max_size=5))
 def test_ngram_counts_of_a_row_are_its_own(texts):
     import pyarrow as pa
@@ -313,13 +315,74 @@ def test_links_within_a_family_just_under_the_threshold(spark):
     assert classes == [i // 2 * 2 for i in range(240)], sum(c != i // 2 * 2 for i, c in enumerate(classes))
 
 
-def test_pairs_across_blocks():
+def test_all_pairs_within_the_limit_are_compared():
     r = np.random.default_rng(2)
-    prints, classes, sizes = r.integers(0, 4, (1500, 4), dtype=np.uint64), r.integers(0, 9, 1500), r.integers(5, 12, 1500)
-    found = [(i, j) for a, b in simhash.pairs_across(prints, classes, sizes, 2, 0.8) for i, j in zip(a.tolist(), b.tolist())]
+    prints = r.integers(0, 1 << 63, (40, 4), dtype=np.uint64)[r.integers(0, 40, 1500)]
+    for word in range(4):  # some bits apart, under and over the limit
+        prints[:, word] ^= r.integers(0, 1 << 13, 1500, dtype=np.uint64)
     apart = np.bitwise_count(prints[:, None] ^ prints[None]).sum(axis=2)
-    want = (apart <= 2) & (classes[:, None] != classes[None]) & (np.minimum(sizes[:, None], sizes) >= 0.8 * np.maximum(sizes[:, None], sizes))
-    assert len(found) == len(set(found)) and set(found) == {(i, j) for i, j in np.argwhere(want).tolist() if i < j}
+    limit = simhash.max_distance(0.8)
+    near = (apart <= limit) & (np.bitwise_count(prints[:, None, 0] ^ prints[None, :, 0]) <= simhash.max_distance(0.8, 64))
+    for half in (np.zeros(1500, dtype=int), r.integers(0, 2, 1500)):
+        found = [(i, j) for a, b in simhash._near(prints, half, 0.8) for i, j in zip(a.tolist(), b.tolist())]
+        want = {(i, j) for i, j in np.argwhere(near).tolist() if i < j and (half[i] != half[j] or not half.any())}
+        assert len(found) == len(set(found)) and set(found) == want
+
+
+@settings(deadline=None)
+@given(st.sets(st.integers(0, 400), min_size=1, max_size=60), st.sets(st.integers(0, 400), min_size=1, max_size=60))
+def test_parity_bitmaps_never_say_too_much(a, b):
+    grams = common.mix(np.array([*a, *b], dtype=np.uint64))
+    x, y = simhash.parities(grams, np.array([0, len(a), len(a) + len(b)]))
+    assert np.bitwise_count(x ^ y).sum() <= len(a ^ b)
+    if len(a & b) >= 0.8 * len(a | b):
+        assert len(a ^ b) <= simhash.max_difference(np.array([len(a)]), np.array([len(b)]), 0.8)[0]
+
+
+def test_verified_classes():
+    r = np.random.default_rng(4)
+    base = [r.integers(0, 1 << 40, 50) for _ in range(6)]
+    sets = [np.unique(np.concatenate((base[k % 6][r.random(50) < 0.97], r.integers(0, 1 << 40, k % 4)))).astype(np.uint64) for k in range(70)]
+    for half in (np.zeros(70, dtype=int), r.integers(0, 2, 70)):
+        parent = list(range(70))
+        for i in range(70):
+            for j in range(i):
+                both = len(set(sets[i].tolist()) & set(sets[j].tolist()))
+                if both >= 0.8 * (len(sets[i]) + len(sets[j]) - both) and (half[i] != half[j] or not half.any()):
+                    a, b = sorted((parent[i], parent[j]))
+                    parent = [a if x == b else x for x in parent]
+        assert list(simhash.verified_classes(sets, half, 0.8)) == parent and len(set(parent)) < 40
+
+
+@pytest.mark.parametrize(("n", "options"), [(60, {}), (200, {}), (600, {}), (200, {"bucket": 4, "cap": 20, "block_mass": 15_000})])
+def test_dense_families(spark, n, options):
+    """Texts that each have 4 of 300 words of one base changed: few of their pairs are links, and most texts of a large family are joined."""
+    base = sentence(77, 300)
+    texts = [edited(base, 500 + i, 4) for i in range(n)]
+    found = simhash.near_duplicates(docs(spark, texts), **options).toPandas().sort_values("doc_id")
+    want = classes_of(texts)
+    assert list(found["class_id"]) == want and len(set(want)) < n
+
+
+def test_ids_that_repeat_with_other_texts(spark):
+    a, b = sentence(1, 60), sentence(2, 60)
+    rows = [(5, a), (5, b), (7, edited(b, 3, 1)), (None, a), (None, sentence(3, 60)), (None, sentence(4, 60)), (9, sentence(5, 60)), (9, sentence(5, 60))]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = sorted((r["doc_id"] or 0, r["text"]) for r in simhash.keep_one(frame).collect())
+    assert kept == sorted([(5, a), (5, b), (0, sentence(3, 60)), (0, sentence(4, 60)), (9, sentence(5, 60))])
+
+
+def test_large_sides_are_joined_by_shuffles(spark, monkeypatch):
+    texts = near_texts()
+    monkeypatch.setattr(common, "MAX_BROADCAST_BYTES", 0)
+    found = simhash.near_duplicates(docs(spark, texts), bucket=4, cap=6).toPandas().sort_values("doc_id")
+    assert list(found["class_id"]) == classes_of(texts)
+    texts = ["\n".join([sentence(50 + i, 5), sentence(1, 6), sentence(2, 6), sentence(3, 6), sentence(90 + i, 5)]) for i in range(8)]
+    found = {r["doc_id"]: r["text"] for r in lines.dedup_lines(docs(spark, texts)).collect()}
+    assert found == deduped(list(enumerate(texts)))
+    benchmark = spark.createDataFrame([(1, sentence(1, 30))], "item_id long, text string")
+    texts = [sentence(9, 50), f"{sentence(4, 50)} {sentence(1, 30)} {sentence(5, 50)}"]
+    assert [r["doc_id"] for r in decontaminate.contaminated(docs(spark, texts), benchmark).collect()] == [1]
 
 
 def test_keep_one(spark):
@@ -497,6 +560,7 @@ def test_licenses(spark):
     assert licenses.scan_licenses(docs(spark, [])).count() == 0
 
 
+@settings(deadline=None)
 @given(st.integers(1, 300), st.integers(1, 300), st.integers(0, 300))
 def test_size_bounds_lose_nothing(a, b, both):
     both = min(both, a, b)
@@ -544,6 +608,7 @@ def test_repeats_in_many_edge_cases(spark):
     assert substrings.remove_repeats(docs(spark, [])).count() == 0
 
 
+@settings(deadline=None)
 @given(st.lists(st.lists(st.sampled_from("abc"), max_size=12), min_size=1, max_size=4), st.lists(st.sampled_from("abcd"), max_size=20))
 def test_matching_statistics(reference, sequence):
     automaton = substrings.SuffixAutomaton()
