@@ -200,6 +200,14 @@ def test_quality_odd_cases(spark):
     assert quality.score(docs(spark, []), model).count() == 0
 
 
+def test_a_long_token_leaves_scores_whole(spark):
+    texts = [sentence(i, 40) for i in range(20)] + ["x" * 40_000 + " word"]
+    frame = docs(spark, texts).selectExpr("*", "n as score")
+    model = quality.train(frame, spark.createDataFrame([(i, i % 2) for i in range(21)], "doc_id long, quality int"), epochs=3)
+    found = quality.score(frame, model).toPandas()
+    assert len(found) == 21 and found["score"].between(0, 1).all() and all(np.isfinite(p).all() for p in model.p.values())
+
+
 def test_attention_gradient():
     r = np.random.default_rng(0)
     net = quality.GatedAttention(5, 3)
@@ -237,6 +245,8 @@ def test_language_odd_cases(spark):
     by = dict(zip(found["doc_id"], zip(found["lang_pred"], found["rejected"], found["score"])))
     assert [by[i][0] for i in (0, 1, 2, len(ODD))] == ["und"] * 4 and all(by[i][1] and by[i][2] == 0 for i in (0, 1, 2, len(ODD)))
     assert by[len(ODD) + 1][0] == "el" and by[len(ODD) + 2][1]
+    clashing = docs(spark, ["Ελληνικά κείμενα εδώ"]).selectExpr("*", "1 as score", "2 as lang_pred", "3 as rejected")
+    assert language.identify(clashing, model).first()["lang_pred"] == "el"
     assert language.train(rows.limit(0)) is None
     assert set(language.identify(docs(spark, ODD), None).toPandas()["lang_pred"]) == {"und"}
     assert language.identify(docs(spark, []), model).count() == 0
@@ -558,6 +568,17 @@ def test_licenses(spark):
     found = sorted((r["doc_id"], r["line"], r["license"], round(r["dice"], 3)) for r in licenses.scan_licenses(docs(spark, texts)).collect())
     assert found == [(0, -1, "mit", 0.8), (0, 1, "mit", 1.0), (1, 0, "apache-2.0", 1.0), (6, 0, "all-rights-reserved", 1.0), (7, 0, "all-rights-reserved", 1.0)]
     assert licenses.scan_licenses(docs(spark, [])).count() == 0
+    assert licenses.scan_licenses(docs(spark, texts), {"none": ""}).count() == 0
+
+
+def test_licenses_of_rows_that_share_an_id_and_of_wrapped_notices(spark):
+    notice = licenses.TEMPLATES["mit-grant"].split()
+    wrapped = "\n".join(["# code", "", *(" * " + " ".join(notice[i : i + 9]) for i in range(0, len(notice), 9)), "", sentence(1, 80), sentence(2, 80)])
+    rows = [(1, "Released under the MIT License."), (1, "All rights reserved."), (1, "All rights reserved."), (None, "Licensed under CC BY 4.0."), (None, "Licensed under CC BY-NC 4.0."), (2, wrapped), (3, "x " * 100_000)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    found = [(r["doc_id"], r["line"], r["lines"], r["license"]) for r in licenses.scan_licenses(frame).collect()]
+    want = [(1, 0, 1, "mit"), (1, 0, 1, "all-rights-reserved"), (1, 0, 1, "all-rights-reserved"), (None, 0, 1, "cc-by-4.0"), (None, 0, 1, "cc-by-nc-4.0"), (2, 2, -(-len(notice) // 9), "mit-grant")]
+    assert sorted(found, key=str) == sorted(want, key=str)
 
 
 @settings(deadline=None)
