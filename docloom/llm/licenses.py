@@ -1,18 +1,20 @@
 """Licence statements found by the Dice coefficient of word bigrams.
 
-Every line of a text, and the text as a whole, is normalised (lower case, runs of other characters than letters and digits
-become a space) and compared with licence templates: twice the shared distinct bigrams over the sum of both numbers. From
-2m/(a+b) >= t follows t/(2-t) <= a/b <= (2-t)/t, so each template is indexed under the sizes that it can match and met by an
-equi-join on the size; other lines never meet it. Of the templates that a line reaches the threshold with, the best one
-counts (ties: the first by name).
-
-Null and empty texts have no statement; a text of one line is one unit; repeated rows are reported each; an empty table gives
-an empty result. Only DataFrame functions are used. The templates are a fixed list, so the broadcast side has at most as many
-rows as their sizes allow.
+The units of a text are its lines, its paragraphs (runs of lines that have words; where there are several, those of two lines
+or more), and the text as a whole where it has several lines: a notice is found on a line of its own, wrapped over the lines
+of a paragraph, or as all that a text says. A unit is normalised (lower case, runs of other characters than letters and digits
+part words) and compared with licence templates: twice the shared distinct bigrams over the sum of both numbers. From
+2m/(a+b) >= t follows t/(2-t) <= a/b <= (2-t)/t, so each template is listed under the sizes that it can match; other units
+never meet it. Of the templates that a unit reaches the threshold with, the best one counts (ties: the first by name).
+
+A row is looked at by itself: no join and no shuffle, and repeated rows and ids, null ids among them, are reported each. Null
+and empty texts have no statement; an empty table gives an empty result. Only DataFrame functions are used, and the templates
+are a fixed list. A statement that shares its line or paragraph with as many other words isn't found.
 """
 
 from __future__ import annotations
 
+import json
 import math
 import re
 
@@ -56,58 +58,93 @@ def size_bounds(size: int, threshold: float) -> tuple[int, int]:
     return math.ceil(size * threshold / (2 - threshold) - 1e-9), math.floor(size * (2 - threshold) / threshold + 1e-9)
 
 
-def word_bigrams(text: Column, most: int) -> Column:
-    """Distinct bigrams, or none where there are more than `most` for sure: v different words are joined by v - 1 bigrams at least."""
+def words_of(text: Column) -> Column:
     clean = F.trim(F.regexp_replace(F.lower(text), "[^\\p{L}\\p{N}]+", " "))
+    return F.when(clean == "", F.array().cast("array<string>")).otherwise(F.split(clean, " "))
+
+
+def bigrams_of(words: Column, most: int) -> Column:
+    """Distinct bigrams, or none where there are more than `most` for sure: v different words are joined by v - 1 bigrams at least."""
+    pair = lambda i: F.concat(F.element_at(words, i), F.lit(" "), F.element_at(words, i + 1))
+    many = F.size(F.array_distinct(F.slice(words, 1, 2 * most + 2))) > most + 1
+    return F.when((F.size(words) < 2) | many, F.array().cast("array<string>")).otherwise(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(words) - 1), pair)))
+
+
+def _units(lines: Column) -> Column:
+    """The units of a text, an array of (line, lines, words); lines: the words of each line."""
+    n = F.size(lines)
+    at = lambda i: F.element_at(lines, i)
+    worded = lambda i: (i >= 1) & (i <= n) & (F.size(at(F.greatest(F.least(i, n), F.lit(1)))) > 0)
+    places = F.sequence(F.lit(1), n)
+    starts = F.filter(places, lambda i: worded(i) & ~worded(i - 1))
+    ends = F.filter(places, lambda i: worded(i) & ~worded(i + 1))
 
-    def of_words(w: Column) -> Column:
-        pair = lambda i: F.concat(F.element_at(w, i), F.lit(" "), F.element_at(w, i + 1))
-        return F.when((F.size(w) < 2) | (F.size(F.array_distinct(F.slice(w, 1, 2 * most + 2))) > most + 1), F.array().cast("array<string>")).otherwise(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(w) - 1), pair)))
+    def unit(line: Column, count: Column, words: Column) -> Column:
+        return F.struct(line.cast("long").alias("line"), count.cast("long").alias("lines"), words.alias("words"))
 
-    return bind(F.split(clean, " "), of_words)
+    single = F.transform(lines, lambda w, i: unit(i, F.lit(1), w))
+    spans = F.filter(F.arrays_zip(starts.alias("s"), ends.alias("e")), lambda x: x["e"] > x["s"])
+    wrapped = F.transform(spans, lambda x: unit(x["s"] - 1, x["e"] - x["s"] + 1, F.flatten(F.slice(lines, x["s"], x["e"] - x["s"] + 1))))
+    none = F.slice(single, 1, 0)
+    return F.concat(single, F.when(F.size(starts) > 1, wrapped).otherwise(none), F.when(n > 1, F.array(unit(F.lit(-1), n, F.flatten(lines)))).otherwise(none))
 
 
 def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row per statement: id, line (from 0; -1: the whole text of several lines), license, dice."""
-    chosen = [(name, template_bigrams(text)) for name, text in sorted((templates or TEMPLATES).items())]
-    rows = [(name, len(b), size, b) for name, b in chosen if b for lo, hi in [size_bounds(len(b), threshold)] for size in range(max(1, lo), hi + 1)]
-    known = docs.sparkSession.createDataFrame(rows, "license string, t_size int, size int, t_bigrams array<string>")
-    most = max((r[2] for r in rows), default=0)
-    text = F.col(text_col)
-    lines = F.split(text, "\n")
-    units = docs.select(F.col(id_col), F.posexplode(F.when(F.size(lines) > 1, F.concat(F.array(text), lines)).otherwise(F.array(text))).alias("pos", "unit"), F.size(lines).alias("n"))
-    line = F.when(F.col("n") > 1, F.col("pos") - 1).otherwise(F.col("pos")).cast("long").alias("line")
-    sized = units.filter("unit is not null").select(F.col(id_col), line, word_bigrams(F.col("unit"), most).alias("bigrams"))
-    sized = sized.withColumn("size", F.size("bigrams")).filter(F.col("size").between(1, most))
-    met = sized.join(F.broadcast(known), "size")
-    dice = 2 * F.size(F.array_intersect("bigrams", "t_bigrams")) / (F.col("size") + F.col("t_size"))
-    scored = met.withColumn("dice", dice).filter(F.col("dice") >= threshold - 1e-12)
-    # A unit meets its templates in one task, and few reach the threshold: the best is chosen from what is left.
-    best = F.max_by("license", F.struct("dice", F.col("rank")))
-    ranks = F.create_map(*(x for i, (name, _) in enumerate(chosen) for x in (F.lit(name), F.lit(-i))))
-    ranked = scored.withColumn("rank", ranks[F.col("license")])
-    grouped = ranked.groupBy(id_col, "line").agg(best.alias("license"), F.max("dice").alias("dice"), F.count(F.lit(1)).alias("n"))
-    return grouped.select(id_col, "line", "license", F.round("dice", 9).alias("dice"))
+    """A row per statement: id, line (its first, from 0; -1: the whole text of several lines), lines (how many), license, dice."""
+    chosen = [(name, b) for name, text in sorted((templates or TEMPLATES).items()) if (b := template_bigrams(text))]
+    bounds = [size_bounds(len(b), threshold) for _, b in chosen]
+    most = max((hi for _, hi in bounds), default=0)
+    by_size = [[k for k, (lo, hi) in enumerate(bounds) if lo <= size <= hi] for size in range(1, most + 1)]
+    literal = lambda value, kind: F.from_json(F.lit(json.dumps(value)), kind)
+    known, fitting = literal([b for _, b in chosen], "array<array<string>>"), literal(by_size, "array<array<int>>")
+    names = literal([name for name, _ in chosen], "array<string>")
+
+    def best(bigrams: Column) -> Column:
+        """(dice, -template) of the nearest template."""
+        size = F.size(bigrams)
+
+        def one(k: Column) -> Column:
+            of = F.element_at(known, k + 1)
+            return F.struct((2 * F.size(F.array_intersect(bigrams, of)) / (size + F.size(of))).alias("dice"), (-k).alias("k"))
+
+        return F.when(size.between(1, most), F.array_max(F.transform(F.element_at(fitting, F.greatest(F.least(size, F.lit(most)), F.lit(1))), one)))
+
+    def scored(units: Column) -> Column:
+        each = F.transform(units, lambda u: F.struct(u["line"].alias("line"), u["lines"].alias("lines"), bind(bigrams_of(u["words"], most), best).alias("best")))
+        return F.filter(each, lambda u: u["best"]["dice"] >= threshold - 1e-12)
+
+    if not most:
+        return docs.limit(0).select(F.col(id_col), *(F.lit(None).cast(t).alias(c) for c, t in (("line", "long"), ("lines", "long"), ("license", "string"), ("dice", "double"))))
+    words = F.transform(F.split(F.col(text_col), "\n"), words_of)
+    found = docs.filter(F.col(text_col).isNotNull()).select(F.col(id_col), F.explode(bind(words, lambda lines: bind(_units(lines), scored))).alias("u"))
+    return found.select(id_col, "u.line", "u.lines", F.element_at(names, 1 - F.col("u.best.k")).alias("license"), F.round("u.best.dice", 9).alias("dice"))
 
 
 def _sql() -> str:
     values = ", ".join(f"('{name}', {i}, [{', '.join(repr(b) for b in template_bigrams(text))}])" for i, (name, text) in enumerate(sorted(TEMPLATES.items())))
     return f"""
 WITH template(license, rank, t) AS (VALUES {values}),
-lines AS (SELECT doc_id, text, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL),
-unit AS (
-  SELECT doc_id, unnest(range(0, len(l))) AS line, unnest(l) AS u FROM lines
-  UNION ALL SELECT doc_id, -1, text FROM lines WHERE len(l) > 1
-), word AS (
-  SELECT doc_id, line, string_split(trim(regexp_replace(lower(u), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')), ' ') AS w FROM unit
+numbered AS (SELECT row_number() OVER () AS row, doc_id, text FROM documents WHERE text IS NOT NULL),
+each AS (SELECT row, doc_id, unnest(string_split(text, chr(10))) AS u, unnest(range(0, len(string_split(text, chr(10))))) AS line FROM numbered),
+worded AS (
+  SELECT row, doc_id, line, list_filter(string_split(trim(regexp_replace(lower(u), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')), ' '), lambda x: x <> '') AS w FROM each
+), runs AS (
+  SELECT *, line - row_number() OVER (PARTITION BY row, len(w) > 0 ORDER BY line) AS run FROM worded
+), paragraph AS (
+  SELECT row, doc_id, min(line) AS line, count(*) AS lines, flatten(list(w ORDER BY line)) AS w, count(*) OVER (PARTITION BY row) AS paragraphs
+  FROM runs WHERE len(w) > 0 GROUP BY row, doc_id, run
+), unit AS (
+  SELECT row, doc_id, line, 1 AS lines, w FROM worded
+  UNION ALL SELECT row, doc_id, line, lines, w FROM paragraph WHERE paragraphs > 1 AND lines > 1
+  UNION ALL SELECT row, doc_id, -1, count(*), flatten(list(w ORDER BY line)) FROM worded GROUP BY row, doc_id HAVING count(*) > 1
 ), bigram AS (
-  SELECT doc_id, line, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS b FROM word WHERE len(w) > 1
+  SELECT row, doc_id, line, lines, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS b FROM unit WHERE len(w) > 1
 ), scored AS (
-  SELECT doc_id, line, license, rank, 2.0 * len(list_intersect(b, t)) / (len(b) + len(t)) AS dice
+  SELECT row, doc_id, line, lines, license, rank, 2.0 * len(list_intersect(b, t)) / (len(b) + len(t)) AS dice
   FROM bigram JOIN template ON len(b) >= len(t) * {THRESHOLD} / (2 - {THRESHOLD}) - 1e-9 AND len(b) <= len(t) * (2 - {THRESHOLD}) / {THRESHOLD} + 1e-9
 )
-SELECT doc_id, line, license, round(dice, 9)::DOUBLE AS dice FROM scored WHERE dice >= {THRESHOLD} - 1e-12
-QUALIFY row_number() OVER (PARTITION BY doc_id, line ORDER BY dice DESC, rank) = 1
+SELECT doc_id, line::BIGINT AS line, lines::BIGINT AS lines, license, round(dice, 9)::DOUBLE AS dice FROM scored WHERE dice >= {THRESHOLD} - 1e-12
+QUALIFY row_number() OVER (PARTITION BY row, line, lines ORDER BY dice DESC, rank) = 1
 """
 
 
