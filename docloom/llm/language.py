@@ -1,8 +1,9 @@
 """Language identification by nearest centroids.
 
-A text is a vector of hashed character n-grams (one to three lower-cased characters; characters that aren't letters count as
-one separator), as 1 + log counts times inverse document frequency, at unit length. Each language has several centroids,
-found by spherical k-means on a bounded sample of labelled rows (SAMPLE documents a language at most, by hash of the id). A
+A text is a vector of hashed character n-grams (one to three lower-cased characters; characters that aren't letters,
+combining marks among them, count as one separator), as 1 + log counts times inverse document frequency, at unit length. Each language has several centroids,
+found by spherical k-means on a bounded sample of labelled rows (SAMPLE documents a language at most, by hash of the id, and
+SAMPLE_ALL in all; with more than LANGUAGES labels, those with most rows). A
 text belongs to the language of the centroid with the largest cosine. It is rejected where 1 - cosine is more than the
 language's limit, which is set by the sample: REJECT_SHARE times the distance that its own members keep within. A text without
 a letter is `und` and rejected.
@@ -29,6 +30,8 @@ DIMENSIONS = 2048
 CENTROIDS = 4
 #: Labelled rows of each language that are learned from, about.
 SAMPLE = 3000
+#: Labelled rows of all languages together, about: at 4 KB each, 49 MB come to the driver. Labels that are learned, at most.
+SAMPLE_ALL, LANGUAGES = 12_000, 400
 #: A text is rejected below this share of the cosine that 99 % of its language's sample reach at its length.
 REJECT_SHARE = 0.5
 UNKNOWN = "und"
@@ -67,7 +70,7 @@ def ngram_counts(data: np.ndarray, offsets: np.ndarray, dimensions: int = DIMENS
 def _slices(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Row ranges of lower-cased texts with their counts and letters; at most 512 rows, and a long row in parts."""
     data, offsets = text_buffers(pc.utf8_lower(pc.fill_null(column, "")))
-    for lo, hi in row_slices(offsets, 2 << 20):
+    for lo, hi in row_slices(offsets, 1 << 20):
         for i in range(lo, hi, 512):
             j = min(hi, i + 512)
             if offsets[j] - offsets[i] <= 8 << 20:
@@ -104,15 +107,23 @@ def _length_class(letters: np.ndarray) -> np.ndarray:
 
 
 def _unit(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    v = np.where(counts > 0, 1 + np.log(np.maximum(counts, 1)), 0).astype(np.float32) * idf
-    return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
+    v = np.maximum(counts, 1).astype(np.float32)
+    np.log(v, out=v)
+    v += 1
+    v *= counts > 0
+    v *= idf
+    v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
+    return v
 
 
 def fit(vectors: np.ndarray, letters: np.ndarray, labels: list[str], k: int = CENTROIDS, reject_share: float = REJECT_SHARE, seed: int = 0) -> Centroids:
     languages, y = sorted(set(labels)), None
     y = np.array([languages.index(x) for x in labels])
     idf = (np.log((1 + len(vectors)) / (1 + (vectors > 0).sum(axis=0))) + 1).astype(np.float32)
-    unit, rng = _unit(vectors, idf), np.random.default_rng(seed)
+    unit, rng = np.empty_like(vectors), np.random.default_rng(seed)
+    for lo in range(0, len(vectors), 1024):
+        unit[lo : lo + 1024] = _unit(vectors[lo : lo + 1024], idf)
+    del vectors
     centroids, owner, limits = [], [], np.zeros((len(languages), 12))
     for i in range(len(languages)):
         own = unit[y == i]
@@ -133,14 +144,15 @@ def fit(vectors: np.ndarray, letters: np.ndarray, labels: list[str], k: int = CE
     return Centroids(languages, idf, np.concatenate(centroids).astype(np.float32), np.array(owner), limits)
 
 
-def train(docs: DataFrame, sample: int = SAMPLE, text_col: str = "text", lang_col: str = "lang", order_col: str = "doc_id") -> Centroids | None:
-    """Centroids learned from about `sample` rows of docs a language; None without labelled rows."""
+def train(docs: DataFrame, sample: int = SAMPLE, text_col: str = "text", lang_col: str = "lang", order_col: str = "doc_id", sample_all: int = SAMPLE_ALL) -> Centroids | None:
+    """Centroids learned from about `sample` rows of docs a language, `sample_all` in all; None without labelled rows."""
     rows = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(order_col).alias("h"))
-    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}  # a row a language
+    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()}
     if not sizes:
         return None
+    sample = min(sample, -(-sample_all // len(sizes)))
     share = F.create_map(*(x for lang, n in sizes.items() for x in (F.lit(lang), F.lit(min(1_000_000, -(-1_000_000 * sample // n))))))
-    chosen = rows.filter(F.pmod("h", F.lit(1_000_000)) < share[F.col("lang")]).select("lang", "text")
+    chosen = rows.filter(F.coalesce(F.pmod("h", F.lit(1_000_000)) < share[F.col("lang")], F.lit(False))).select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -148,16 +160,21 @@ def train(docs: DataFrame, sample: int = SAMPLE, text_col: str = "text", lang_co
                 blobs = [np.minimum(c, 65535).astype(np.uint16).tobytes() for c in counts]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(blobs, pa.binary()), pa.array(letters.astype(np.int64))], names=["lang", "counts", "letters"])
 
-    found = [r for r in chosen.mapInArrow(count, "lang string, counts binary, letters long").toLocalIterator() if r["letters"] > 0]
+    found = [(r["lang"], bytes(r["counts"]), r["letters"]) for r in chosen.mapInArrow(count, "lang string, counts binary, letters long").toLocalIterator() if r["letters"] > 0]
     if not found:
         return None
-    found.sort(key=lambda r: (r["lang"], bytes(r["counts"])))
-    vectors = np.stack([np.frombuffer(r["counts"], dtype=np.uint16) for r in found]).astype(np.float32)
-    return fit(vectors, np.array([r["letters"] for r in found]), [r["lang"] for r in found])
+    found.sort()
+    labels, letters = [r[0] for r in found], np.array([r[2] for r in found])
+    vectors = np.empty((len(found), DIMENSIONS), dtype=np.float32)
+    for i in range(len(found)):
+        vectors[i] = np.frombuffer(found[i][1], dtype=np.uint16)
+        found[i] = None
+    return fit(vectors, letters, labels)
 
 
 def identify(docs: DataFrame, model: Centroids | None, text_col: str = "text", prefix: str = "") -> DataFrame:
-    """docs with lang_pred, score and rejected (their names led by prefix)."""
+    """docs with lang_pred, score and rejected (their names led by prefix), which replace columns of these names."""
+    docs = docs.drop(*(prefix + x for x in ("lang_pred", "score", "rejected")))
     names = [*docs.columns]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     at = names.index(text_col)
