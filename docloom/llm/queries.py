@@ -54,7 +54,7 @@ def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = lines.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return done.filter("text is not null").select("doc_id", F.col("__dl_lines").alias("n_lines"), F.col("__dl_removed").alias("n_removed"), "text")
+    return done.select("doc_id", F.col("__dl_lines").alias("n_lines"), F.col("__dl_removed").alias("n_removed"), "text")
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
