@@ -455,6 +455,19 @@ def test_exact_search(spark):
     assert vptree.nearest(frame.limit(0), frame.limit(0)).count() == 0
 
 
+def test_nearest_orders_by_exact_cosines(spark):
+    near = [1.0, 1e-5, 0.0]
+    rows = [(0, [1.0, 0.0, 0.0]), (7, [1.0, 1.5e-5, 0.0]), (9, near), (12, near), (3, [0.0, 1.0, 0.0])]
+    rows += [(50, [1e200, 1e200, 0.0]), (51, [1.0, 1.0, 0.0]), (52, [1e-200, 2e-200, 0.0]), (100, [1.0, 2.0]), (101, [2.0, 1.0]), (102, []), (150, [1.0])]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = {}
+    for r in vptree.nearest(frame, frame.filter("vec_id % 50 = 0"), k=2).collect():
+        found.setdefault(r["query_id"], {})[r["rank"]] = (r["vec_id"], round(r["score"], 11))
+    assert found == {0: {1: (9, 0.99999999995), 2: (12, 0.99999999995)}, 50: {1: (51, 1.0), 2: (52, round(3 / 10**0.5, 11))}, 100: {1: (101, 0.8)}}
+    one = {r["query_id"]: r["vec_id"] for r in vptree.nearest(frame, frame.filter("vec_id = 0"), k=1).collect()}
+    assert one == {0: 9}
+
+
 def test_relaxed_search_finds_most():
     r = np.random.default_rng(0)
     centres = r.normal(size=(40, 16)) * 4
@@ -462,10 +475,10 @@ def test_relaxed_search_finds_most():
     unit = v / np.linalg.norm(v, axis=1, keepdims=True)
     ids, asked = np.arange(4000), np.arange(0, 4000, 50)
     tree = vptree.build(unit, leaf=32)
-    exact, _ = vptree.search(tree, unit, ids, unit[asked], asked, 5)
+    exact, _ = vptree.search(tree, v, unit, ids, v[asked], asked, 5)
     brute = np.argsort(-(unit[asked] @ unit.T) + 9 * (asked[:, None] == ids), axis=1, kind="stable")[:, :5]
     assert [set(a) for a in exact] == [set(b) for b in brute]
-    loose, _ = vptree.search(tree, unit, ids, unit[asked], asked, 5, factor=1.5)
+    loose, _ = vptree.search(tree, v, unit, ids, v[asked], asked, 5, factor=1.5)
     assert np.mean([len(set(a) & set(b)) / 5 for a, b in zip(loose, brute)]) >= 0.9
 
 
@@ -535,6 +548,12 @@ def test_tokens_are_the_tokenizers(text):
     assert np.frombuffer(tokens.encode(text), dtype="<u4").tolist() == tokens.tokenizer.encode(text, add_special_tokens=False).ids
 
 
+def test_tokens_of_characters_that_tables_disagree_on():
+    tokens = packing._tokens(TOKENIZER)
+    for text in ("\u0558", "a\u0558b c", "x \u0378\u0379, \u0530z", "plain \u0558"):
+        assert np.frombuffer(tokens.encode(text), dtype="<u4").tolist() == tokens.tokenizer.encode(text, add_special_tokens=False).ids
+
+
 @settings(deadline=None, max_examples=60)
 @given(st.lists(st.integers(1, 24), max_size=60))
 def test_plan_places_all(lengths):
