@@ -72,7 +72,10 @@ class WordTokens:
 
         class Words(dict):
             def __missing__(self, word: str) -> bytes:
-                ids = b"".join(map(owner.pieces.__getitem__, split_word(word)))
+                if word.isascii() or not any(unicodedata.category(x) == "Cn" for x in word):
+                    ids = b"".join(map(owner.pieces.__getitem__, split_word(word)))
+                else:  # characters that this Python's tables don't know, but the tokenizer's may
+                    ids = owner.whole(word)
                 if len(self) < cache:
                     self[word] = ids
                 return ids
@@ -87,9 +90,12 @@ class WordTokens:
 
         self.words, self.pieces = Words(), Pieces()
 
+    def whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
     def encode(self, text: str) -> bytes:
         if any(x in text for x in _PLAIN_ONLY):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+            return self.whole(text)
         return b"".join(map(self.words.__getitem__, text.split()))
 
 
