@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import row_slices, text_buffers
+from docloom.llm.common import row_slices, text_buffers, trimmed
 
 DIMENSIONS = 2048
 CENTROIDS = 4
@@ -160,7 +160,7 @@ def train(docs: DataFrame, sample: int = SAMPLE, text_col: str = "text", lang_co
                 blobs = [np.minimum(c, 65535).astype(np.uint16).tobytes() for c in counts]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(blobs, pa.binary()), pa.array(letters.astype(np.int64))], names=["lang", "counts", "letters"])
 
-    found = [(r["lang"], bytes(r["counts"]), r["letters"]) for r in chosen.mapInArrow(count, "lang string, counts binary, letters long").toLocalIterator() if r["letters"] > 0]
+    found = [(r["lang"], bytes(r["counts"]), r["letters"]) for r in chosen.mapInArrow(trimmed(count), "lang string, counts binary, letters long").toLocalIterator() if r["letters"] > 0]
     if not found:
         return None
     found.sort()
@@ -191,7 +191,7 @@ def identify(docs: DataFrame, model: Centroids | None, text_col: str = "text", p
                 columns = [pa.array(preds, pa.string()), pa.array(np.where(none, 0.0, score)), pa.array(rejected | none)]
                 yield pa.RecordBatch.from_arrays([*(c.slice(lo, hi - lo) for c in batch.columns), *columns], names=[*names, *(prefix + x for x in ("lang_pred", "score", "rejected"))])
 
-    return docs.mapInArrow(run, f"{schema}, `{prefix}lang_pred` string, `{prefix}score` double, `{prefix}rejected` boolean")
+    return docs.mapInArrow(trimmed(run), f"{schema}, `{prefix}lang_pred` string, `{prefix}score` double, `{prefix}rejected` boolean")
 
 
 def is_held_out(id_col: str = "doc_id"):

@@ -25,12 +25,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import materialize, with_gapless_rank
+from docloom.llm.common import materialize, trimmed, with_gapless_rank
 
 CAPACITY = 4096
 END_ID = 1
-#: Entries of each of the two caches of a Python worker.
-CACHE = 400_000
+#: Words and pieces whose ids a Python worker keeps: about 200 bytes each.
+CACHE, PIECE_CACHE = 150_000, 50_000
 
 _PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 #: Where splitting at white space first could differ from the tokenizer's own course: the whole text goes through it then.
@@ -60,7 +60,7 @@ class WordTokens:
     The tokenizer drops white space and never joins over it, so the ids of a text are those of its words in turn.
     """
 
-    def __init__(self, path: str, cache: int = CACHE):
+    def __init__(self, path: str, cache: int = CACHE, piece_cache: int = PIECE_CACHE):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -84,7 +84,7 @@ class WordTokens:
             def __missing__(self, piece: str) -> bytes:
                 spelt = piece if piece.isascii() and piece.isalpha() else piece.encode().decode("latin-1").translate(owner.letters)
                 ids = b"".join([owner.ids[t.id] for t in owner.model.tokenize(spelt)])
-                if len(self) < cache:
+                if len(self) < piece_cache:
                     self[piece] = ids
                 return ids
 
@@ -226,7 +226,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY,
                     names=[id_col, "piece", "start", "length", "ids_crc32"],
                 )
 
-    return docs.select(id_col, text_col).mapInArrow(cut, f"`{id_col}` {id_type}, piece int, start long, length long, ids_crc32 long")
+    return docs.select(id_col, text_col).mapInArrow(trimmed(cut), f"`{id_col}` {id_type}, piece int, start long, length long, ids_crc32 long")
 
 
 def place(pieces: DataFrame, capacity: int = CAPACITY, id_col: str = "doc_id") -> DataFrame:
@@ -251,7 +251,7 @@ def place(pieces: DataFrame, capacity: int = CAPACITY, id_col: str = "doc_id") -
                 names=[*fields, "sequence_id", "offset"],
             )
 
-    return ranked.select(*fields, "__dl_rank").mapInArrow(lay, f"{schema}, sequence_id long, offset long")
+    return ranked.select(*fields, "__dl_rank").mapInArrow(trimmed(lay), f"{schema}, sequence_id long, offset long")
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

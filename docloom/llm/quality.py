@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import row_slices, text_buffers, words
+from docloom.llm.common import row_slices, text_buffers, trimmed, words
 
 PASSAGE = 128
 GRAMS = 256
@@ -173,7 +173,7 @@ def train(docs: DataFrame, labels: DataFrame, target: str = "quality", sample: i
                 blobs = [x[c].astype(np.float16).tobytes() for c in chosen]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), pa.array(blobs, pa.binary())], names=["id", "y", "x"])
 
-    rows = sorted(chosen.mapInArrow(encode, f"id {id_type}, y long, x binary").toLocalIterator(), key=lambda r: (r["id"], bytes(r["x"])))
+    rows = sorted(chosen.mapInArrow(trimmed(encode), f"id {id_type}, y long, x binary").toLocalIterator(), key=lambda r: (r["id"], bytes(r["x"])))
     if not rows:
         return None
     bags = [np.frombuffer(r["x"], dtype=np.float16).reshape(-1, GRAMS + MEASURES) for r in rows]
@@ -198,4 +198,4 @@ def score(docs: DataFrame, model: GatedAttention | None, text_col: str = "text",
                 parts.append(model.score(x, at) if model is not None else np.full(hi - lo, 0.5))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(parts))], names=[*names, out])
 
-    return docs.mapInArrow(run, f"{schema}, `{out}` double")
+    return docs.mapInArrow(trimmed(run), f"{schema}, `{out}` double")

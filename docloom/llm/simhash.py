@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import gram_hashes, materialize, maybe_broadcast, mix, row_slices, text_buffers, words
+from docloom.llm.common import gram_hashes, materialize, maybe_broadcast, mix, row_slices, text_buffers, trimmed, words
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -337,7 +337,7 @@ def verified(edges: DataFrame, n_edges: int, nodes: DataFrame, texts: DataFrame,
     mass = materialize(mass.select("component", "mass", F.ceil(F.col("mass") / block_mass).cast("int").alias("blocks")), "masses")
     small, multi = mass.agg(F.sum(F.when(F.col("blocks") == 1, F.col("mass"))), F.sum((F.col("blocks") > 1).cast("int"))).first()
     groups = max(1, math.ceil((small or 0) / block_mass))
-    sets = texts.join(maybe_broadcast(members.select(*row, "node"), 2 * n_edges, 120), row).select("node", "text").mapInArrow(_sets, "node string, set binary")
+    sets = texts.join(maybe_broadcast(members.select(*row, "node"), 2 * n_edges, 120), row).select("node", "text").mapInArrow(trimmed(_sets), "node string, set binary")
     sets = materialize(sets.groupBy("node").agg(F.first("set").alias("set")), "sets")
     placed = members.join(mass, "component").select("node", "component", "blocks", F.pmod(F.hash("node", F.lit(11)), F.col("blocks")).alias("own"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
@@ -387,7 +387,7 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, similarity: float, buc
     keyed = docs.select(F.col(id_col).alias("id"), _text_key(text_col).alias("text_key"), F.lower(F.col(text_col)).alias("text"))
     id_type = docs.schema[id_col].dataType.simpleString()
     prints = ["f0", "f1", "f2", "f3"]
-    scanned = keyed.mapInArrow(_scan, f"id {id_type}, text_key string, f0 long, f1 long, f2 long, f3 long, signature long, n int, parity binary")
+    scanned = keyed.mapInArrow(trimmed(_scan), f"id {id_type}, text_key string, f0 long, f1 long, f2 long, f3 long, signature long, n int, parity binary")
     # A node is a shingle set; of texts without a word, the text.
     of_set = [*prints, "signature", "n"]
     node = F.when(F.col("n") > 0, F.concat(F.lpad(F.hex(F.xxhash64(*of_set)), 16, "0"), F.lpad(F.hex(F.xxhash64(F.lit(3), *of_set)), 16, "0"))).otherwise(F.col("text_key"))

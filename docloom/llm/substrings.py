@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import gram_hashes, materialize, mix, row_slices, text_buffers, words
+from docloom.llm.common import gram_hashes, materialize, mix, row_slices, text_buffers, trimmed, words
 
 WINDOW = 35
 ANCHOR = 8
@@ -177,7 +177,7 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def repeated_spans(keyed: DataFrame, window: int = WINDOW, hot_contexts: int = HOT_CONTEXTS) -> DataFrame:
     """The repeated windows of keyed documents: rows (__dl_k1, __dl_k2, first, n), n windows from word `first` on."""
-    found = keyed.select("__dl_text", "__dl_k1", "__dl_k2").mapInArrow(_contexts(window), f"{_KEY}, anchor long, ctx long, first int, n int, again boolean")
+    found = keyed.select("__dl_text", "__dl_k1", "__dl_k2").mapInArrow(trimmed(_contexts(window)), f"{_KEY}, anchor long, ctx long, first int, n int, again boolean")
     anchors = found.groupBy("anchor").agg(F.count(F.lit(1)).alias("found"), F.max("again").alias("again"))
     anchors = materialize(anchors.filter("found > 1 or again").select("anchor"), "anchors")
     shared = materialize(found.join(anchors, "anchor"), "contexts")
@@ -192,14 +192,14 @@ def repeated_spans(keyed: DataFrame, window: int = WINDOW, hot_contexts: int = H
     windows = texts.dropDuplicates(["__dl_k1", "__dl_k2"]).select("*", F.transform("wanted", lambda x: x["forms"] > hot_contexts).alias("__dl_hot"))
     schema = f"{_KEY}, anchor long, first int, c long, windows binary"
     cool = windows.withColumn("wanted", F.filter("wanted", lambda x: x["forms"] <= hot_contexts)).drop("__dl_hot").filter(F.size("wanted") > 0)
-    partial = cool.mapInArrow(_windows(window), schema).repartition("anchor").sortWithinPartitions("anchor")
+    partial = cool.mapInArrow(trimmed(_windows(window)), schema).repartition("anchor").sortWithinPartitions("anchor")
     # Written by itself, so that the shuffled texts are gone before the spans of all documents are put together.
-    spans = materialize(partial.mapInArrow(_compare, f"{_KEY}, first int, n int"), "partial")
+    spans = materialize(partial.mapInArrow(trimmed(_compare), f"{_KEY}, first int, n int"), "partial")
     result = full.unionByName(spans)
     hot = open_.filter(F.col("forms") > hot_contexts)
     if hot.limit(1).count():
         heavy = windows.withColumn("wanted", F.filter("wanted", lambda x: x["forms"] > hot_contexts)).drop("__dl_hot").filter(F.size("wanted") > 0)
-        heavy = materialize(heavy.mapInArrow(_windows(window), schema), "hot")
+        heavy = materialize(heavy.mapInArrow(trimmed(_windows(window)), schema), "hot")
         count = F.expr("length(windows) div 8").cast("int")
         each = heavy.select("*", F.explode(F.sequence(F.lit(0), count - 1)).alias("i"))
         each = each.select("__dl_k1", "__dl_k2", "anchor", "c", (F.col("first") + F.col("i")).alias("first"), F.expr("substring(windows, i * 8 + 1, 8)").alias("hash"))
@@ -261,7 +261,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
     by_doc = materialize(by_doc, "spans")
     joined = keyed.join(by_doc, ["__dl_k1", "__dl_k2"], "left").select("__dl_id", "__dl_text", F.coalesce("spans", F.expr("cast(array() as array<struct<first:int,n:int>>)")).alias("spans"))
     id_type = docs.schema[id_col].dataType.simpleString()
-    kept = joined.mapInArrow(_keep(window), f"__dl_id {id_type}, n_words long, n_removed long, kept_sha256 string, kept_text string")
+    kept = joined.mapInArrow(trimmed(_keep(window)), f"__dl_id {id_type}, n_words long, n_removed long, kept_sha256 string, kept_text string")
     return kept.select(F.col("__dl_id").alias(id_col), "n_words", "n_removed", "kept_sha256", *(["kept_text"] if with_text else []))
 
 
@@ -370,4 +370,4 @@ def remove_reference_spans(docs: DataFrame, reference: DataFrame, min_words: int
                 out[2].append(" ".join(w for w, k in zip(found, kept, strict=True) if k))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.string())], names=[id_col, "n_words", "n_removed", "kept_text"])
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {id_type}, n_words long, n_removed long, kept_text string")
+    return docs.select(id_col, text_col).mapInArrow(trimmed(run), f"`{id_col}` {id_type}, n_words long, n_removed long, kept_text string")
