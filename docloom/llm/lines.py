@@ -7,7 +7,7 @@ many chunkings, each with boundaries of its own, so that a repeated passage whos
 whole chunks in another. A chunk of two or more lines that the corpus holds more than once, compared byte by byte, stays where
 it stands first (by id, then by place); all lines of it are removed elsewhere. A line is thus removed only where an equal line
 stands earlier, so the first of its kind always stays. Hashes of all chunks are counted first; only the texts of chunks whose
-hash repeats are moved.
+hash repeats are moved, once, to the first one's.
 
 Chunks without a character other than white space stay. Null text stays null and has no lines, an empty text has one empty
 line and loses nothing, rows alike in id and text count as one document (each row is returned), and an empty table gives an
@@ -68,16 +68,12 @@ def _spans(lines: Column, window: int, chunkings: int, min_lines: int) -> Column
     return bind(F.transform(lines, F.md5), of_digests)
 
 
-def chunks(text: Column, with_text: bool, window: int = WINDOW, chunkings: int = CHUNKINGS, min_lines: int = MIN_LINES) -> Column:
-    """The chunks of a text: an array of (first, lines, h: a hash of the lines, text: null if not asked for)."""
+def chunks(text: Column, window: int = WINDOW, chunkings: int = CHUNKINGS, min_lines: int = MIN_LINES) -> Column:
+    """The chunks of a text: an array of (first, lines, h: a hash of the lines)."""
 
     def of_lines(lines: Column) -> Column:
         def of_hashes(hashes: Column) -> Column:
-            def one(x: Column) -> Column:
-                part = lambda a: F.slice(a, x["first"] + 1, x["lines"])
-                body = F.array_join(part(lines), "\n") if with_text else F.lit(None).cast("string")
-                return F.struct(x["first"].alias("first"), x["lines"].alias("lines"), F.xxhash64(part(hashes)).alias("h"), body.alias("text"))
-
+            one = lambda x: F.struct(x["first"].alias("first"), x["lines"].alias("lines"), F.xxhash64(F.slice(hashes, x["first"] + 1, x["lines"])).alias("h"))
             return F.transform(_spans(lines, window, chunkings, min_lines), one)
 
         return bind(F.transform(lines, lambda x: F.xxhash64(x)), of_hashes)
@@ -92,24 +88,36 @@ def _keys(id_col: str, text_col: str) -> list[Column]:
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, chunkings: int = CHUNKINGS, min_lines: int = MIN_LINES) -> DataFrame:
     """docs with text_col less its repeated chunks, and the columns __dl_lines and __dl_removed (numbers of lines)."""
     keys = ["__dl_k1", "__dl_k2"]
-
-    def exploded(with_text: bool) -> DataFrame:
-        each = docs.select(F.col(id_col).alias("id"), *_keys(id_col, text_col), F.explode(chunks(F.col(text_col), with_text, window, chunkings, min_lines)).alias("c"))
-        return each.select("id", *keys, "c.*")
-
-    # A document's chunks meet in many other documents' tasks: counts are summed by hash before anything moves.
-    twice = materialize(exploded(False).groupBy("h").count().filter("count > 1").select("h"), "hashes")
-    seen = exploded(True).join(maybe_broadcast(twice, twice.count(), 24), "h").filter(F.col("text").rlike("\\S"))
-    seen = materialize(seen, "seen")
+    keyed = docs.select(*[F.col(c) for c in docs.columns], *_keys(id_col, text_col))
+    each = docs.select(F.col(id_col).alias("id"), *_keys(id_col, text_col), F.explode(chunks(F.col(text_col), window, chunkings, min_lines)).alias("c"))
+    each = materialize(each.select("id", *keys, "c.*"), "chunks")
     place = F.struct("id", *keys, "first")
-    first = seen.groupBy("h", "text").agg(F.min(place).alias("kept"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    first = materialize(first.select("h", "text", "kept"), "first")
-    n, width = first.agg(F.count(F.lit(1)), F.coalesce(F.avg(F.length("text")), F.lit(0))).first()
-    gone = seen.join(maybe_broadcast(first, n, 100 + int(width)), ["h", "text"]).filter(~place.eqNullSafe(F.col("kept")))
+    twice = each.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("kept")).filter("n > 1").select("h", "kept")
+    # Without texts up to here. Of each document only the chunks whose hash repeats are cut out and compared.
+    found = each.join(twice, "h").select("id", *keys, F.struct("first", "lines", "h", place.eqNullSafe(F.col("kept")).alias("stays")).alias("w"))
+    wanted = materialize(found.groupBy(*keys).agg(F.first("id").alias("id"), F.collect_set("w").alias("wanted")), "wanted")
+    n, width = wanted.agg(F.count(F.lit(1)), F.coalesce(F.avg(F.size("wanted")), F.lit(0))).first()
+    texts = keyed.select(*keys, F.col(text_col).alias("text")).join(maybe_broadcast(wanted, n, 64 + 40 * int(width)), keys)
+
+    def cut(lines: Column) -> Column:
+        body = lambda w: F.array_join(F.slice(lines, w["first"] + 1, w["lines"]), "\n")
+        return F.transform("wanted", lambda w: F.struct(w["first"].alias("first"), w["lines"].alias("lines"), w["h"].alias("h"), w["stays"].alias("stays"), body(w).alias("text")))
+
+    seen = texts.select("id", *keys, F.explode(bind(F.split("text", "\n"), cut)).alias("c")).select("id", *keys, "c.*")
+    seen = materialize(seen.filter(F.col("text").rlike("\\S")), "seen")
+    first = seen.filter("stays").groupBy("h").agg(F.first("text").alias("first_text"))
+    compared = seen.filter("not stays").join(first, "h", "left").withColumn("same", F.col("text").eqNullSafe(F.col("first_text")))
+    compared = materialize(compared.select("id", *keys, "first", "lines", "h", "same", F.when(~F.col("same"), F.col("text")).alias("text")), "compared")
+    gone = compared.filter("same").select(*keys, "first", "lines")
+    others = compared.filter("not same")  # texts that share a hash with a different one: by themselves
+    if others.limit(1).count():
+        least = others.groupBy("h", "text").agg(F.min(place).alias("kept"))
+        again = others.join(least, ["h", "text"]).filter(~place.eqNullSafe(F.col("kept")))
+        gone = gone.unionByName(again.select(*keys, "first", "lines"))
     gone = gone.select(*keys, F.explode(F.sequence(F.col("first"), F.col("first") + F.col("lines") - 1)).alias("line"))
     gone = materialize(gone.groupBy(*keys).agg(F.collect_set("line").alias("__dl_gone")), "removed")
     n, width = gone.agg(F.count(F.lit(1)), F.coalesce(F.avg(F.size("__dl_gone")), F.lit(0))).first()
-    keyed = docs.select(*[F.col(c) for c in docs.columns], *_keys(id_col, text_col)).join(maybe_broadcast(gone, n, 48 + 8 * int(width)), keys, "left")
+    keyed = keyed.join(maybe_broadcast(gone, n, 48 + 8 * int(width)), keys, "left")
     out = "__dl_out"
 
     def rest(lines: Column) -> Column:

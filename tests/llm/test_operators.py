@@ -524,6 +524,16 @@ def test_line_dedup_of_repeated_rows_and_ids(spark):
     assert found == sorted([(1, a), (1, a), (1, ""), (2, ""), (None, b), (None, None)], key=str)
 
 
+def test_line_dedup_where_hashes_collide(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    whole = lines.chunks
+    monkeypatch.setattr(lines, "chunks", lambda *a: F.transform(whole(*a), lambda x: F.struct(x["first"], x["lines"], F.lit(1).cast("long").alias("h"))))
+    texts = ["\n".join(sentence(i % 4 * 10 + k, 5) for k in range(4)) for i in range(9)]
+    found = {r["doc_id"]: r["text"] for r in lines.dedup_lines(docs(spark, texts)).collect()}
+    assert found == deduped(list(enumerate(texts)))
+
+
 def test_most_repeated_passages_of_lines_go(spark):
     """Passages of 2 to 6 lines, each in two documents among lines of their own; no line is lost altogether."""
     texts, planted = [], 0
