@@ -119,11 +119,11 @@ def _unit(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
 def fit(vectors: np.ndarray, letters: np.ndarray, labels: list[str], k: int = CENTROIDS, reject_share: float = REJECT_SHARE, seed: int = 0) -> Centroids:
     languages, y = sorted(set(labels)), None
     y = np.array([languages.index(x) for x in labels])
-    idf = (np.log((1 + len(vectors)) / (1 + (vectors > 0).sum(axis=0))) + 1).astype(np.float32)
-    unit, rng = np.empty_like(vectors), np.random.default_rng(seed)
-    for lo in range(0, len(vectors), 1024):
+    held = sum((vectors[lo : lo + 1024] > 0).sum(axis=0) for lo in range(0, len(vectors), 1024))
+    idf = (np.log((1 + len(vectors)) / (1 + held)) + 1).astype(np.float32)
+    unit, rng = vectors, np.random.default_rng(seed)
+    for lo in range(0, len(vectors), 1024):  # in place: one array of the sample is enough
         unit[lo : lo + 1024] = _unit(vectors[lo : lo + 1024], idf)
-    del vectors
     centroids, owner, limits = [], [], np.zeros((len(languages), 12))
     for i in range(len(languages)):
         own = unit[y == i]

@@ -30,7 +30,7 @@ from docloom.llm.common import materialize, trimmed, with_gapless_rank
 CAPACITY = 4096
 END_ID = 1
 #: Words and pieces whose ids a Python worker keeps: about 200 bytes each.
-CACHE, PIECE_CACHE = 150_000, 50_000
+CACHE, PIECE_CACHE = 300_000, 100_000
 
 _PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 #: Where splitting at white space first could differ from the tokenizer's own course: the whole text goes through it then.
