@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column
@@ -21,8 +23,7 @@ OCR_CODES = {
 
 def word_count(text: Column) -> Column:
     """Words parted by white space; 0 for empty text."""
-    clean = F.trim(F.regexp_replace(text, "\\s+", " "))
-    return F.when(clean == "", 0).otherwise(F.size(F.split(clean, " ")))
+    return F.regexp_count(text, F.lit("\\S+"))
 
 
 def token_estimate(text: Column) -> Column:
@@ -69,6 +70,45 @@ def content_type(text: Column) -> Column:
     )
 
 
+#: Common words of the languages that `language` tells apart, in the order in which ties are settled.
+STOPWORDS = {
+    "en": ["the", "and", "of", "to", "is", "that", "in", "it", "was", "for"],
+    "de": ["der", "die", "und", "das", "ist", "nicht", "ein", "zu", "mit", "den"],
+    "fr": ["le", "la", "les", "et", "des", "est", "une", "dans", "que", "pour"],
+    "es": ["el", "la", "de", "que", "los", "una", "por", "con", "para", "las"],
+}
+
+
+def language(text: Column, stopwords: dict[str, list[str]] | None = None, default: str = "en") -> Column:
+    """(language, confidence) by common words: the default with 1.0 for an empty text, 0.5 under ten characters, 0.0 without any."""
+    known = stopwords or STOPWORDS
+    words = F.transform(F.split(F.lower(text), " "), lambda x: F.regexp_replace(x, "^[.,\\n]+|[.,\\n]+$", ""))
+
+    def among(w: Column, common: list[str]) -> Column:
+        return F.size(F.filter(w, lambda x: x.isin(common)))
+
+    def scored(w: Column) -> Column:
+        return F.array(*(among(w, common) for common in known.values()))
+
+    def named(counts: Column) -> Column:
+        most, total = F.array_max(counts), F.aggregate(counts, F.lit(0), lambda a, b: a + b)
+        first = F.element_at(F.array(*map(F.lit, known)), F.array_position(counts, most).cast("int"))
+        short, none = F.length(text) < 10, most == 0
+        confidence = F.when(F.length(text) == 0, 1.0).when(short, 0.5).when(none, 0.0).otherwise(most / total)
+        return F.struct(F.when(short | none, default).otherwise(first).alias("language"), confidence.alias("confidence"))
+
+    return F.element_at(F.transform(F.transform(F.array(words), scored), named), 1)
+
+
+def matches(value: Column, pattern: str, longest: int = 10_000) -> Column:
+    """Whether the whole value matches; null for a pattern that isn't valid and for a value too long to be tried."""
+    try:
+        re.compile(pattern)
+    except re.error:
+        return F.lit(None).cast("boolean")
+    return F.when(F.length(value) <= longest, value.rlike(f"^(?:{pattern})$"))
+
+
 def is_toc_page(text: Column) -> Column:
     """Three lines or more, of which over 30 % end in dot leaders and a number."""
     lines = F.filter(F.split(text, "\n"), lambda x: F.trim(x) != "")
@@ -85,20 +125,28 @@ def nfc(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else unicodedata.normalize("NFC", t))
 
 
-def ocr_clean(text: Column, normalize: bool = False) -> Column:
-    """Joins words hyphenated at line ends, narrows white space, drops stray letters but I and a, and shortens runs of marks."""
-    text = F.regexp_replace(text, "(\\p{L})-\\n(\\p{Ll})", "$1$2")
+def ocr_clean(text: Column, normalize: bool = True) -> Column:
+    """Joins words hyphenated at line ends, composes (normalize), narrows white space, drops stray ASCII letters but I, a and A,
+    and shortens runs of four or more equal ASCII marks to one. Text of white space alone gives an empty one."""
+    out = F.regexp_replace(text, "([a-zA-Z])-\\r?\\n([a-zA-Z])", "$1$2")
     if normalize:
-        text = nfc(text)
-    text = F.regexp_replace(F.regexp_replace(text, "[ \\t]+", " "), "\\n{3,}", "\n\n")
-    text = F.regexp_replace(text, "(?<= )[b-zB-HJ-Z](?= )", "")
-    text = F.regexp_replace(text, "([!?.,;:*#$%&])\\1{3,}", "$1")
-    return F.trim(F.regexp_replace(text, " {2,}", " "))
+        out = nfc(out)
+    out = F.regexp_replace(F.regexp_replace(out, "\\r\\n?", "\n"), "[ \\t]+", " ")
+    out = F.regexp_replace(F.regexp_replace(out, "[ \\t]+(?=\\n|$)", ""), "\\n{3,}", "\n\n")
+    out = F.regexp_replace(out, "(?U)(?<!\\S)(?![IaA])[a-zA-Z](?!\\S)", "")
+    out = F.regexp_replace(out, "([!-/:-@\\[-`{-~])\\1{3,}", "$1")
+    out = F.regexp_replace(F.regexp_replace(out, " {2,}", " "), "[ \\t]+(?=\\n|$)", "")
+    return F.when(text.rlike("\\S"), out).otherwise(F.when(text.isNotNull(), ""))
+
+
+def strip(text: Column) -> Column:
+    return F.regexp_replace(text, "^\\s+|\\s+$", "")
 
 
 def ocr_value(value: Column, kind: Column) -> Column:
-    """An OCR reading by field type: numbers lose all but digits, sign and point; others are trimmed."""
-    return F.when(kind == "number", F.regexp_replace(value, "[^0-9.\\-]", "")).otherwise(F.trim(F.regexp_replace(value, "\\s+", " ")))
+    """An OCR reading by field type, less white space at its ends: numbers keep digits, point, minus and comma; dates have single spaces."""
+    bare = strip(value)
+    return F.when(kind == "number", F.regexp_replace(bare, "[^\\p{Nd}.\\-,]", "")).when(kind == "date", F.regexp_replace(bare, "\\s+", " ")).otherwise(bare)
 
 
 def ocr_code(lang: Column) -> Column:
@@ -108,18 +156,41 @@ def ocr_code(lang: Column) -> Column:
 
 
 def coerce_number(value: Column) -> Column:
-    return F.expr("try_cast(? as double)") if value is None else value.try_cast("double")
+    return strip(value).try_cast("double")
 
 
 def coerce_checkbox(value: Column) -> Column:
-    text = F.lower(F.trim(value))
-    return F.when(text.isin("true", "yes", "x", "1", "on", "checked"), True).when(text.isin("false", "no", "", "0", "off", "unchecked"), False)
+    """A spreadsheet cell's mark: x, yes, true or 1 is checked, all else isn't."""
+    return F.coalesce(F.lower(strip(value)).isin("x", "yes", "true", "1"), F.lit(False))
+
+
+DATE_FORMS = (
+    ("^\\d{4}-\\d{1,2}-\\d{1,2}$", "yyyy-M-d"),
+    ("^\\d{1,2}/\\d{1,2}/\\d{4}$", "M/d/yyyy"),
+    ("^\\d{1,2}/\\d{1,2}/\\d{4}$", "d/M/yyyy"),
+    ("^\\d{4}-\\d{1,2}-\\d{1,2}T\\d{1,2}:\\d{1,2}:\\d{1,2}$", "yyyy-M-d'T'H:m:s"),
+)
 
 
 def coerce_date(value: Column) -> Column:
-    """ISO date of the four accepted spellings, else null."""
-    formats = ("yyyy-MM-dd", "MM/dd/yyyy", "dd.MM.yyyy", "dd-MMM-yyyy")
-    return F.coalesce(*(F.date_format(F.try_to_timestamp(value, F.lit(f)), "yyyy-MM-dd") for f in formats))
+    """The string as it is where it is a date in one of the four accepted spellings, else null."""
+    known = F.lit(False)
+    for shape, form in DATE_FORMS:
+        known = known | (value.rlike(shape) & F.coalesce(F.try_to_timestamp(F.when(value.rlike(shape), value), F.lit(form)).isNotNull(), F.lit(False)))
+    return F.when(known, value)
+
+
+def widget_value(raw: Column, kind: Column) -> Column:
+    """A form widget's value by field type, as a struct (number, checked, text).
+
+    Numbers that can't be read stay as text, for the validation to find; checkbox and radio are checked by yes, on, true and 1;
+    a signature is checked if there is anything but white space; an empty widget of these three kinds is unchecked.
+    """
+    number = F.when(kind == "number", raw.try_cast("double"))
+    marked = F.coalesce(F.lower(raw).isin("yes", "on", "true", "1"), F.lit(False))
+    checked = F.when(kind.isin("checkbox", "radio"), marked).when(kind == "signature", F.coalesce(raw.rlike("\\S"), F.lit(False)))
+    text = F.when(~kind.isin("checkbox", "radio", "signature") & number.isNull(), raw)
+    return F.struct(number.alias("number"), checked.alias("checked"), text.alias("text"))
 
 
 def serial_date(days: Column) -> Column:
@@ -127,14 +198,13 @@ def serial_date(days: Column) -> Column:
     return F.timestamp_add("SECOND", F.round(days * 86400).cast("long"), F.lit("1899-12-30").cast("timestamp_ntz")).cast("timestamp_ntz")
 
 
-def backend_error(message: Column, kind: str) -> Column:
-    """A stable code from a back-end's message; kind: embed, vector or db."""
-    text, name = F.lower(message), {"embed": "EMBED", "vector": "VECTOR", "db": "DB"}[kind]
-    return (
-        F.when(text.contains("timeout") | text.contains("timed out"), f"E_BACKEND_{name}_TIMEOUT")
-        .when(text.contains("connect") | text.contains("refused"), f"E_BACKEND_{name}_CONNECT")
-        .otherwise(f"E_BACKEND_{name}_FAILED")
-    )
+def backend_error(message: Column) -> Column:
+    """A stable code read from a back-end's message: which back-end, and whether it was too slow or not reached."""
+    text = F.lower(message)
+    has = lambda *words: reduce(lambda x, y: x | y, (text.contains(w) for w in words))
+    name = F.when(has("embed"), "EMBED").when(has("vector", "qdrant", "collection"), "VECTOR").otherwise("DB")
+    code = lambda what: F.concat(F.lit("E_BACKEND_"), name, F.lit(f"_{what}"))
+    return F.when(has("timeout", "timed out"), code("TIMEOUT")).when(has("connect"), code("CONNECT")).otherwise("E_PROCESS_SCHEMA_GEN")
 
 
 def merge_codes(first: Column, second: Column) -> Column:
@@ -150,13 +220,17 @@ def warnings(codes: Column) -> Column:
     return F.filter(codes, lambda c: c.startswith("W_"))
 
 
-def field_confidence(base: Column, coerced: Column) -> Column:
-    """Native readings: 0.90 to 0.99, less 0.02 where the value was converted."""
-    return F.greatest(F.lit(0.90), F.least(F.lit(0.99), base - F.when(coerced, 0.02).otherwise(0.0)))
+def field_confidence(raw: Column, coerced: Column, native: Column | bool = True) -> Column:
+    """Native readings are held within 0.90 and 0.99, then lose 0.02 (not below 0.90) where the value was converted; others within 0 and 1."""
+    held = F.greatest(F.lit(0.90), F.least(raw, F.lit(0.99)))
+    held = F.when(coerced, F.greatest(F.lit(0.90), held - 0.02)).otherwise(held)
+    return F.when(F.lit(native) if isinstance(native, bool) else native, held).otherwise(F.greatest(F.lit(0.0), F.least(raw, F.lit(1.0))))
 
 
-def confidence_action(confidence: Column, field_min: float = 0.5, vlm_below: float = 0.4, accept: float = 0.8) -> Column:
-    return F.when(confidence >= accept, "accept").when(confidence >= field_min, "warn").when(confidence >= vlm_below, "review").otherwise("null")
+def confidence_action(confidence: Column, vlm: Column | bool = False, field_min: float = 0.5, vlm_below: float = 0.4) -> Column:
+    """What becomes of a field: accept; accept with a warning; below that, a vision model's turn (vlm), or no value (null)."""
+    vlm = F.lit(vlm) if isinstance(vlm, bool) else vlm
+    return F.when(confidence >= field_min, "accept").when(confidence >= vlm_below, "warn").when(vlm, "vlm").otherwise("null")
 
 
 def mark_confidence(ratio: Column, threshold: float) -> Column:

@@ -9,7 +9,7 @@ from __future__ import annotations
 import re
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.functions.ids import chunk_id_by_index, content_hash
@@ -57,10 +57,10 @@ def _cut(units: DataFrame, size: int, overlap: int, glue: str) -> DataFrame:
     """units: any columns and `units`, an array of strings. Adds chunk_index and chunk."""
     counted = units.withColumn("__counts", F.transform("units", word_count))
     ranged = counted.withColumn("__ranges", _ranges(F.col("__counts"), size, overlap))
-    each = ranged.select("*", F.posexplode("__ranges").alias("chunk_index", "__range"))
-    first, last = F.col("__range.first"), F.col("__range.last")
-    cut = each.withColumn("chunk", F.array_join(F.slice("units", first + 1, last - first), glue))
-    return cut.drop("units", "__counts", "__ranges", "__range")
+    # Cut inside the array, so that a document's units aren't carried along with each of its chunks.
+    part = lambda r: F.array_join(F.slice("units", r["first"] + 1, r["last"] - r["first"]), glue)
+    cut = ranged.withColumn("__chunks", F.transform("__ranges", part)).drop("units", "__counts", "__ranges")
+    return cut.select("*", F.posexplode("__chunks").alias("chunk_index", "chunk")).drop("__chunks")
 
 
 def line_chunks(docs: DataFrame, text: str = "text", size: int = SIZE, overlap: int = OVERLAP) -> DataFrame:
@@ -200,5 +200,15 @@ def with_ids(chunks: DataFrame, key: str) -> DataFrame:
     return hashed.withColumn("id", chunk_id_by_index(F.col(key), F.col("chunk_index")))
 
 
+def with_index(rows: DataFrame, keys: list[str], order: list[str], name: str = "chunk_index") -> DataFrame:
+    """Numbers the rows of each key from 0."""
+    return rows.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1)
+
+
+def drop_known(docs: DataFrame, known: DataFrame | None = None, key: str = "ingest_key") -> DataFrame:
+    """One row of each ingest key, and none whose key is known already."""
+    return (docs if known is None else docs.join(known.select(key).distinct(), key, "left_anti")).dropDuplicates([key])
+
+
 def markdown_headings(text: str) -> list[tuple[int, str, int]]:
     return [(len(m[1]), m[2].strip(), m.start()) for m in re.finditer(r"^(#{1,6})\s+(.+)$", text, re.M)]

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -70,6 +73,57 @@ def overall_confidence(fields: DataFrame, template_fields: DataFrame) -> DataFra
     return g.select("doc", (F.col("s") / F.greatest("w", F.lit(1.0))).alias("confidence"))
 
 
+def character_confidence(characters: Column, whole: Column) -> Column:
+    """The mean of the characters' confidences, or that of the whole reading where there are none."""
+    total = F.aggregate(characters, F.lit(0.0), lambda a, x: a + x.cast("double"))
+    return F.when(F.size(characters) > 0, total / F.size(characters)).otherwise(whole)
+
+
+def range_value(cells: DataFrame) -> DataFrame:
+    """The cells of a range, row by row, less empty ones, joined by line feeds. cells: doc, field, row, col, value."""
+    full = cells.withColumn("v", F.trim("value")).filter("v <> ''")
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("row", "col", "v"))), lambda x: x["v"]), "\n")
+    some = full.groupBy("doc", "field").agg(text.alias("value"))
+    return cells.select("doc", "field").distinct().join(some, ["doc", "field"], "left").withColumn("value", F.coalesce("value", F.lit("")))
+
+
+def cell_value(value: Column, required: Column, default: Column) -> Column:
+    """(value, confidence, warning) of a mapped cell: an empty one has its default at 0.95, or, required, none at 0."""
+    empty = F.coalesce(F.trim(value), F.lit("")) == ""
+    return F.struct(
+        F.when(~empty, value).when(~required, default).alias("value"),
+        F.when(~empty, F.lit(0.95)).when(required, F.lit(0.0)).otherwise(F.lit(0.95)).alias("confidence"),
+        F.when(empty & required, "W_FORM_FIELD_MISSING_REQUIRED").alias("warning"),
+    )
+
+
+def stored_value(value: Column, kind: Column) -> Column:
+    """How a table stores a field: checkboxes and signatures as 1, 0 or null, all else as it is."""
+    flag = F.when(value.isNull(), None).when(F.lower(value).isin("true", "1", "yes"), "1").otherwise("0")
+    return F.when(kind.isin("checkbox", "signature"), flag).otherwise(value)
+
+
+def choose_extractor(format_: Column, has_widgets: Column, has_native: Column, has_ocr: Column) -> Column:
+    """(method, error): which extractor reads a form, or why none can."""
+    ocr = F.when(has_ocr, F.struct(F.lit("ocr_overlay").alias("method"), F.lit(None).cast("string").alias("error")))
+    none = lambda code: F.struct(F.lit(None).cast("string").alias("method"), F.lit(code).alias("error"))
+    one = lambda method: F.struct(F.lit(method).alias("method"), F.lit(None).cast("string").alias("error"))
+    native = F.when(has_native, one("native_fields")).otherwise(none("E_FORM_NATIVE_FIELDS_UNAVAILABLE"))
+    return (
+        F.when(format_ == "xlsx", one("cell_mapping"))
+        .when((format_ == "pdf") & has_widgets, native)
+        .when(format_.isin("pdf", "image"), F.coalesce(ocr, none("E_FORM_OCR_FAILED")))
+        .otherwise(none("E_FORM_UNSUPPORTED_FORMAT"))
+    )
+
+
+def fail_closed(fields: DataFrame, overall: DataFrame, least: float = 0.3) -> DataFrame:
+    """No value of a document is written whose overall confidence is under `least`. overall: doc, confidence."""
+    known = overall.select("doc", F.col("confidence").alias("__overall"))
+    met = fields.join(known, "doc", "left")
+    return met.withColumn("value", F.when(F.coalesce(F.col("__overall") >= least, F.lit(False)), F.col("value"))).drop("__overall")
+
+
 def vlm_candidates(fields: DataFrame, below: float = 0.4, budget: int = 10) -> DataFrame:
     """Fields that a vision model should read again: the weak ones, required and weakest first, `budget` a document."""
     weak = fields.filter(F.col("confidence") < below)
@@ -90,6 +144,34 @@ def with_vlm(fields: DataFrame, readings: DataFrame, least: float = 0.5) -> Data
 # null version deletes all).
 
 
+STATUSES = ("draft", "approved", "archived")
+
+
+def created_templates(requests: DataFrame, fields: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """First versions of new templates, and the refused requests with a code.
+
+    requests: template, name, status (null: draft), format, fingerprint (null if it couldn't be made); fields: template, field,
+    pattern. A status that isn't known, or a pattern that is no regular expression, refuses a template.
+    """
+
+    @F.pandas_udf("boolean")
+    def broken(patterns: pd.Series) -> pd.Series:
+        def bad(pattern: str | None) -> bool:
+            try:
+                re.compile(pattern or "")
+            except re.error:
+                return True
+            return False
+
+        return patterns.map(bad)
+
+    wrong = fields.filter(broken("pattern")).select("template").distinct().withColumn("__bad", F.lit(True))
+    met = requests.withColumn("status", F.coalesce("status", F.lit("draft"))).join(wrong, "template", "left")
+    refused = F.coalesce("__bad", F.lit(False)) | ~F.col("status").isin(*STATUSES)
+    made = met.filter(~refused).drop("__bad").withColumn("version", F.lit(1))
+    return made, met.filter(refused).select("template", "name", F.lit("E_FORM_TEMPLATE_INVALID").alias("error"))
+
+
 def live_versions(versions: DataFrame, tombstones: DataFrame) -> DataFrame:
     whole = tombstones.filter("version is null").select("template").distinct()
     return versions.join(tombstones.filter("version is not null"), ["template", "version"], "left_anti").join(whole, "template", "left_anti")

@@ -18,39 +18,56 @@ SKIPPED = ("BLANK", "TOC", "VECTOR_ONLY")
 
 
 def page_profile(pages: DataFrame) -> DataFrame:
-    """pages: doc, page, text, image_coverage, n_tables, n_fonts, n_widgets. Adds words, chars, printable, page_type."""
+    """pages: doc, page, text, image_coverage, n_images, n_tables, n_fonts, n_widgets, multi_column. Adds n_words, n_chars, printable, page_type."""
     p = pages.withColumn("n_words", word_count(F.col("text"))).withColumn("n_chars", F.length("text")).withColumn("printable", printable_ratio(F.col("text")))
     return p.withColumn("page_type", preliminary_type())
 
 
 def preliminary_type() -> Column:
+    """The first that holds: next to no text and no image, an image with little text, form fields, a table, columns, text."""
     return (
-        F.when((F.col("n_words") == 0) & (F.col("image_coverage") < 0.05), "BLANK")
+        F.when((F.col("n_chars") < 10) & (F.col("n_images") == 0), "BLANK")
         .when((F.col("n_chars") < 50) & (F.col("image_coverage") > 0.7), "SCANNED")
         .when(F.col("n_widgets") > 0, "FORM")
-        .when(F.col("n_tables") >= 2, "TABLE_HEAVY")
-        .when((F.col("image_coverage") >= 0.3) & (F.col("n_chars") >= 50), "MIXED")
+        .when(F.col("n_tables") >= 1, "TABLE_HEAVY")
+        .when(F.col("multi_column"), "MIXED")
         .otherwise("TEXT")
     )
 
 
 def page_vote(profile: DataFrame) -> DataFrame:
-    """A class and confidence for each page; null class: borderline. Skippable pages take no part."""
-    complex_ = [F.col("page_type") == "FORM", F.col("page_type") == "TABLE_HEAVY", F.col("page_type") == "MIXED", F.col("n_tables") >= 1]
-    n_complex = sum((c.cast("int") for c in complex_[1:]), complex_[0].cast("int"))
-    text = (F.col("n_chars") >= 200).cast("int") + (F.col("image_coverage") < 0.3).cast("int") + (F.col("n_fonts") >= 1).cast("int")
-    scan = (F.col("n_chars") < 50).cast("int") + (F.col("image_coverage") > 0.7).cast("int") + (F.col("n_fonts") == 0).cast("int")
-    kind = F.when(F.col("page_type").isin(*SKIPPED), "skip").when(n_complex > 0, "complex").when(text >= 2, "text_native").when(scan >= 2, "scanned")
-    confidence = F.when(F.col("page_type").isin(*SKIPPED), 0.0).when(n_complex > 0, F.when(n_complex >= 2, 0.9).otherwise(0.7)).when(text >= 2, F.when(text == 3, 0.9).otherwise(0.7)).when(scan >= 2, F.when(scan == 3, 0.9).otherwise(0.7)).otherwise(0.0)
+    """A class and confidence for each page; null class: borderline. Skippable pages (vote skip, 1.0) take no part.
+
+    Tables, columns and form fields are signals of a complex page; two of the three text signals, or of their opposites, make a
+    page text_native or scanned.
+    """
+    count = lambda *signals: sum((c.cast("int") for c in signals[1:]), signals[0].cast("int"))
+    skipped = F.col("page_type").isin(*SKIPPED)
+    n_complex = count(F.col("n_tables") >= 1, F.col("multi_column"), F.col("n_widgets") > 0)
+    text = count(F.col("n_chars") >= 200, F.col("image_coverage") < 0.3, F.col("n_fonts") >= 1)
+    scan = count(F.col("n_chars") < 50, F.col("image_coverage") > 0.7, F.col("n_fonts") == 0)
+    sure = lambda yes: F.when(yes, 0.9).otherwise(0.7)
+    kind = F.when(skipped, "skip").when(n_complex > 0, "complex").when(text >= 2, "text_native").when(scan >= 2, "scanned")
+    confidence = F.when(skipped, 1.0).when(n_complex > 0, sure(n_complex >= 2)).when(text >= 2, sure(text == 3)).when(scan >= 2, sure(scan == 3)).otherwise(0.0)
     return profile.withColumn("vote", kind).withColumn("vote_confidence", confidence)
 
 
 def document_vote(votes: DataFrame) -> DataFrame:
-    """Pages that agree give their class and least confidence, those that don't make a document complex, a borderline one 0."""
-    real = votes.filter(F.coalesce("vote", F.lit("")) != "skip")
-    g = real.groupBy("doc").agg(F.count_if(F.col("vote").isNull()).alias("open"), F.count_distinct("vote").alias("kinds"), F.min("vote").alias("one"), F.min("vote_confidence").alias("least"))
-    kind = F.when(F.col("kinds") == 1, F.col("one")).otherwise("complex")
-    confidence = F.when(F.col("open") > 0, 0.0).when(F.col("kinds") == 1, F.col("least")).otherwise(0.9)
+    """Pages that agree give their class and least confidence, those that don't make a document complex.
+
+    A borderline page, or skippable pages alone, leave it open: complex with confidence 0.
+    """
+    real = F.coalesce("vote", F.lit("")) != "skip"
+    g = votes.groupBy("doc").agg(
+        F.count_if(F.col("vote").isNull()).alias("open"),
+        F.count_if(real).alias("n"),
+        F.count_distinct(F.when(real, F.col("vote"))).alias("kinds"),
+        F.min(F.when(real, F.col("vote"))).alias("one"),
+        F.min(F.when(real, F.col("vote_confidence"))).alias("least"),
+    )
+    undecided = (F.col("open") > 0) | (F.col("n") == 0)
+    kind = F.when(~undecided & (F.col("kinds") == 1), F.col("one")).otherwise("complex")
+    confidence = F.when(undecided, 0.0).when(F.col("kinds") == 1, F.col("least")).otherwise(0.9)
     return g.select("doc", kind.alias("pdf_type"), confidence.alias("confidence"))
 
 
@@ -96,8 +113,15 @@ def even_pages(pages: DataFrame, k: int = 5) -> DataFrame:
     return pages.join(chosen, ["doc", "page"], "left_semi")
 
 
-def ocr_pages(profile: DataFrame) -> DataFrame:
-    return profile.filter(~F.col("page_type").isin(*SKIPPED))
+def ocr_pages(profile: DataFrame, chosen: list[int] | None = None) -> DataFrame:
+    """The pages that OCR reads: those of an explicit list, or all that aren't skippable."""
+    return profile.filter(F.col("page").isin(chosen) if chosen is not None else ~F.col("page_type").isin(*SKIPPED))
+
+
+def looked_up(rows: DataFrame, known: DataFrame, keys: list[str], value: str, default: int = 0) -> DataFrame:
+    """rows with a value looked up by keys, `default` where there is none (pages of fields, offsets of headings)."""
+    kind = dict(known.dtypes)[value]
+    return rows.join(known.select(*keys, value), keys, "left").withColumn(value, F.coalesce(value, F.lit(default).cast(kind)))
 
 
 def ocr_rollup(results: DataFrame, low: float = 0.7) -> DataFrame:
@@ -173,10 +197,15 @@ def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([0.0 if x is None or y is None else difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)])
 
 
-def repeated_zones(zones: DataFrame, ratio: float = 0.7) -> DataFrame:
-    """Header and footer texts that come back on nearly all sampled pages. zones: doc, page, zone, text."""
-    n = zones.groupBy("doc").agg(F.count_distinct("page").alias("n"))
-    a, b = zones.alias("a"), zones.alias("b")
+def repeated_zones(zones: DataFrame, ratio: float = 0.7, samples: int = 5) -> DataFrame:
+    """Header and footer texts that come back on nearly all of a document's sampled pages. zones: doc, page, zone, text.
+
+    A document is sampled evenly: `samples` pages, so at most samples squared pairs of texts are compared.
+    """
+    numbered = zones.withColumn("at", F.dense_rank().over(Window.partitionBy("doc").orderBy("page")))
+    sampled = even_pages(numbered.withColumnRenamed("page", "sheet").withColumnRenamed("at", "page"), samples).withColumnRenamed("page", "at").withColumnRenamed("sheet", "page")
+    n = sampled.groupBy("doc").agg(F.count_distinct("page").alias("n"))
+    a, b = sampled.alias("a"), sampled.alias("b")
     pairs = a.join(b, (F.col("a.doc") == F.col("b.doc")) & (F.col("a.zone") == F.col("b.zone")) & (F.col("a.page") != F.col("b.page")))
     alike = pairs.select(F.col("a.doc").alias("doc"), F.col("a.zone").alias("zone"), F.col("a.text").alias("text"), F.col("b.page").alias("other"), similarity(F.col("a.text"), F.col("b.text")).alias("r")).filter(F.col("r") >= ratio)
     hits = alike.groupBy("doc", "zone", "text").agg((F.count_distinct("other") + 1).alias("pages"))
@@ -193,13 +222,71 @@ def strip_lines(pages: DataFrame, patterns: DataFrame, ratio: float = 0.7) -> Da
     return pages.drop("text").join(texts, ["doc", "page"], "left").withColumn("text", F.coalesce("text", F.lit("")))
 
 
-def stitch_tables(tables: DataFrame) -> DataFrame:
-    """Numbers groups of tables that go on from page to page. tables: doc, page, table_no, n_columns, header.
+def stitch_tables(tables: DataFrame, threshold: float = 0.8) -> DataFrame:
+    """Numbers groups of tables that go on from page to page: adds continued and group_no. tables: doc, page, table_no, header (an array).
+
+    A table continues the group before it if it is the first of the next page with tables, has as many columns as the group's
+    first table, and a header that is like that table's (matching share of the two arrays). Whether a table goes on depends on where the
+    group began, so a document's tables are walked in order.
+    """
+
+    def walk(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values(["page", "table_no"], kind="stable").reset_index(drop=True)
+        base, group, page, continued, groups = None, 0, None, [], []
+        for row in part.itertuples():
+            header = list(row.header) if row.header is not None else []
+            first = page is not None and row.page != page
+            goes_on = first and base is not None and len(base) == len(header) and difflib.SequenceMatcher(None, base, header).ratio() >= threshold
+            if not goes_on:
+                base, group = header, group + 1
+            continued.append(bool(goes_on))
+            groups.append(group)
+            page = row.page
+        return part[["doc", "page", "table_no"]].assign(continued=continued, group_no=groups)
+
+    kinds = dict(tables.dtypes)
+    schema = f"doc {kinds['doc']}, page {kinds['page']}, table_no {kinds['table_no']}, continued boolean, group_no long"
+    return tables.join(tables.select("doc", "page", "table_no", "header").groupBy("doc").applyInPandas(walk, schema), ["doc", "page", "table_no"])
+
+
+def stitched_rows(tables: DataFrame) -> DataFrame:
+    """A row per group of stitch_tables: doc, group_no, pages, header and rows. tables also has rows, an array of arrays.
+
+    A continuation's first row goes where it repeats the header of the group's first table, white space and case aside.
+    """
+    same = lambda a: F.transform(a, lambda x: F.lower(F.trim(x)))
+    base = F.first("header").over(Window.partitionBy("doc", "group_no").orderBy("page", "table_no"))
+    headed = tables.withColumn("base", base)
+    again = F.col("continued") & (F.size("rows") > 0) & F.coalesce(same(F.try_element_at("rows", F.lit(1))) == same(F.col("base")), F.lit(False))
+    cut = headed.withColumn("rows", F.when(again, F.slice("rows", 2, F.greatest(F.size("rows") - 1, F.lit(0)))).otherwise(F.col("rows")))
+    parts = F.array_sort(F.collect_list(F.struct("page", "table_no", "rows")))
+    grouped = cut.groupBy("doc", "group_no").agg(F.first("base").alias("header"), parts.alias("parts"))
+    return grouped.select("doc", "group_no", F.array_distinct(F.transform("parts", lambda x: x["page"])).alias("pages"), "header", F.flatten(F.transform("parts", lambda x: x["rows"])).alias("rows"))
+
+
+def widget_text(widgets: DataFrame, pages: DataFrame | None = None) -> DataFrame:
+    """The text of a page with form fields: its own text, and a block with a line per widget.
 
-    A table continues the one before it in the document if it is the first of the next page with tables, has as many columns
-    and the same header; the group's number is that of its first table.
+    widgets: doc, page, place, kind, name, value; pages: doc, page, text. Buttons are Yes or No, other widgets without a value
+    (empty); signatures are left out, and a page with nothing else has no block.
+    """
+    marked = F.when(F.col("value").isin("Yes", "On", "/Yes", "/On"), "Yes").otherwise("No")
+    value = F.when(F.col("kind").isin("checkbox", "radio"), marked).otherwise(F.coalesce(F.nullif("value", F.lit("")), F.lit("(empty)")))
+    name = F.coalesce(F.nullif("name", F.lit("")), F.lit("(unnamed)"))
+    lines = widgets.filter("kind <> 'signature'").withColumn("line", F.concat(name, F.lit(": "), value))
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "line"))), lambda x: x["line"]), "\n")
+    blocks = lines.groupBy("doc", "page").agg(F.concat(F.lit("[Form Fields]\n"), body).alias("block"))
+    if pages is None:
+        return blocks.withColumnRenamed("block", "text")
+    both = pages.select("doc", "page", F.nullif(F.trim("text"), F.lit("")).alias("text")).join(blocks, ["doc", "page"], "full")
+    return both.select("doc", "page", F.concat_ws("\n", "text", "block").alias("text"))
+
+
+def image_chunks(readings: DataFrame, least: int = 10) -> DataFrame:
+    """Captions and OCR texts of images as chunks. readings: doc, caption, ocr (either may be null).
+
+    A row per text that isn't empty: doc, method (caption, ocr), text, and W_CAPTION_SHORT for a caption under `least` characters.
     """
-    by_doc = Window.partitionBy("doc").orderBy("page", "table_no")
-    before = lambda c: F.lag(c).over(by_doc)
-    same = (before("n_columns") == F.col("n_columns")) & (before("header") == F.col("header")) & (F.col("table_no") == 1) & (before("page") < F.col("page"))
-    return tables.withColumn("continued", F.coalesce(same, F.lit(False))).withColumn("group_no", F.sum((~F.col("continued")).cast("int")).over(by_doc))
+    both = readings.select("doc", F.explode(F.array(F.struct(F.lit("caption").alias("method"), F.trim("caption").alias("text")), F.struct(F.lit("ocr").alias("method"), F.trim("ocr").alias("text")))).alias("x")).select("doc", "x.*")
+    short = (F.col("method") == "caption") & (F.length("text") < least)
+    return both.filter("text <> ''").withColumn("warning", F.when(short, "W_CAPTION_SHORT"))

@@ -21,9 +21,11 @@ def classed(cells: DataFrame) -> DataFrame:
     return cells.withColumn("class", cell_class(F.col("num"), F.col("str")))
 
 
-def type_ratios(cells: DataFrame) -> DataFrame:
-    """Shares of numeric, text and empty cells of a sheet."""
+def type_ratios(cells: DataFrame, headers: DataFrame | None = None) -> DataFrame:
+    """Shares of numeric, text and empty cells of a sheet's data rows: those below its header. headers: file, sheet, header_row (0: none)."""
     share = lambda kind: F.count_if(F.col("class") == kind) / F.count(F.lit(1))
+    if headers is not None:
+        cells = cells.join(headers.select(*SHEET, "header_row"), SHEET, "left").filter(F.col("row") > F.coalesce("header_row", F.lit(0))).drop("header_row")
     return classed(cells).groupBy(SHEET).agg(share("numeric").alias("numeric_ratio"), share("text").alias("text_ratio"), share("empty").alias("empty_ratio"))
 
 
@@ -207,29 +209,66 @@ def pipe_text(cells: DataFrame) -> DataFrame:
     return parts.groupBy("file").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("sheet", "part"))), lambda x: x["part"]), "\n\n").alias("text"))
 
 
-def describe_columns(table: DataFrame, columns: list[str], few: int = 20) -> DataFrame:
-    """A row per column: what a reader should know of it (no data, range, true/false, one of a few, number of values)."""
+def describe_columns(table: DataFrame, columns: list[str], order: str, few: int = 20) -> DataFrame:
+    """A row per column: what a reader should know of it (no data, range, true/false, one of a few, number of values).
+
+    The few are named in the order in which they are first seen, by `order`. Different values are counted and ranked as rows of
+    their own, so no column's values come together in one place.
+    """
     kinds = dict(table.dtypes)
-    aggregates = []
-    for c in columns:
-        aggregates += [F.count(c).alias(f"{c}__n"), F.count_distinct(c).alias(f"{c}__d")]
-        if kinds[c] in ("int", "bigint", "double", "float", "smallint"):
-            aggregates += [F.min(c).cast("string").alias(f"{c}__lo"), F.max(c).cast("string").alias(f"{c}__hi")]
-        else:
-            # Bounded: a value beyond the `few`th changes nothing but the count.
-            aggregates += [F.slice(F.array_sort(F.collect_set(F.col(c).cast("string"))), 1, few).alias(f"{c}__set")]
+    numbers = [c for c in columns if kinds[c].split("(")[0] in ("tinyint", "smallint", "int", "bigint", "float", "double", "decimal")]
+    times = [c for c in columns if kinds[c] in ("date", "timestamp", "timestamp_ntz")]
+    others = [c for c in columns if c not in numbers + times and kinds[c] != "boolean"]
+    shown = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss") if kinds[c] in ("date", "timestamp", "timestamp_ntz") else F.col(c).cast("string")
+    aggregates = [F.count(c).alias(f"{c}__n") for c in columns]
+    aggregates += [f(c).alias(f"{c}__{name}") for c in numbers + times for name, f in (("lo", F.min), ("hi", F.max))]
     one = table.agg(*aggregates)
+    text = lambda c, end: one[f"{c}__{end}"].cast("string") if c in numbers else F.date_format(one[f"{c}__{end}"], "yyyy-MM-dd HH:mm:ss")
     rows = []
     for c in columns:
-        n, d = F.col(f"{c}__n"), F.col(f"{c}__d")
-        if f"{c}__lo" in one.columns:
-            rest = F.concat(F.lit("range "), F.col(f"{c}__lo"), F.lit(" to "), F.col(f"{c}__hi"))
-        elif kinds[c] == "boolean":
-            rest = F.lit("true/false")
+        if c in numbers:
+            rest = F.concat(F.lit("range "), text(c, "lo"), F.lit(" to "), text(c, "hi"))
+        elif c in times:
+            rest = F.concat(F.lit("ranges from "), text(c, "lo"), F.lit(" to "), text(c, "hi"))
         else:
-            rest = F.when(d < few, F.concat(F.lit("one of "), F.array_join(f"{c}__set", ", "))).otherwise(F.concat(d.cast("string"), F.lit(" unique values")))
-        rows.append(F.struct(F.lit(c).alias("column_name"), F.when(n == 0, "no data").otherwise(rest).alias("description")))
-    return one.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
+            rest = F.lit("true/false") if kinds[c] == "boolean" else F.lit(None).cast("string")
+        rows.append(F.struct(F.lit(c).alias("column_name"), F.when(F.col(f"{c}__n") == 0, "no data").otherwise(rest).alias("description")))
+    found = one.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
+    if not others:
+        return found
+    long = table.select(F.col(order).alias("__at"), F.explode(F.array(*(F.struct(F.lit(c).alias("column_name"), shown(c).alias("v")) for c in others))).alias("x")).filter("x.v is not null")
+    values = long.groupBy("x.column_name", "x.v").agg(F.min("__at").alias("first"))
+    counts = values.groupBy("column_name").agg(F.count(F.lit(1)).alias("d"))
+    ranked = values.withColumn("rank", F.row_number().over(Window.partitionBy("column_name").orderBy("first", "v"))).filter(F.col("rank") < few)
+    named = ranked.groupBy("column_name").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "v"))), lambda x: x["v"]), ", ").alias("names"))
+    told = F.when(F.col("d") < few, F.concat(F.lit("one of "), "names")).when(F.col("d").isNotNull(), F.concat(F.col("d").cast("string"), F.lit(" unique values")))
+    return found.join(counts.join(named, "column_name"), "column_name", "left").select("column_name", F.coalesce("description", told).alias("description"))
+
+
+def file_rollup(cells: DataFrame) -> DataFrame:
+    """Sheets, rows and empty cells of each file."""
+    per_sheet = classed(cells).groupBy(*SHEET).agg(F.count_distinct("row").alias("rows"), F.count_if(F.col("class") == "empty").alias("empty"))
+    return per_sheet.groupBy("file").agg(F.count(F.lit(1)).alias("n_sheets"), F.sum("rows").alias("n_rows"), F.sum("empty").alias("empty_cells"))
+
+
+def skip_warning(hidden: Column, n_rows: Column, n_columns: Column, most_rows: int) -> Column:
+    """Why a sheet is left out or cut (hidden, without cells, too long); null: it isn't."""
+    return F.when(hidden, "W_SHEET_SKIPPED_HIDDEN").when((n_rows == 0) | (n_columns == 0), "W_SHEET_SKIPPED_EMPTY").when(n_rows > most_rows, "W_ROWS_TRUNCATED")
+
+
+def sample_rows(rows: DataFrame, n: int = 3) -> DataFrame:
+    """The first n rows of each sheet, by row."""
+    return rows.withColumn("__rank", F.row_number().over(Window.partitionBy(*SHEET).orderBy("row"))).filter(F.col("__rank") <= n).drop("__rank")
+
+
+def excel_tier(confidence: Column, answered: Column) -> Column:
+    """The tier of a workbook's class: by rule, unless that left it open (0.0); then a language model's, and a better one's below 0.6."""
+    return F.when(confidence > 0, "rule_based").when(answered >= 0.6, "llm_basic").otherwise("llm_reasoning")
+
+
+def route_sheet(rows: Column, most: int = 5000) -> Column:
+    """Sheets always become a table and a schema chunk; their rows become sentences too if they are under `most`."""
+    return F.when(rows < most, F.array(F.lit("table"), F.lit("schema"), F.lit("rows"))).otherwise(F.array(F.lit("table"), F.lit("schema")))
 
 
 def route_table(rows: Column, most: int = 20) -> Column:

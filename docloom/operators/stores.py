@@ -50,9 +50,17 @@ def delete_ids(old: DataFrame, gone: DataFrame, key: str) -> DataFrame:
     return old.join(gone.select(key).distinct(), key, "left_anti")
 
 
+class ConcurrentWrite(RuntimeError):
+    """Another writer is making, or has made, the next version of a table."""
+
+
 @dataclass
 class ParquetStore:
-    """Versioned tables in a folder: each write is a new version, so a reader never sees half of one."""
+    """Versioned tables in a folder: each write is a new version, so a reader never sees half of one.
+
+    A writer claims the number of its version before it writes: of two with the same base one gets ConcurrentWrite and may read and
+    try again, so no update is lost. A writer that died leaves its claim; release() removes it.
+    """
 
     spark: SparkSession
     root: str
@@ -76,15 +84,36 @@ class ParquetStore:
     def read(self, table: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.root}/{table}/{self.versions(table)[-1]}")
 
-    def replace(self, table: str, rows: DataFrame) -> None:
-        n = len(self.versions(table))
-        rows.write.parquet(f"{self.root}/{table}/{n:08d}-{uuid.uuid4().hex[:8]}")
+    def _claim(self, table: str, n: int):
+        path, fs = self._path(table)
+        return self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path, f"_claims/{n:08d}"), fs
+
+    def replace(self, table: str, rows: DataFrame, base: int | None = None) -> None:
+        """Writes version `base` + 1; base: the number of versions that rows were made from."""
+        n = len(self.versions(table)) if base is None else base
+        claim, fs = self._claim(table, n)
+        try:
+            fs.create(claim, False).close()
+        except Exception as e:
+            raise ConcurrentWrite(f"{table}: version {n}") from e
+        try:
+            rows.write.parquet(f"{self.root}/{table}/{n:08d}-{uuid.uuid4().hex[:8]}")
+        except BaseException:
+            fs.delete(claim, False)
+            raise
+
+    def release(self, table: str) -> None:
+        """Removes the claim of a writer that died before its version was whole."""
+        claim, fs = self._claim(table, len(self.versions(table)))
+        fs.delete(claim, False)
 
     def upsert(self, table: str, rows: DataFrame, key: str) -> None:
-        self.replace(table, upsert(self.read(table), rows, key) if self.exists(table) else rows)
+        n = len(self.versions(table))
+        self.replace(table, upsert(self.read(table), rows, key) if n else rows, n)
 
     def delete(self, table: str, ids: DataFrame, key: str) -> None:
-        self.replace(table, delete_ids(self.read(table), ids, key))
+        n = len(self.versions(table))
+        self.replace(table, delete_ids(self.read(table), ids, key), n)
 
     def columns(self, table: str) -> list[tuple[str, str]]:
         return self.read(table).dtypes
@@ -94,6 +123,42 @@ class ParquetStore:
         fs.delete(path, True)
 
 
+@dataclass
+class TemplateStore:
+    """Form templates: an append-only table of versions and one of tombstones."""
+
+    store: ParquetStore
+    table: str = "templates"
+
+    def save(self, versions: DataFrame) -> None:
+        """versions: template, version and what else describes them; a version that is there already is an error."""
+        n = len(self.store.versions(self.table))
+        if n:
+            old = self.store.read(self.table)
+            if old.join(versions, ["template", "version"], "left_semi").limit(1).count():
+                raise ValueError("a saved version can't be changed")
+            versions = old.unionByName(versions, allowMissingColumns=True)
+        self.store.replace(self.table, versions, n)
+
+    def delete(self, template: str, version: int | None = None) -> None:
+        """Soft: a tombstone for one version, or for all of a template."""
+        row, name = self.store.spark.createDataFrame([(template, version)], "template string, version int"), f"{self.table}_deleted"
+        n = len(self.store.versions(name))
+        self.store.replace(name, self.store.read(name).unionByName(row) if n else row, n)
+
+    def tables(self) -> tuple[DataFrame, DataFrame]:
+        """Versions and tombstones, as forms.live_versions and the like take them."""
+        name, none = f"{self.table}_deleted", self.store.spark.createDataFrame([], "template string, version int")
+        return self.store.read(self.table), self.store.read(name) if self.store.exists(name) else none
+
+
+def write_jdbc(rows: DataFrame, url: str, table: str, properties: dict[str, str] | None = None, partitions: int = 8) -> None:
+    """Appends rows to a database's table by at most `partitions` connections at a time."""
+    if not all(IDENTIFIER.match(part) for part in table.split(".")):
+        raise ValueError(f"not a table's name: {table!r}")
+    rows.coalesce(partitions).write.jdbc(url, table, mode="append", properties=properties or {})
+
+
 @dataclass
 class Written:
     """What a run wrote, for a caller that wants it undone."""

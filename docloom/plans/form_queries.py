@@ -96,11 +96,13 @@ def f12_box_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").withColumn("b", box).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "b.left", "b.bottom")
 
 
-@query(f"""WITH {FIELDS} SELECT doc, place::INTEGER AS place, round(greatest(0.9, least(0.99, confidence + 0.5 - CASE WHEN required THEN 0.02 ELSE 0 END)), 9)::DOUBLE AS native, round(least(abs(confidence - 0.3) / 0.3, 1.0), 9)::DOUBLE AS mark,
-  CASE WHEN confidence >= 0.8 THEN 'accept' WHEN confidence >= 0.5 THEN 'warn' WHEN confidence >= 0.4 THEN 'review' ELSE 'null' END AS action FROM f""")
+@query(f"""WITH {FIELDS}, h AS (SELECT *, greatest(0.9, least(0.99, confidence + 0.5)) AS held FROM f)
+  SELECT doc, place::INTEGER AS place, round(CASE WHEN place % 4 = 0 THEN least(confidence + 0.5, 1.0) WHEN required THEN greatest(0.9, held - 0.02) ELSE held END, 9)::DOUBLE AS native, round(least(abs(confidence - 0.3) / 0.3, 1.0), 9)::DOUBLE AS mark,
+  CASE WHEN confidence >= 0.5 THEN 'accept' WHEN confidence >= 0.4 THEN 'warn' WHEN required THEN 'vlm' ELSE 'null' END AS action FROM h""")
 def f8_f10_confidences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = F.col("confidence")
-    return fields(spark, sf_dir).select("doc", "place", F.round(text.field_confidence(c + 0.5, F.col("required")), 9).alias("native"), F.round(text.mark_confidence(c, 0.3), 9).alias("mark"), text.confidence_action(c).alias("action"))
+    c, required = F.col("confidence"), F.col("required")
+    native = text.field_confidence(c + 0.5, required, F.col("place") % 4 != 0)
+    return fields(spark, sf_dir).select("doc", "place", F.round(native, 9).alias("native"), F.round(text.mark_confidence(c, 0.3), 9).alias("mark"), text.confidence_action(c, required).alias("action"))
 
 
 @query(f"""WITH {FIELDS}, tf AS (SELECT DISTINCT template, 'f' || template % 6 AS field, template % 2 = 0 AS required FROM f), j AS (SELECT doc, confidence, CASE WHEN required THEN 2.0 ELSE 1.0 END AS weight FROM (SELECT f.doc, f.confidence, tf.required FROM f LEFT JOIN tf USING (template, field)))
@@ -189,13 +191,50 @@ def t11_t12_form_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return forms.form_texts(shown, "2026-01-02")
 
 
-@query(f"""WITH {FIELDS} SELECT doc, place::INTEGER AS place, CASE WHEN page % 2 = 0 THEN regexp_replace(value || ' 1,2-3.4 x', '[^0-9.\\-]', '', 'g') ELSE trim(regexp_replace(' ' || value || '  b ', '\\s+', ' ', 'g')) END AS value FROM f""")
+@query(f"""WITH {FIELDS} SELECT doc, place::INTEGER AS place, CASE WHEN page % 3 = 0 THEN regexp_replace(value || ' 1,2-3.4 x', '[^0-9.\\-,]', '', 'g') WHEN page % 3 = 1 THEN trim(regexp_replace(value, '\\s+', ' ', 'g')) || ' b' ELSE trim(value) || '  b' END AS value FROM f""")
 def f3_ocr_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw = F.when(F.col("page") % 2 == 0, F.concat("value", F.lit(" 1,2-3.4 x"))).otherwise(F.concat(F.lit(" "), "value", F.lit("  b ")))
-    return fields(spark, sf_dir).select("doc", "place", text.ocr_value(raw, F.when(F.col("page") % 2 == 0, "number").otherwise("text")).alias("value"))
+    raw = F.when(F.col("page") % 3 == 0, F.concat("value", F.lit(" 1,2-3.4 x"))).otherwise(F.concat(F.lit(" "), "value", F.lit("  b ")))
+    return fields(spark, sf_dir).select("doc", "place", text.ocr_value(raw, F.when(F.col("page") % 3 == 0, "number").when(F.col("page") % 3 == 1, "date").otherwise("text")).alias("value"))
 
 
 @query(f"""WITH {FIELDS}, s AS (SELECT f.*, avg(confidence) OVER (PARTITION BY doc) AS overall FROM f) SELECT doc, place::INTEGER AS place, CASE WHEN round(overall, 6) >= 0.45 THEN value END AS value FROM s""")
 def g10_fail_closed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    overall = F.avg("confidence").over(Window.partitionBy("doc"))
-    return fields(spark, sf_dir).withColumn("overall", F.round(overall, 6)).select("doc", "place", F.when(F.col("overall") >= 0.45, F.col("value")).alias("value"))
+    f = fields(spark, sf_dir)
+    overall = f.groupBy("doc").agg(F.round(F.avg("confidence"), 6).alias("confidence"))
+    return forms.fail_closed(f, overall, 0.45).select("doc", "place", "value")
+
+
+@query(f"""WITH {FIELDS} SELECT doc, field, coalesce(string_agg(v, chr(10) ORDER BY page, place) FILTER (v <> ''), '') AS value FROM (SELECT *, trim(CASE WHEN place % 3 = 0 THEN ' ' ELSE value || place END) AS v FROM f) GROUP BY doc, field""")
+def f6_range_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cells = fields(spark, sf_dir).select("doc", "field", F.col("page").alias("row"), F.col("place").alias("col"), F.when(F.col("place") % 3 == 0, " ").otherwise(F.concat("value", F.col("place").cast("string"))).alias("value"))
+    return forms.range_value(cells)
+
+
+@query(f"""WITH {FIELDS} SELECT doc, place::INTEGER AS place, CASE WHEN place % 4 <> 0 THEN value WHEN NOT required THEN 'none' END AS value, CASE WHEN place % 4 = 0 AND required THEN 0.0 ELSE 0.95 END::DOUBLE AS confidence,
+  CASE WHEN place % 4 = 0 AND required THEN 'W_FORM_FIELD_MISSING_REQUIRED' END AS warning, CASE WHEN place % 3 = 0 THEN CASE WHEN value = 'R' THEN '1' ELSE '0' END ELSE value END AS stored,
+  round(CASE WHEN place % 5 = 0 THEN confidence ELSE (confidence + 0.5) / 2 END, 9)::DOUBLE AS mean FROM f""")
+def f7_f19_a11_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f, c = fields(spark, sf_dir), F.col("confidence")
+    cell = forms.cell_value(F.when(F.col("place") % 4 != 0, F.col("value")).otherwise(" "), F.col("required"), F.lit("none"))
+    flag = F.when(F.col("place") % 3 == 0, F.when(F.col("value") == "R", "true").otherwise("false")).otherwise(F.col("value"))
+    stored = forms.stored_value(flag, F.when(F.col("place") % 3 == 0, "checkbox").otherwise("text"))
+    mean = forms.character_confidence(F.when(F.col("place") % 5 == 0, F.array().cast("array<double>")).otherwise(F.array(c, F.lit(0.5))), c)
+    return f.select("doc", "place", cell["value"].alias("value"), cell["confidence"].alias("confidence"), cell["warning"].alias("warning"), stored.alias("stored"), F.round(mean, 9).alias("mean"))
+
+
+@query("""SELECT doc_id, CASE WHEN doc_id % 5 = 1 THEN 'cell_mapping' WHEN doc_id % 5 = 0 AND doc_id % 3 = 0 THEN CASE WHEN doc_id % 7 <> 0 THEN 'native_fields' END WHEN doc_id % 5 IN (0, 2, 3) AND doc_id % 11 <> 0 THEN 'ocr_overlay' END AS method,
+  CASE WHEN doc_id % 5 = 1 THEN NULL WHEN doc_id % 5 = 0 AND doc_id % 3 = 0 THEN CASE WHEN doc_id % 7 = 0 THEN 'E_FORM_NATIVE_FIELDS_UNAVAILABLE' END WHEN doc_id % 5 IN (0, 2, 3) THEN CASE WHEN doc_id % 11 = 0 THEN 'E_FORM_OCR_FAILED' END ELSE 'E_FORM_UNSUPPORTED_FORMAT' END AS error FROM documents""")
+def g8_extractors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = F.expr("'form.' || doc_id || CASE doc_id % 5 WHEN 0 THEN '.pdf' WHEN 1 THEN '.XLSX' WHEN 2 THEN '.jpeg' WHEN 3 THEN '.tif' ELSE '.txt' END")
+    n = F.col("doc_id")
+    chosen = forms.choose_extractor(forms.source_format(path), n % 3 == 0, n % 7 != 0, n % 11 != 0)
+    return table(spark, sf_dir, "documents").select("doc_id", chosen.alias("c")).select("doc_id", "c.method", "c.error")
+
+
+@query("""SELECT c_custkey AS template, c_name AS name, CASE WHEN c_custkey % 7 = 0 OR c_custkey % 5 = 0 THEN NULL ELSE 1 END::INTEGER AS version, CASE WHEN c_custkey % 7 = 0 OR c_custkey % 5 = 0 THEN 'E_FORM_TEMPLATE_INVALID' END AS error FROM customer""")
+def g1_create_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "customer")
+    requests = c.select(F.col("c_custkey").alias("template"), F.col("c_name").alias("name"), F.expr("CASE WHEN c_custkey % 7 = 0 THEN 'live' WHEN c_custkey % 2 = 0 THEN 'approved' END AS status"), F.lit("pdf").alias("format"), F.lit(None).cast("binary").alias("fingerprint"))
+    patterns = c.select(F.col("c_custkey").alias("template"), F.lit("f").alias("field"), F.expr("CASE WHEN c_custkey % 5 = 0 THEN '[a-' WHEN c_custkey % 3 = 0 THEN '[a-z]+' END AS pattern"))
+    made, refused = forms.created_templates(requests, patterns)
+    return made.select("template", "name", "version", F.lit(None).cast("string").alias("error")).unionByName(refused.select("template", "name", F.lit(None).cast("int").alias("version"), "error"))

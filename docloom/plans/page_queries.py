@@ -11,16 +11,17 @@ from docloom.plans.registry import query, table
 from docloom.plans.text_queries import WORDS
 
 PAGES = f"""p0 AS (SELECT doc_id AS doc, unnest(range(1, len(l) + 1)) AS page, unnest(l) AS text FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)),
-  p AS (SELECT *, ((doc * 7 + page * 13) % 100) / 100 AS image_coverage, ((doc + page) % 5 = 0)::INT + ((doc + page) % 10 = 0)::INT AS n_tables, (doc + page) % 3 AS n_fonts, ((doc * page) % 17 = 3)::INT AS n_widgets,
+  p AS (SELECT *, ((doc * 7 + page * 13) % 100) / 100 AS image_coverage, ((doc * 7 + page * 13) % 100 >= 30)::INT AS n_images, (doc + page) % 7 = 0 AS multi_column, ((doc + page) % 5 = 0)::INT + ((doc + page) % 10 = 0)::INT AS n_tables, (doc + page) % 3 AS n_fonts, ((doc * page) % 17 = 3)::INT AS n_widgets,
     {WORDS.format("text")} AS n_words, length(text) AS n_chars, CASE WHEN length(text) = 0 THEN 0.0 ELSE length(regexp_replace(text, '[^\\x20-\\x7E\\t\\n\\r\\x0B\\x0C]', '', 'g')) / length(text) END AS printable FROM p0),
-  t AS (SELECT *, CASE WHEN n_words = 0 AND image_coverage < 0.05 THEN 'BLANK' WHEN n_chars < 50 AND image_coverage > 0.7 THEN 'SCANNED' WHEN n_widgets > 0 THEN 'FORM' WHEN n_tables >= 2 THEN 'TABLE_HEAVY'
-    WHEN image_coverage >= 0.3 AND n_chars >= 50 THEN 'MIXED' ELSE 'TEXT' END AS page_type FROM p)"""
+  t AS (SELECT *, CASE WHEN n_chars < 10 AND n_images = 0 THEN 'BLANK' WHEN n_chars < 50 AND image_coverage > 0.7 THEN 'SCANNED' WHEN n_widgets > 0 THEN 'FORM' WHEN n_tables >= 1 THEN 'TABLE_HEAVY'
+    WHEN multi_column THEN 'MIXED' ELSE 'TEXT' END AS page_type FROM p)"""
 
 
 def doc_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), F.posexplode(F.split("text", "\n")).alias("page", "text")).withColumn("page", F.col("page") + 1)
     both = F.col("doc") + F.col("page")
     lines = lines.withColumn("image_coverage", ((F.col("doc") * 7 + F.col("page") * 13) % 100) / 100).withColumn("n_tables", (both % 5 == 0).cast("int") + (both % 10 == 0).cast("int"))
+    lines = lines.withColumn("n_images", (F.col("image_coverage") >= 0.3).cast("int")).withColumn("multi_column", both % 7 == 0)
     return lines.withColumn("n_fonts", both % 3).withColumn("n_widgets", ((F.col("doc") * F.col("page")) % 17 == 3).cast("int"))
 
 
@@ -33,10 +34,10 @@ def s13_p14_page_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profiles(spark, sf_dir).select("doc", "page", "n_words", "n_chars", F.round("printable", 9).alias("printable"), "page_type")
 
 
-VOTES = """k AS (SELECT *, (page_type = 'FORM')::INT + (page_type = 'TABLE_HEAVY')::INT + (page_type = 'MIXED')::INT + (n_tables >= 1)::INT AS cx,
+VOTES = """k AS (SELECT *, (n_tables >= 1)::INT + multi_column::INT + (n_widgets > 0)::INT AS cx,
     (n_chars >= 200)::INT + (image_coverage < 0.3)::INT + (n_fonts >= 1)::INT AS tx, (n_chars < 50)::INT + (image_coverage > 0.7)::INT + (n_fonts = 0)::INT AS sc FROM t),
   v AS (SELECT *, CASE WHEN page_type = 'BLANK' THEN 'skip' WHEN cx > 0 THEN 'complex' WHEN tx >= 2 THEN 'text_native' WHEN sc >= 2 THEN 'scanned' END AS vote,
-    CASE WHEN page_type = 'BLANK' THEN 0.0 WHEN cx > 0 THEN CASE WHEN cx >= 2 THEN 0.9 ELSE 0.7 END WHEN tx >= 2 THEN CASE WHEN tx = 3 THEN 0.9 ELSE 0.7 END WHEN sc >= 2 THEN CASE WHEN sc = 3 THEN 0.9 ELSE 0.7 END ELSE 0.0 END::DOUBLE AS vote_confidence FROM k)"""
+    CASE WHEN page_type = 'BLANK' THEN 1.0 WHEN cx > 0 THEN CASE WHEN cx >= 2 THEN 0.9 ELSE 0.7 END WHEN tx >= 2 THEN CASE WHEN tx = 3 THEN 0.9 ELSE 0.7 END WHEN sc >= 2 THEN CASE WHEN sc = 3 THEN 0.9 ELSE 0.7 END ELSE 0.0 END::DOUBLE AS vote_confidence FROM k)"""
 
 
 @query(f"WITH {PAGES}, {VOTES} SELECT doc, page::INTEGER AS page, vote, vote_confidence FROM v")
@@ -44,8 +45,8 @@ def c3_page_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.page_vote(profiles(spark, sf_dir)).select("doc", "page", "vote", "vote_confidence")
 
 
-DOCUMENT = """d AS (SELECT doc, CASE WHEN count(DISTINCT vote) = 1 THEN min(vote) ELSE 'complex' END AS pdf_type,
-  CASE WHEN count_if(vote IS NULL) > 0 THEN 0.0 WHEN count(DISTINCT vote) = 1 THEN min(vote_confidence) ELSE 0.9 END::DOUBLE AS confidence FROM v WHERE coalesce(vote, '') <> 'skip' GROUP BY doc)"""
+DOCUMENT = """d AS (SELECT doc, CASE WHEN count_if(vote IS NULL) = 0 AND count(DISTINCT vote) FILTER (vote <> 'skip') = 1 THEN min(vote) FILTER (vote <> 'skip') ELSE 'complex' END AS pdf_type,
+  CASE WHEN count_if(vote IS NULL) > 0 OR count_if(vote <> 'skip') = 0 THEN 0.0 WHEN count(DISTINCT vote) FILTER (vote <> 'skip') = 1 THEN min(vote_confidence) FILTER (vote <> 'skip') ELSE 0.9 END::DOUBLE AS confidence FROM v GROUP BY doc)"""
 
 
 @query(f"WITH {PAGES}, {VOTES}, {DOCUMENT} SELECT * FROM d")
@@ -156,12 +157,12 @@ def j8_j9_heading_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     return met.select("doc", "page", F.array_join(chunking.heading_path(F.col("offset"), F.col("hs")), " > ").alias("path"))
 
 
-@query(f"""WITH {PAGES}, t2 AS (SELECT doc, page, title FROM (SELECT doc, page, substr(text, 1, 12) AS title FROM p0) WHERE page % 2 = 1), o AS (SELECT doc, page, coalesce(sum(length(text) + 1) OVER (PARTITION BY doc ORDER BY page ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS o FROM p0)
+@query(f"""WITH {PAGES}, t2 AS (SELECT doc, page, substr(text, 1, 12) AS title FROM p0), o AS (SELECT doc, page, coalesce(sum(length(text) + 1) OVER (PARTITION BY doc ORDER BY page ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS o FROM p0)
   SELECT t2.doc, t2.page::INTEGER AS page, title, coalesce(CASE WHEN t2.page % 3 <> 0 THEN o.o END, 0)::BIGINT AS \"offset\" FROM t2 LEFT JOIN o USING (doc, page)""")
 def j5_j6_page_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     offsets = pages.page_offsets(doc_pages(spark, sf_dir)).filter("page % 3 <> 0").select("doc", "page", "offset")
-    heads = doc_pages(spark, sf_dir).filter("page % 2 = 1").select("doc", "page", F.substring("text", 1, 12).alias("title"))
-    return heads.join(offsets, ["doc", "page"], "left").withColumn("offset", F.coalesce("offset", F.lit(0).cast("long")))
+    heads = doc_pages(spark, sf_dir).select("doc", "page", F.substring("text", 1, 12).alias("title"))
+    return pages.looked_up(heads, offsets, ["doc", "page"], "offset")
 
 
 @query(f"""WITH {PAGES}, r AS (SELECT doc, page, {CONFIDENCE} AS confidence FROM p0)
@@ -187,9 +188,9 @@ def a9_body_size(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.body_size(spans(spark, sf_dir))
 
 
-@query(f"""WITH {SPANS} SELECT doc, place::INTEGER AS place, least(dense_rank() OVER (PARTITION BY doc ORDER BY size DESC), 3)::INTEGER AS level FROM s WHERE place % 3 = 0""")
+@query(f"""WITH {SPANS} SELECT doc, place::INTEGER AS place, least(dense_rank() OVER (PARTITION BY doc ORDER BY size DESC), 3)::INTEGER AS level FROM s""")
 def w10_heading_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pages.heading_levels(spans(spark, sf_dir).filter("place % 3 = 0")).select("doc", "place", "level")
+    return pages.heading_levels(spans(spark, sf_dir)).select("doc", "place", "level")
 
 
 @query(f"""WITH {SPANS}, n AS (SELECT *, (lag(y) OVER w IS NULL OR abs(y - lag(y) OVER w) > 2 OR abs(size - lag(size) OVER w) >= 0.5)::INT AS new FROM s WINDOW w AS (PARTITION BY doc, page ORDER BY place)),
@@ -231,16 +232,57 @@ def u2_u3_headers_footers(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), F.posexplode(F.split("text", "\n")).alias("i", "t"))
     sheets = lines.withColumn("page", F.floor(F.col("i") / 3).cast("int") + 1).groupBy("doc", "page").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "t"))), lambda x: x["t"]), "\n").alias("text"))
     sheets = sheets.withColumn("text", F.concat(F.lit("Report of document "), F.col("doc").cast("string"), F.lit(", page "), F.col("page").cast("string"), F.lit("\n"), F.col("text")))
-    zones = pages.even_pages(sheets).select("doc", "page", F.lit("header").alias("zone"), F.substring_index("text", "\n", 1).alias("text"))
+    zones = sheets.select("doc", "page", F.lit("header").alias("zone"), F.substring_index("text", "\n", 1).alias("text"))
     return pages.strip_lines(sheets, pages.repeated_zones(zones)).select("doc", "page", "text")
 
 
-TABLES = """tb AS (SELECT l_orderkey AS doc, l_linenumber AS page, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey, l_extendedprice) AS table_no, 2 + l_partkey % 2 AS n_columns, l_returnflag AS header, l_partkey, l_extendedprice FROM lineitem),
-  tc AS (SELECT *, coalesce(lag(n_columns) OVER w = n_columns AND lag(header) OVER w = header AND table_no = 1 AND lag(page) OVER w < page, false) AS continued FROM tb WINDOW w AS (PARTITION BY doc ORDER BY page, table_no))"""
+TABLES = """tb AS (SELECT l_orderkey AS doc, l_linenumber AS page, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey, l_extendedprice) AS table_no, l_returnflag AS a, l_linestatus AS b, l_partkey % 4 = 0 AS wide, l_quantity AS q FROM lineitem),
+  tn AS (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY page, table_no) AS i FROM tb),
+  walk(doc, i, page, table_no, wide, a, b, continued, group_no) AS (
+    SELECT doc, i, page, table_no, wide, a, b, false, 1::BIGINT FROM tn WHERE i = 1
+    UNION ALL SELECT n.doc, n.i, n.page, n.table_no, CASE WHEN c THEN w_wide ELSE n.wide END, CASE WHEN c THEN w_a ELSE n.a END, CASE WHEN c THEN w_b ELSE n.b END, c, CASE WHEN c THEN g ELSE g + 1 END
+    FROM (SELECT tn.*, w.wide AS w_wide, w.a AS w_a, w.b AS w_b, w.group_no AS g, tn.page > w.page AND tn.wide = w.wide AND (w.a <> tn.a)::INT + (w.b <> tn.b)::INT <= 1 AS c FROM walk w JOIN tn ON tn.doc = w.doc AND tn.i = w.i + 1) n)"""
 
 
-@query(f"WITH {TABLES} SELECT doc, page, table_no::INTEGER AS table_no, continued, sum((NOT continued)::INT) OVER (PARTITION BY doc ORDER BY page, table_no)::BIGINT AS group_no FROM tc")
-def w8_u6_stitch_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+def found_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table per line item: five or six columns, of which two bear flags; the rows of every other one begin with its header."""
     number = F.row_number().over(Window.partitionBy("l_orderkey", "l_linenumber").orderBy("l_partkey", "l_suppkey", "l_extendedprice"))
-    found = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc"), F.col("l_linenumber").alias("page"), number.alias("table_no"), (2 + F.col("l_partkey") % 2).alias("n_columns"), F.col("l_returnflag").alias("header"))
-    return pages.stitch_tables(found).select("doc", "page", "table_no", "continued", "group_no")
+    header = F.concat(F.array(F.lit("item"), F.lit("price"), F.lit("note"), F.concat(F.lit("R"), "l_returnflag"), F.concat(F.lit("S"), "l_linestatus")), F.when(F.col("l_partkey") % 4 == 0, F.array(F.lit("extra"))).otherwise(F.array().cast("array<string>")))
+    body = F.array(F.transform(header, lambda _: F.col("l_quantity").cast("int").cast("string")))
+    shouted = F.array(F.transform(header, lambda x: F.concat(F.upper(x), F.lit(" "))))
+    rows = F.when(F.col("l_partkey") % 2 == 0, F.concat(shouted, body)).otherwise(body)
+    return table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc"), F.col("l_linenumber").alias("page"), number.alias("table_no"), header.alias("header"), rows.alias("rows"))
+
+
+@query(f"WITH RECURSIVE {TABLES} SELECT doc, page, table_no::INTEGER AS table_no, continued, group_no FROM walk")
+def w8_u6_stitch_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.stitch_tables(found_tables(spark, sf_dir)).select("doc", "page", "table_no", "continued", "group_no")
+
+
+@query(f"""WITH RECURSIVE {TABLES}, l AS (SELECT w.*, l_partkey % 2 = 0 AS headed, tb2.a AS own_a, tb2.b AS own_b FROM walk w JOIN tn tb2 USING (doc, i) JOIN (SELECT l_orderkey AS doc, l_partkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS i FROM lineitem) p USING (doc, i))
+  SELECT doc, group_no, count(*)::BIGINT AS n_tables, sum(1 + CASE WHEN headed AND NOT (continued AND own_a = a AND own_b = b) THEN 1 ELSE 0 END)::BIGINT AS n_rows FROM l GROUP BY doc, group_no""")
+def u6_stitched_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tables = found_tables(spark, sf_dir)
+    grouped = pages.stitched_rows(pages.stitch_tables(tables))
+    n = pages.stitch_tables(tables).groupBy("doc", "group_no").agg(F.count(F.lit(1)).alias("n_tables"))
+    return grouped.select("doc", "group_no", F.size("rows").cast("long").alias("n_rows")).join(n, ["doc", "group_no"])
+
+
+@query("""WITH w AS (SELECT l_orderkey AS doc, l_linenumber AS page, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey, l_extendedprice) AS place, l_partkey % 4 AS k,
+    CASE l_suppkey % 3 WHEN 0 THEN '' ELSE 'n' || l_suppkey END AS name, CASE l_suppkey % 4 WHEN 0 THEN '/Yes' WHEN 1 THEN '' ELSE l_returnflag END AS value FROM lineitem),
+  l AS (SELECT doc, page, place, CASE WHEN name = '' THEN '(unnamed)' ELSE name END || ': ' || CASE WHEN k = 0 THEN CASE WHEN value = '/Yes' THEN 'Yes' ELSE 'No' END WHEN value = '' THEN '(empty)' ELSE value END AS line FROM w WHERE k <> 1)
+  SELECT doc, page, '[Form Fields]' || chr(10) || string_agg(line, chr(10) ORDER BY place) AS text FROM l GROUP BY doc, page""")
+def t13_widget_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    place = F.row_number().over(Window.partitionBy("l_orderkey", "l_linenumber").orderBy("l_partkey", "l_suppkey", "l_extendedprice"))
+    widgets = table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("doc"), F.col("l_linenumber").alias("page"), place.alias("place"), F.expr("CASE l_partkey % 4 WHEN 0 THEN 'checkbox' WHEN 1 THEN 'signature' ELSE 'text' END").alias("kind"),
+        F.expr("CASE l_suppkey % 3 WHEN 0 THEN '' ELSE 'n' || l_suppkey END").alias("name"), F.expr("CASE l_suppkey % 4 WHEN 0 THEN '/Yes' WHEN 1 THEN '' ELSE l_returnflag END").alias("value"),
+    )
+    return pages.widget_text(widgets)
+
+
+@query("""SELECT doc_id AS doc, 'caption' AS method, trim(substr(text, 1, 20)) AS text, CASE WHEN length(trim(substr(text, 1, 20))) < 10 THEN 'W_CAPTION_SHORT' END AS warning FROM documents WHERE trim(substr(text, 1, 20)) <> '' AND doc_id % 3 <> 0
+  UNION ALL SELECT doc_id, 'ocr', trim(text), NULL FROM documents WHERE trim(text) <> '' AND doc_id % 2 = 0""")
+def t15_image_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    readings = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), F.when(F.col("doc_id") % 3 != 0, F.substring("text", 1, 20)).alias("caption"), F.when(F.col("doc_id") % 2 == 0, F.col("text")).alias("ocr"))
+    return pages.image_chunks(readings)

@@ -60,16 +60,17 @@ def q4_prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""WITH t AS (SELECT c_custkey AS id, CASE c_custkey % 3 WHEN 0 THEN 'segment' WHEN 1 THEN 'nation' ELSE 'stray' END AS layer, CASE c_custkey % 3 WHEN 0 THEN c_mktsegment ELSE c_nationkey::VARCHAR END AS value FROM customer
   UNION ALL SELECT c_custkey, 'segment', 'OTHER' FROM customer WHERE c_custkey % 6 = 0 UNION ALL SELECT c_custkey, 'nation', 'x' FROM customer WHERE c_custkey % 6 = 1)
-  SELECT id, layer, value, CASE WHEN layer = 'segment' AND value = 'OTHER' THEN 'E_TAG_VALUE_UNKNOWN' WHEN layer = 'nation' AND count(*) OVER (PARTITION BY id, layer) > 1 THEN 'E_TAG_TOO_MANY' END AS error FROM t WHERE layer <> 'stray'""")
+  SELECT id, layer, value, CASE WHEN layer = 'segment' AND value = 'OTHER' THEN 'E_TAG_VALUE_UNKNOWN' WHEN layer = 'nation' AND count(*) OVER (PARTITION BY id, layer) > 1 THEN 'E_TAG_TOO_MANY' END AS error FROM t WHERE layer <> 'stray'
+  UNION ALL SELECT id, 'segment', NULL, 'E_TAG_REQUIRED' FROM (SELECT DISTINCT id FROM t) WHERE id NOT IN (SELECT id FROM t WHERE layer = 'segment')""")
 def q1_validate_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "customer").withColumnRenamed("c_custkey", "id")
     tags = c.select("id", F.expr("CASE id % 3 WHEN 0 THEN 'segment' WHEN 1 THEN 'nation' ELSE 'stray' END AS layer"), F.expr("CASE id % 3 WHEN 0 THEN c_mktsegment ELSE cast(c_nationkey AS string) END AS value"))
     tags = tags.unionByName(c.filter("id % 6 = 0").select("id", F.lit("segment").alias("layer"), F.lit("OTHER").alias("value"))).unionByName(c.filter("id % 6 = 1").select("id", F.lit("nation").alias("layer"), F.lit("x").alias("value")))
-    layers = spark.createDataFrame([("segment", "user", True, True), ("nation", "user", False, False), ("kind", "auto", True, False)], "layer string, source string, multiple boolean, closed boolean")
+    layers = spark.createDataFrame([("segment", "user", True, True, True), ("nation", "user", False, False, False), ("kind", "auto", True, False, True)], "layer string, source string, multiple boolean, closed boolean, required boolean")
     return retrieval.validate_tags(tags, layers, c.select(F.lit("segment").alias("layer"), F.col("c_mktsegment").alias("value")).distinct())
 
 
 @query("""SELECT doc_id, list_filter([CASE WHEN contains(text, '|') THEN 'has_table' END, CASE WHEN length(text) > 4000 THEN 'long' END, 'lang_' || lang], lambda x: x IS NOT NULL) AS tags FROM documents""")
 def q2_auto_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tags = F.array_compact(F.array(F.when(F.col("text").contains("|"), "has_table"), F.when(F.length("text") > 4000, "long"), F.concat(F.lit("lang_"), "lang")))
+    tags = retrieval.auto_tags({"has_table": F.col("text").contains("|"), "long": F.length("text") > 4000, "": F.concat(F.lit("lang_"), "lang")})
     return table(spark, sf_dir, "documents").select("doc_id", tags.alias("tags"))

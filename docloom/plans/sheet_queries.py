@@ -31,24 +31,30 @@ def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows(spark, sf_dir).select("file", "sheet", "row", F.posexplode(parts).alias("col", "cell")).select("file", "sheet", "row", (F.col("col") + 1).alias("col"), "cell.num", "cell.str")
 
 
-# A sheet per document: words of a line are its cells.
-GRID = """g AS (SELECT doc_id AS file, 'text' AS sheet, row, col, CASE WHEN row % 3 = 0 AND col % 2 = 0 THEN length(w)::DOUBLE END AS num, CASE WHEN row % 3 = 0 AND col % 2 = 0 THEN NULL ELSE w END AS str
-  FROM (SELECT doc_id, row, unnest(range(1, len(w) + 1)) AS col, unnest(w) AS w FROM (SELECT doc_id, unnest(range(1, len(l) + 1)) AS row, string_split(unnest(l), ' ') AS w FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)))
-  WHERE row % 7 NOT IN (0, 6, 5) AND col <= 12),
+# A sheet per document: words of a line are its cells. Three empty rows follow every four lines, three empty columns the twelfth word.
+GRID = """g0 AS (SELECT doc_id AS file, 'text' AS sheet, row + 3 * ((row - 1) // 4) AS row, col + CASE WHEN col > 12 THEN 3 ELSE 0 END AS col, w
+  FROM (SELECT doc_id, row, unnest(range(1, len(w) + 1)) AS col, unnest(w) AS w FROM (SELECT doc_id, unnest(range(1, len(l) + 1)) AS row, string_split(unnest(l), ' ') AS w FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)))),
+  g AS (SELECT file, sheet, row, col, CASE WHEN row % 3 = 0 AND col % 2 = 0 THEN length(w)::DOUBLE END AS num, CASE WHEN row % 3 = 0 AND col % 2 = 0 THEN NULL ELSE w END AS str FROM g0),
   c AS (SELECT *, CASE WHEN num IS NOT NULL THEN 'numeric' WHEN coalesce(trim(str), '') <> '' THEN 'text' ELSE 'empty' END AS class FROM g)"""
 
 
 def grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("file"), F.lit("text").alias("sheet"), F.posexplode(F.split("text", "\n")).alias("row", "line"))
-    words = lines.select("file", "sheet", (F.col("row") + 1).alias("row"), F.posexplode(F.split("line", " ")).alias("col", "w")).withColumn("col", F.col("col") + 1)
+    lines = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("file"), F.lit("text").alias("sheet"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    words = lines.select("file", "sheet", F.expr("line_no + 1 + 3 * (line_no div 4)").cast("int").alias("row"), F.posexplode(F.split("line", " ")).alias("at", "w"))
+    words = words.withColumn("col", F.col("at") + 1 + F.when(F.col("at") >= 12, 3).otherwise(0))
     number = (F.col("row") % 3 == 0) & (F.col("col") % 2 == 0)
-    kept = words.filter("row % 7 not in (0, 6, 5) and col <= 12")
-    return kept.select("file", "sheet", "row", "col", F.when(number, F.length("w").cast("double")).alias("num"), F.when(~number, F.col("w")).alias("str"))
+    return words.select("file", "sheet", "row", "col", F.when(number, F.length("w").cast("double")).alias("num"), F.when(~number, F.col("w")).alias("str"))
+
+
+HEADERS = "hd AS (SELECT DISTINCT file, sheet, file % 3 AS header_row FROM c)"
 
 
-@query(f"WITH {CELLS} SELECT file, sheet, round(count_if(class = 'numeric') / count(*), 9) AS numeric_ratio, round(count_if(class = 'text') / count(*), 9) AS text_ratio, round(count_if(class = 'empty') / count(*), 9) AS empty_ratio FROM c GROUP BY ALL")
+@query(f"""WITH {CELLS}, {HEADERS} SELECT file, sheet, round(count_if(class = 'numeric') / count(*), 9) AS numeric_ratio, round(count_if(class = 'text') / count(*), 9) AS text_ratio, round(count_if(class = 'empty') / count(*), 9) AS empty_ratio
+  FROM c JOIN hd USING (file, sheet) WHERE row > header_row GROUP BY ALL""")
 def a1_type_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = sheets.type_ratios(cells(spark, sf_dir))
+    c = cells(spark, sf_dir)
+    headers = c.select("file", "sheet", (F.col("file") % 3).alias("header_row")).distinct()
+    found = sheets.type_ratios(c, headers)
     return found.select("file", "sheet", *(F.round(c, 9).alias(c) for c in ("numeric_ratio", "text_ratio", "empty_ratio")))
 
 
@@ -94,9 +100,8 @@ def c2_file_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {CELLS} SELECT file // 3 AS file, count(DISTINCT file)::BIGINT AS n_sheets, count(DISTINCT (file, row))::BIGINT AS n_rows, count_if(class = 'empty')::BIGINT AS empty_cells FROM c GROUP BY 1")
 def a4_file_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = sheets.classed(cells(spark, sf_dir)).withColumn("book", F.floor(F.col("file") / 3))
-    per_sheet = c.groupBy("book", "file").agg(F.count_distinct("row").alias("rows"), F.count_if(F.col("class") == "empty").alias("empty"))
-    return per_sheet.groupBy(F.col("book").alias("file")).agg(F.count(F.lit(1)).alias("n_sheets"), F.sum("rows").alias("n_rows"), F.sum("empty").alias("empty_cells"))
+    books = cells(spark, sf_dir).withColumn("sheet", F.col("file").cast("string")).withColumn("file", F.floor(F.col("file") / 3))
+    return sheets.file_rollup(books)
 
 
 HEADER = """h AS (SELECT file, sheet, row, count_if(class = 'text') AS texts, count_if(class = 'numeric') AS numbers, min(CASE WHEN class <> 'empty' THEN col END) AS a, max(CASE WHEN class <> 'empty' THEN col END) AS b FROM c WHERE row <= 20 GROUP BY ALL)"""
@@ -206,12 +211,14 @@ def j12_merged_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""SELECT 'p_name' AS column_name, count(DISTINCT p_name) || ' unique values' AS description FROM part HAVING count(DISTINCT p_name) >= 20
-  UNION ALL SELECT 'p_name', 'one of ' || string_agg(p_name, ', ' ORDER BY p_name) FROM (SELECT DISTINCT p_name FROM part) HAVING count(*) < 20
-  UNION ALL SELECT 'p_type', 'one of ' || string_agg(p_type, ', ' ORDER BY p_type) FROM (SELECT DISTINCT p_type FROM part)
-  UNION ALL SELECT 'p_size', 'range ' || min(p_size) || ' to ' || max(p_size) FROM part UNION ALL SELECT 'empty', 'no data'""")
+  UNION ALL SELECT 'p_name', 'one of ' || string_agg(p_name, ', ' ORDER BY f) FROM (SELECT p_name, min(p_partkey) AS f FROM part GROUP BY 1) HAVING count(*) < 20
+  UNION ALL SELECT 'p_type', 'one of ' || string_agg(p_type, ', ' ORDER BY f) FROM (SELECT p_type, min(p_partkey) AS f FROM part GROUP BY 1) HAVING count(*) < 20
+  UNION ALL SELECT 'p_type', count(DISTINCT p_type) || ' unique values' FROM part HAVING count(DISTINCT p_type) >= 20
+  UNION ALL SELECT 'day', 'ranges from ' || strftime(DATE '2020-01-01' + min(p_size)::INT, '%Y-%m-%d 00:00:00') || ' to ' || strftime(DATE '2020-01-01' + max(p_size)::INT, '%Y-%m-%d 00:00:00') FROM part
+  UNION ALL SELECT 'p_size', 'range ' || min(p_size) || ' to ' || max(p_size) FROM part UNION ALL SELECT 'empty', 'no data' UNION ALL SELECT 'flag', 'true/false'""")
 def a5_schema_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    part = table(spark, sf_dir, "part").withColumn("empty", F.lit(None).cast("string"))
-    return sheets.describe_columns(part, ["p_name", "p_type", "p_size", "empty"])
+    part = table(spark, sf_dir, "part").withColumn("empty", F.lit(None).cast("string")).withColumn("day", F.expr("date_add(DATE'2020-01-01', cast(p_size AS int))")).withColumn("flag", F.col("p_size") > 3)
+    return sheets.describe_columns(part, ["p_name", "p_type", "p_size", "empty", "day", "flag"], "p_partkey")
 
 
 @query("""SELECT o_orderkey, 'In table ''orders'', row ' || o_orderkey || ': o_custkey is ' || o_custkey || ', note is ' || CASE WHEN o_orderstatus = 'P' THEN 'N/A' ELSE o_orderpriority END || '.' AS sentence FROM orders""")
@@ -258,13 +265,13 @@ def s6_t16_pipe_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {ROWS} SELECT file, row::INTEGER AS row, l_quantity FROM r WHERE row <= 3")
 def l3_sample_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rows(spark, sf_dir).filter("row <= 3").select("file", "row", "l_quantity")
+    return sheets.sample_rows(rows(spark, sf_dir)).select("file", "row", "l_quantity")
 
 
 @query(f"WITH {ROWS}, k AS (SELECT file, count(*) AS n, file % 11 = 0 AS hidden FROM r GROUP BY file) SELECT file, CASE WHEN hidden THEN 'W_SHEET_SKIPPED_HIDDEN' WHEN n > 6 THEN 'W_ROWS_TRUNCATED' END AS warning FROM k")
 def p11_skip_sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = rows(spark, sf_dir).groupBy("file").agg(F.count(F.lit(1)).alias("n"))
-    return k.select("file", F.when(F.col("file") % 11 == 0, "W_SHEET_SKIPPED_HIDDEN").when(F.col("n") > 6, "W_ROWS_TRUNCATED").alias("warning"))
+    return k.select("file", sheets.skip_warning(F.col("file") % 11 == 0, F.col("n"), F.lit(5), 6).alias("warning"))
 
 
 @query("""WITH n AS (SELECT p_brand, p_partkey, CASE WHEN p_size % 9 = 0 THEN '' ELSE p_name END AS name, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1 AS pos FROM part),
@@ -273,3 +280,9 @@ def p11_skip_sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
 def u5_dedup_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = table(spark, sf_dir, "part").withColumn("pos", F.row_number().over(Window.partitionBy("p_brand").orderBy("p_partkey")) - 1).withColumn("name", F.when(F.col("p_size") % 9 == 0, "").otherwise(F.col("p_name")))
     return sheets.dedup_names(names, ["p_brand"], "pos", "name").select("p_partkey", "unique_name")
+
+
+@query(f"""WITH {CELLS}, {PROFILE} SELECT file, CASE WHEN file % 5 <> 0 THEN 'rule_based' WHEN file % 10 / 10.0 >= 0.4 THEN 'llm_basic' ELSE 'llm_reasoning' END AS tier FROM s""")
+def c5_excel_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    open_ = votes(spark, sf_dir).withColumn("confidence", F.when(F.col("file") % 5 == 0, 0.0).otherwise(F.col("confidence")))
+    return open_.select("file", sheets.excel_tier(F.col("confidence"), F.col("file") % 10 / 10 + 0.2).alias("tier"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.functions import ids, text
-from docloom.operators import chunking
+from docloom.operators import chains, chunking
 from docloom.plans.registry import query, table
 from docloom.sources import decode, files
 
@@ -52,17 +52,27 @@ def t7_json_flatten_ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flat.select("event_id", F.explode("f.lines").alias("line"), "f.total_keys", "f.max_depth", "f.truncated")
 
 
-@query("""SELECT event_id, CASE WHEN t = '' THEN 'E_PARSE_EMPTY' WHEN NOT json_valid(t) THEN 'E_PARSE_CORRUPT' WHEN event_id % 7 = 3 THEN 'E_SECURITY_TOO_DEEP' END AS code
-  FROM (SELECT event_id, CASE event_id % 7 WHEN 1 THEN '' WHEN 2 THEN substr(props, 1, length(props) - 1) WHEN 3 THEN repeat('[', 101) || repeat(']', 101) ELSE props END AS t FROM events)""")
+@query("""SELECT event_id, list_filter([CASE WHEN event_id % 9 = 5 THEN 'W_LARGE_FILE' END, CASE WHEN event_id % 11 = 10 THEN 'E_SECURITY_BAD_EXTENSION' WHEN t IS NULL THEN 'E_PARSE_CORRUPT' WHEN t = '' THEN 'E_PARSE_EMPTY' WHEN length(t) > 400 THEN 'E_SECURITY_TOO_LARGE'
+    WHEN NOT json_valid(t) THEN 'E_SECURITY_INVALID_JSON' WHEN event_id % 9 = 3 THEN 'E_SECURITY_NESTING_BOMB' END], lambda x: x IS NOT NULL AND (x <> 'W_LARGE_FILE' OR event_id % 11 <> 10)) AS codes
+  FROM (SELECT event_id, CASE event_id % 9 WHEN 1 THEN '' WHEN 2 THEN substr(props, 1, length(props) - 1) WHEN 3 THEN repeat('[', 101) || repeat(']', 101) WHEN 4 THEN repeat('[', 100) || repeat(']', 100) WHEN 5 THEN '["' || repeat('[', 300) || '"]' WHEN 6 THEN repeat('1', 401) WHEN 8 THEN ' ' WHEN 7 THEN NULL ELSE props END AS t FROM events)""")
 def p1_json_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    broken = F.expr("CASE event_id % 7 WHEN 1 THEN '' WHEN 2 THEN substr(props, 1, length(props) - 1) WHEN 3 THEN repeat('[', 101) || repeat(']', 101) ELSE props END")
-    return table(spark, sf_dir, "events").select("event_id", files.scan_json(broken).alias("code"))
+    broken = F.expr("CASE event_id % 9 WHEN 1 THEN '' WHEN 2 THEN substr(props, 1, length(props) - 1) WHEN 3 THEN repeat('[', 101) || repeat(']', 101) WHEN 4 THEN repeat('[', 100) || repeat(']', 100) WHEN 5 THEN '[\"' || repeat('[', 300) || '\"]' WHEN 6 THEN repeat('1', 401) WHEN 8 THEN ' ' WHEN 7 THEN NULL ELSE props END")
+    path = F.concat(F.lit("e/"), F.col("event_id").cast("string"), F.when(F.col("event_id") % 11 == 10, ".txt").otherwise(".JSON"))
+    return table(spark, sf_dir, "events").select("event_id", files.scan_json(broken, path, largest=400, warn_at=210).alias("codes"))
 
 
-@query("""SELECT page_id, CASE WHEN page_id % 5 = 1 THEN 'E_SECURITY_ENTITY' WHEN page_id % 5 = 2 THEN 'E_SECURITY_DTD' WHEN page_id % 5 = 3 THEN 'E_PARSE_EMPTY' END AS code FROM pages""")
+XML_PARTS = {1: "<!entity x \"y\"><a/>", 2: "<!DOCTYPE a [ <!ELEMENT a ANY> ]><a/>", 3: "", 4: "<a><b></a>", 6: "<!DOCTYPE a><a><b/><b/><b/></a>", 7: "  "}
+
+
+@query("""SELECT page_id, list_filter([CASE page_id % 9 WHEN 1 THEN 'E_SECURITY_ENTITY_DECLARATION' WHEN 2 THEN 'E_SECURITY_ENTITY_DECLARATION' WHEN 3 THEN 'E_PARSE_EMPTY' WHEN 4 THEN 'E_SECURITY_INVALID_XML' WHEN 5 THEN 'E_SECURITY_DEPTH_BOMB'
+  WHEN 6 THEN 'W_TRUNCATED' WHEN 7 THEN 'E_SECURITY_INVALID_XML' END], lambda x: x IS NOT NULL) AS codes FROM pages""")
 def p2_xml_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    text_ = F.expr("CASE page_id % 5 WHEN 1 THEN '<!entity x \"y\">' || html WHEN 2 THEN '<!DOCTYPE a [ <!ELEMENT a ANY> ]><a/>' WHEN 3 THEN '  ' ELSE html END")
-    return table(spark, sf_dir, "pages").select("page_id", files.scan_xml(text_).alias("code"))
+    escaped = F.replace(F.replace(F.regexp_replace("html", "[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F]", ""), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    text_ = F.when(F.col("page_id") % 9 == 5, F.expr("repeat('<a>', 101) || repeat('</a>', 101)"))
+    for k, part in XML_PARTS.items():
+        text_ = text_.when(F.col("page_id") % 9 == k, part)
+    text_ = text_.otherwise(F.concat(F.lit("<p><q>"), escaped, F.lit("</q></p>")))
+    return table(spark, sf_dir, "pages").select("page_id", files.scan_xml(text_, most=3).alias("codes"))
 
 
 @query(f"""SELECT doc_id, CASE WHEN doc_id % 10 <> 0 THEN 'E_SECURITY_BAD_EXTENSION' WHEN doc_id % 20 = 10 THEN 'E_SECURITY_BAD_MAGIC' WHEN doc_id % 100 = 20 THEN 'E_PARSE_EMPTY' END AS code FROM documents""")
@@ -82,13 +92,20 @@ def p8_p9_error_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merged.select("event_id", text.fatal(F.col("codes")).alias("fatal_codes"), text.warnings(F.col("codes")).alias("warning_codes"))
 
 
-@query("""SELECT event_id, CASE event_type WHEN 'click' THEN 'E_BACKEND_EMBED_TIMEOUT' WHEN 'view' THEN 'E_BACKEND_EMBED_CONNECT' ELSE 'E_BACKEND_EMBED_FAILED' END AS code FROM events""")
+MESSAGES = ["Request Timed Out while EMBEDDING", "vector store timeout", "timeout", "Embed: connect failed", "Qdrant connection lost", "cannot connect", "Connection refused by collection x", "refused", "oops"]
+
+
+@query(f"""WITH m AS (SELECT event_id, lower(({MESSAGES!r})[event_id % {len(MESSAGES)} + 1]) AS m FROM events),
+  k AS (SELECT *, CASE WHEN m LIKE '%embed%' THEN 'EMBED' WHEN m LIKE '%vector%' OR m LIKE '%qdrant%' OR m LIKE '%collection%' THEN 'VECTOR' ELSE 'DB' END AS kind FROM m)
+  SELECT event_id, CASE WHEN m LIKE '%timeout%' OR m LIKE '%timed out%' THEN 'E_BACKEND_' || kind || '_TIMEOUT' WHEN m LIKE '%connect%' THEN 'E_BACKEND_' || kind || '_CONNECT' ELSE 'E_PROCESS_SCHEMA_GEN' END AS code FROM k""")
 def p10_backend_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    message = F.expr("CASE event_type WHEN 'click' THEN 'Request Timed Out' WHEN 'view' THEN 'Connection refused' ELSE 'oops' END")
-    return table(spark, sf_dir, "events").select("event_id", text.backend_error(message, "embed").alias("code"))
+    message = F.element_at(F.array(*map(F.lit, MESSAGES)), (F.col("event_id") % len(MESSAGES) + 1).cast("int"))
+    return table(spark, sf_dir, "events").select("event_id", text.backend_error(message).alias("code"))
 
 
-REDACT = ["[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}", "\\b\\d{3}-\\d{2}-\\d{4}\\b", "\\b(?:\\d[ -]?){13,16}\\b"]
+#: Mail addresses, social security numbers and card numbers. The last begins and ends in a digit: engines differ in what a word
+#: boundary is beside a letter that isn't ASCII, so none may stand between a separator and such a letter.
+REDACT = ["[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}", "\\b\\d{3}-\\d{2}-\\d{4}\\b", "\\b\\d(?:[ -]?\\d){12,15}\\b"]
 
 
 @query(f"""SELECT doc_id, r AS text, (length(r) - length(replace(r, '[REDACTED]', ''))) // 10 AS n FROM (SELECT doc_id,
@@ -98,9 +115,9 @@ def p12_redact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.withColumn("n", ((F.length("text") - F.length(F.replace("text", F.lit("[REDACTED]"), F.lit("")))) / 10).cast("long"))
 
 
-@query("SELECT p_partkey, regexp_full_match(p_name, '[a-z]+ [a-z]*n[a-z]*') AS ok FROM part")
+@query("SELECT p_partkey, regexp_full_match(p_name, '[a-z]+ [a-z]*n[a-z]*') AS ok, NULL::BOOLEAN AS broken FROM part")
 def p13_regex_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "part").select("p_partkey", F.col("p_name").rlike("^(?:[a-z]+ [a-z]*n[a-z]*)$").alias("ok"))
+    return table(spark, sf_dir, "part").select("p_partkey", text.matches(F.col("p_name"), "[a-z]+ [a-z]*n[a-z]*").alias("ok"), text.matches(F.col("p_name"), "(").alias("broken"))
 
 
 @query("""SELECT doc_id, CASE WHEN t = '' THEN 'narrative' WHEN len(list_filter(l, lambda x: contains(x, '|'))) > len(l) / 2 THEN 'table'
@@ -116,31 +133,15 @@ def c14_ocr_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", text.ocr_code(F.concat("lang", F.lit("-XX"))).alias("ocr_lang"))
 
 
-STOPWORDS = {
-    "en": ["the", "and", "of", "to", "is", "that", "in", "it", "was", "for"],
-    "de": ["der", "die", "und", "das", "ist", "nicht", "ein", "zu", "mit", "den"],
-    "fr": ["le", "la", "les", "et", "des", "est", "une", "dans", "que", "pour"],
-    "es": ["el", "la", "de", "que", "los", "una", "por", "con", "para", "las"],
-}
-
-
 @query(f"""WITH w AS (SELECT doc_id, length(text) AS n, list_transform(string_split(lower(text), ' '), lambda x: trim(x, '.,' || chr(10))) AS l FROM documents), s AS (
-  SELECT doc_id, n, {", ".join(f"len(list_filter(l, lambda x: list_contains({v!r}, x))) AS s_{k}" for k, v in STOPWORDS.items())} FROM w)
+  SELECT doc_id, n, {", ".join(f"len(list_filter(l, lambda x: list_contains({v!r}, x))) AS s_{k}" for k, v in text.STOPWORDS.items())} FROM w)
   SELECT doc_id, CASE WHEN n = 0 THEN 'en' WHEN n < 10 THEN 'en' WHEN greatest(s_en, s_de, s_fr, s_es) = 0 THEN 'en' WHEN s_de > s_en AND s_de >= s_fr AND s_de >= s_es THEN 'de'
    WHEN s_fr > s_en AND s_fr > s_de AND s_fr >= s_es THEN 'fr' WHEN s_es > s_en AND s_es > s_de AND s_es > s_fr THEN 'es' ELSE 'en' END AS language,
    CASE WHEN n = 0 THEN 1.0 WHEN n < 10 THEN 0.5 WHEN greatest(s_en, s_de, s_fr, s_es) = 0 THEN 0.0
    ELSE round(greatest(s_en, s_de, s_fr, s_es) / (s_en + s_de + s_fr + s_es), 9) END::DOUBLE AS confidence FROM s""")
 def c13_language(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = F.transform(F.split(F.lower("text"), " "), lambda x: F.regexp_replace(x, "^[.,\\n]+|[.,\\n]+$", ""))
-    d = table(spark, sf_dir, "documents").select("doc_id", F.length("text").alias("n"), words.alias("l"))
-    counted = d.select("doc_id", "n", *(F.expr(f"size(filter(l, x -> x in ({', '.join(repr(w) for w in STOPWORDS[k])})))").alias(f"s_{k}") for k in STOPWORDS))
-    most = F.greatest(*(f"s_{k}" for k in STOPWORDS))
-    language = F.when((F.col("n") < 10) | (most == 0), "en")
-    for k in STOPWORDS:
-        language = language.when(F.col(f"s_{k}") == most, k)
-    share = F.round(most / sum((F.col(f"s_{k}") for k in STOPWORDS), F.lit(0)), 9)
-    confidence = F.when(F.col("n") == 0, 1.0).when(F.col("n") < 10, 0.5).when(most == 0, 0.0).otherwise(share)
-    return counted.select("doc_id", language.alias("language"), confidence.alias("confidence"))
+    found = table(spark, sf_dir, "documents").select("doc_id", text.language(F.col("text")).alias("l"))
+    return found.select("doc_id", "l.language", F.round("l.confidence", 9).alias("confidence"))
 
 
 def _greedy_sql(size: int, overlap: int, units: str, glue: str) -> str:
@@ -214,18 +215,23 @@ def f1_clean_name(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _ocr_clean_sql() -> str:
-    """The same without look-around and back references: stray letters in two turns, marks one after the other."""
-    text_ = "regexp_replace(regexp_replace(regexp_replace(text, '(\\p{L})-\\n(\\p{Ll})', '\\1\\2', 'g'), '[ \\t]+', ' ', 'g'), '\\n{3,}', chr(10) || chr(10), 'g')"
-    for _ in range(2):
-        text_ = f"regexp_replace({text_}, ' [b-zB-HJ-Z] ', '  ', 'g')"
-    for mark in "!?.,;:*#$%&":
-        text_ = f"regexp_replace({text_}, '[{mark}]{{4,}}', '{mark}', 'g')"
-    return f"SELECT doc_id, trim(regexp_replace({text_}, ' {{2,}}', ' ', 'g')) AS text FROM (SELECT doc_id, replace(replace(text, '. ', '-' || chr(10)), '!', '!!!!') AS text FROM documents)"
+    """The same without look-around and back references: stray letters by splitting at spaces, marks one after the other."""
+    raw = "replace(replace(replace(text, '. ', '-' || chr(10)), '!', '!!!!'), ',', ' x ,,,,' || chr(13))"
+    t = f"nfc_normalize(regexp_replace({raw}, '([a-zA-Z])-\\r?\\n([a-zA-Z])', '\\1\\2', 'g'))"
+    t = f"regexp_replace(regexp_replace({t}, '\\r\\n?', chr(10), 'g'), '[ \\t]+', ' ', 'g')"
+    t = f"regexp_replace(regexp_replace({t}, '[ \\t]+(\\n|$)', '\\1', 'g'), '\\n{{3,}}', chr(10) || chr(10), 'g')"
+    stray = "regexp_full_match(w, '[b-zB-HJ-Z]')"
+    t = f"array_to_string(list_transform(string_split({t}, chr(10)), lambda l: array_to_string(list_transform(string_split(l, ' '), lambda w: CASE WHEN {stray} THEN '' ELSE w END), ' ')), chr(10))"
+    for code in [*range(0x21, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x7F)]:
+        once = "chr(92) || chr(92)" if code == 0x5C else f"chr({code})"
+        t = f"regexp_replace({t}, '[\\x{code:02x}]{{4,}}', {once}, 'g')"
+    t = f"regexp_replace(regexp_replace({t}, ' {{2,}}', ' ', 'g'), '[ \\t]+(\\n|$)', '\\1', 'g')"
+    return f"SELECT doc_id, CASE WHEN regexp_matches(text, '[^\\s]') THEN {t} ELSE '' END AS text FROM documents"
 
 
 @query(_ocr_clean_sql())
 def f2_ocr_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.expr("replace(replace(text, '. ', '-\\n'), '!', '!!!!') AS text"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.expr("replace(replace(replace(text, '. ', '-\\n'), '!', '!!!!'), ',', concat(' x ,,,,', chr(13))) AS text"))
     return docs.select("doc_id", text.ocr_clean(F.col("text")).alias("text"))
 
 
@@ -235,13 +241,29 @@ def f13_serial_date(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", at.alias("at"))
 
 
-@query("""SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN o_totalprice END AS num, CASE o_orderkey % 3 WHEN 1 THEN strftime(o_orderdate, '%Y-%m-%d') END AS day,
-  CASE o_orderstatus WHEN 'F' THEN true WHEN 'O' THEN false END AS checked FROM orders""")
+MARKS = [" Yes", "x", "TRUE ", "1", "on", "checked", "off", "", "maybe"]
+DAYS = ["yyyy-MM-dd", "MM/dd/yyyy", "d/M/yyyy", "yyyy-MM-dd'T'HH:mm:ss", "dd.MM.yyyy", "yyyy-MM-dd "]
+_SPELT = ["%Y-%m-%d", "%m/%d/%Y", "%-d/%-m/%Y", "%Y-%m-%dT%H:%M:%S"]
+
+
+@query(f"""SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN o_totalprice END AS num,
+  CASE WHEN o_orderkey % 3 = 1 AND o_orderkey % 7 < 4 THEN CASE o_orderkey % 7 {" ".join(f"WHEN {i} THEN strftime(o_orderdate, {form!r})" for i, form in enumerate(_SPELT))} END END AS day, o_orderkey % 9 < 4 AS checked,
+  CASE WHEN o_orderkey % 4 = 0 AND o_orderkey % 3 = 0 THEN o_totalprice END AS w_number,
+  CASE WHEN o_orderkey % 4 IN (1, 2) THEN lower(({MARKS!r})[o_orderkey % 9 + 1]) IN ('yes', 'on', 'true', '1') WHEN o_orderkey % 4 = 3 THEN trim(({MARKS!r})[o_orderkey % 9 + 1]) <> '' END AS w_checked,
+  CASE WHEN o_orderkey % 4 = 0 AND o_orderkey % 3 <> 0 THEN 'n/a' END AS w_text FROM orders""")
 def f4_f5_coercion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = table(spark, sf_dir, "orders")
-    raw = F.expr("CASE o_orderkey % 3 WHEN 0 THEN cast(o_totalprice AS string) WHEN 1 THEN CASE o_orderkey % 4 WHEN 0 THEN date_format(o_orderdate, 'yyyy-MM-dd') WHEN 1 THEN date_format(o_orderdate, 'MM/dd/yyyy') WHEN 2 THEN date_format(o_orderdate, 'dd.MM.yyyy') ELSE date_format(o_orderdate, 'dd-MMM-yyyy') END ELSE 'n/a' END")
-    mark = F.expr("CASE o_orderstatus WHEN 'F' THEN ' Yes' WHEN 'O' THEN 'off' ELSE 'maybe' END")
-    return orders.select("o_orderkey", text.coerce_number(raw).alias("num"), text.coerce_date(raw).alias("day"), text.coerce_checkbox(mark).alias("checked"))
+    orders, key = table(spark, sf_dir, "orders"), F.col("o_orderkey")
+    day = F.lit("n/a")
+    for i, form in enumerate(DAYS):
+        day = F.when(key % 7 == i, F.date_format("o_orderdate", form)).otherwise(day)
+    raw = F.when(key % 3 == 0, F.col("o_totalprice").cast("string")).when(key % 3 == 1, day).otherwise("n/a")
+    mark = F.element_at(F.array(*map(F.lit, MARKS)), (key % len(MARKS) + 1).cast("int"))
+    kind = F.element_at(F.array(*map(F.lit, ("number", "checkbox", "radio", "signature"))), (key % 4 + 1).cast("int"))
+    widget = text.widget_value(F.when(kind != "number", mark).when(key % 3 == 0, F.col("o_totalprice").cast("string")).otherwise("n/a"), kind)
+    return orders.select(
+        "o_orderkey", text.coerce_number(F.when(key % 3 == 0, raw)).alias("num"), text.coerce_date(F.when(key % 3 == 1, raw)).alias("day"), text.coerce_checkbox(mark).alias("checked"),
+        widget["number"].alias("w_number"), widget["checked"].alias("w_checked"), widget["text"].alias("w_text"),
+    )
 
 
 @query(r"""SELECT page_id, trim(regexp_replace(regexp_replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?s)<!--.*?-->|<!(?i:doctype)[^>]*>', '', 'g'),
@@ -274,13 +296,26 @@ def t10_email_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""SELECT conv_id, turn, (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1)::INTEGER AS chunk_index FROM conversations""")
 def w14_chunk_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window
-
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", (F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")) - 1).alias("chunk_index"))
+    return chunking.with_index(table(spark, sf_dir, "conversations"), ["conv_id"], ["turn"]).select("conv_id", "turn", "chunk_index")
 
 
 @query(f"SELECT count(DISTINCT {KEY})::BIGINT AS kept, count(*)::BIGINT AS n FROM (SELECT doc_id, text, source FROM documents UNION ALL SELECT doc_id, text, source FROM documents WHERE doc_id % 4 = 0)")
 def u4_ingest_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = keyed_documents(spark, sf_dir)
     twice = docs.unionByName(docs.filter("doc_id % 4 = 0")).select("ingest_key")
-    return twice.dropDuplicates(["ingest_key"]).agg(F.count(F.lit(1)).alias("kept")).crossJoin(twice.agg(F.count(F.lit(1)).alias("n")))
+    return chunking.drop_known(twice).agg(F.count(F.lit(1)).alias("kept")).crossJoin(twice.agg(F.count(F.lit(1)).alias("n")))
+
+
+@query("""WITH t AS (SELECT event_id, 'e/' || event_id || '.json' AS uri, CASE event_id % 5 WHEN 1 THEN '' WHEN 2 THEN '{' ELSE props END AS text FROM events),
+  k AS (SELECT event_id, uri, text, CASE WHEN event_id % 5 IN (1, 2) THEN '' ELSE sha256(sha256(text) || '|' || uri || '|1') END AS ingest_key FROM t)
+  SELECT uri, ingest_key, CASE event_id % 5 WHEN 1 THEN ['E_PARSE_EMPTY'] WHEN 2 THEN ['E_SECURITY_INVALID_JSON'] ELSE []::VARCHAR[] END AS errors, CASE WHEN ingest_key = '' THEN 0 ELSE 1 END::BIGINT AS n_chunks,
+  CASE WHEN ingest_key <> '' THEN 1 END::INTEGER AS total, CASE WHEN ingest_key = '' THEN 0 ELSE 256 END::INTEGER AS dimension FROM k""")
+def a15_json_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = table(spark, sf_dir, "events").select(F.expr("'e/' || event_id || '.json'").alias("uri"), F.expr("CASE event_id % 5 WHEN 1 THEN '' WHEN 2 THEN '{' ELSE props END").alias("text"))
+    return chains.process(raw, "json").results.select("uri", "ingest_key", "errors", "n_chunks", "total", "dimension")
+
+
+@query("""SELECT count(*)::BIGINT AS n_files, count_if(event_id % 5 IN (1, 2))::BIGINT AS n_failed, count_if(event_id % 5 NOT IN (1, 2))::BIGINT AS n_chunks FROM events""")
+def a15_run_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = table(spark, sf_dir, "events").select(F.expr("'e/' || event_id || '.json'").alias("uri"), F.expr("CASE event_id % 5 WHEN 1 THEN '' WHEN 2 THEN '{' ELSE props END").alias("text"))
+    return chains.run_totals(chains.process(raw, "json").results).select("n_files", "n_failed", "n_chunks")

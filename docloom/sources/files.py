@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from xml.parsers import expat
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, IntegerType, LongType, StructField, StructType
 
 from docloom.functions.ids import content_hash, ingest_key
 
@@ -66,34 +70,124 @@ def scan(content: Column, path: Column, wanted: str, largest: int = 100 * MB, wa
     )
 
 
-def scan_json(text: Column, largest: int = 100 * MB, deepest: int = 100) -> Column:
-    """Empty, too large, not JSON or too deep, in this order; null: fine. The depth counts brackets outside of strings."""
+def _codes(*codes: Column) -> Column:
+    return F.array_compact(F.array(*codes))
+
+
+def scan_json(text: Column, path: Column | None = None, largest: int = 100 * MB, warn_at: int = 10 * MB, deepest: int = 100) -> Column:
+    """The codes of a JSON file: W_LARGE_FILE for a big one, and the first fatal thing of extension, missing, empty, too large, not
+    JSON, and too deep. The depth counts brackets outside of strings, and only where there are more of them than may nest."""
+    size = F.octet_length(text)
     bare = F.regexp_replace(F.regexp_replace(text, '"(?:[^"\\\\]|\\\\.)*"', ""), "[^\\[\\]{}]", "")
-    step = lambda s, c: F.struct(
-        (s["now"] + F.when(c.isin("[", "{"), 1).otherwise(-1)).alias("now"), F.greatest(s["most"], s["now"] + F.when(c.isin("[", "{"), 1).otherwise(-1)).alias("most")
-    )
+    turn = lambda c: F.when(c.isin("[", "{"), 1).otherwise(-1)
+    step = lambda s, c: F.struct((s["now"] + turn(c)).alias("now"), F.greatest(s["most"], s["now"] + turn(c)).alias("most"))
     depth = F.aggregate(F.filter(F.split(bare, ""), lambda c: c != ""), F.struct(F.lit(0).alias("now"), F.lit(0).alias("most")), step)["most"]
-    return (
-        F.when(text.isNull() | (F.trim(text) == ""), "E_PARSE_EMPTY")
-        .when(F.octet_length(text) > largest, "E_SECURITY_TOO_LARGE")
-        .when(F.try_parse_json(text).isNull(), "E_PARSE_CORRUPT")
-        .when(depth > deepest, "E_SECURITY_TOO_DEEP")
+    wrong = F.lit(False) if path is None else ~F.lower(path).endswith(".json")
+    fatal = (
+        F.when(wrong, "E_SECURITY_BAD_EXTENSION")
+        .when(text.isNull(), "E_PARSE_CORRUPT")
+        .when(size == 0, "E_PARSE_EMPTY")
+        .when(size > largest, "E_SECURITY_TOO_LARGE")
+        .when(F.try_parse_json(text).isNull(), "E_SECURITY_INVALID_JSON")
+        .when(F.length(F.regexp_replace(bare, "[^\\[{]", "")) <= deepest, None)
+        .when(depth > deepest, "E_SECURITY_NESTING_BOMB")
     )
+    return _codes(F.when(~wrong & size.between(warn_at + 1, largest), "W_LARGE_FILE"), fatal)
 
 
-def scan_xml(text: Column, largest: int = 100 * MB) -> Column:
-    """Entity declarations and internal DTD subsets are refused before anything is parsed."""
-    return (
-        F.when(text.isNull() | (F.trim(text) == ""), "E_PARSE_EMPTY")
-        .when(F.octet_length(text) > largest, "E_SECURITY_TOO_LARGE")
-        .when(F.upper(text).contains("<!ENTITY"), "E_SECURITY_ENTITY")
-        .when(text.rlike("(?is)<!DOCTYPE[^>]*\\["), "E_SECURITY_DTD")
+@F.pandas_udf(StructType([StructField("valid", BooleanType()), StructField("depth", IntegerType()), StructField("elements", IntegerType())]))
+def xml_shape(texts: pd.Series) -> pd.DataFrame:
+    """Whether a text is well-formed XML, how deep it nests (the root: 1) and how many elements it has; no tree is built."""
+
+    def shape(text: str | None) -> tuple[bool, int, int]:
+        state = [0, 0, 0]  # now, deepest, elements
+
+        def start(*_) -> None:
+            state[0] += 1
+            state[1] = max(state[1], state[0])
+            state[2] += 1
+
+        def end(*_) -> None:
+            state[0] -= 1
+
+        parser = expat.ParserCreate()
+        parser.StartElementHandler, parser.EndElementHandler = start, end
+        try:
+            parser.Parse((text or "").encode("utf-8", "surrogatepass"), True)
+        except (expat.ExpatError, ValueError):
+            return False, 0, 0
+        return True, state[1], state[2]
+
+    return pd.DataFrame([shape(t) for t in texts], columns=["valid", "depth", "elements"])
+
+
+def scan_xml(text: Column, path: Column | None = None, largest: int = 100 * MB, warn_at: int = 10 * MB, deepest: int = 100, most: int = 500_000) -> Column:
+    """The codes of an XML file, as of scan_json. Entity declarations and internal DTD subsets are refused before anything is parsed;
+    W_TRUNCATED: more elements than are read."""
+    size, upper = F.octet_length(text), F.upper(text)
+    wrong = F.lit(False) if path is None else ~F.lower(path).endswith(".xml")
+    early = (
+        F.when(wrong, "E_SECURITY_BAD_EXTENSION")
+        .when(text.isNull(), "E_PARSE_CORRUPT")
+        .when(size == 0, "E_PARSE_EMPTY")
+        .when(size > largest, "E_SECURITY_TOO_LARGE")
+        .when(upper.contains("<!ENTITY") | upper.rlike("(?s)<!DOCTYPE[^>]*\\["), "E_SECURITY_ENTITY_DECLARATION")
     )
+    shape = xml_shape(F.when(early.isNull(), text))
+    late = F.when(early.isNull(), F.when(~shape["valid"], "E_SECURITY_INVALID_XML").when(shape["depth"] > deepest, "E_SECURITY_DEPTH_BOMB").when(shape["elements"] > most, "W_TRUNCATED"))
+    return _codes(F.when(~wrong & size.between(warn_at + 1, largest), "W_LARGE_FILE"), early, late)
+
+
+@F.pandas_udf(StructType([StructField("width", LongType()), StructField("height", LongType())]))
+def _coded_size(contents: pd.Series) -> pd.DataFrame:
+    """Width and height of JPEG, TIFF and WEBP, whose headers have to be walked."""
+
+    def jpeg(b: bytes):
+        at = 2
+        while at + 9 <= len(b) and b[at] == 0xFF:
+            kind, length = b[at + 1], int.from_bytes(b[at + 2 : at + 4], "big")
+            if 0xC0 <= kind <= 0xCF and kind not in (0xC4, 0xC8, 0xCC):
+                return int.from_bytes(b[at + 7 : at + 9], "big"), int.from_bytes(b[at + 5 : at + 7], "big")
+            at += 2 + length
+        return None, None
+
+    def tiff(b: bytes):
+        order = "little" if b[:2] == b"II" else "big"
+        number = lambda at, n: int.from_bytes(b[at : at + n], order)
+        first, found = number(4, 4), {}
+        for k in range(number(first, 2)):
+            at = first + 2 + 12 * k
+            if number(at, 2) in (256, 257) and at + 12 <= len(b):
+                found[number(at, 2)] = number(at + 8, 2 if number(at + 2, 2) == 3 else 4)
+        return found.get(256), found.get(257)
+
+    def webp(b: bytes):
+        little = lambda at, n: int.from_bytes(b[at : at + n], "little")
+        kind = b[12:16]
+        if kind == b"VP8X" and len(b) >= 30:
+            return little(24, 3) + 1, little(27, 3) + 1
+        if kind == b"VP8L" and len(b) >= 25:
+            bits = little(21, 4)
+            return (bits & 0x3FFF) + 1, (bits >> 14 & 0x3FFF) + 1
+        if kind == b"VP8 " and len(b) >= 30:
+            return little(26, 2) & 0x3FFF, little(28, 2) & 0x3FFF
+        return None, None
+
+    def size(b):
+        b = bytes(b or b"")
+        if b[:2] == b"\xff\xd8":
+            return jpeg(b)
+        if b[:4] in (b"II*\0", b"MM\0*"):
+            return tiff(b)
+        return webp(b) if b[:4] == b"RIFF" and b[8:12] == b"WEBP" else (None, None)
+
+    return pd.DataFrame([size(b) for b in contents], columns=["width", "height"]).astype("Int64")
 
 
 def image_size(content: Column) -> Column:
-    """Width and height of PNG, GIF and BMP from their headers; null otherwise."""
+    """Width and height of PNG, GIF, BMP, JPEG, TIFF and WEBP from their headers; null otherwise."""
     number = lambda at, n: F.conv(F.hex(F.substring(content, at, n)), 16, 10).cast("long")
     little = lambda at, n: F.conv(F.array_join(F.transform(F.sequence(F.lit(n), F.lit(1)), lambda i: F.hex(F.substr(content, i + at - 1, F.lit(1)))), ""), 16, 10).cast("long")
     size = lambda w, h: F.struct(w.alias("width"), h.alias("height"))
-    return F.when(has_magic(content, "png"), size(number(17, 4), number(21, 4))).when(has_magic(content, "gif"), size(little(7, 2), little(9, 2))).when(has_magic(content, "bmp"), size(little(19, 4), little(23, 4)))
+    coded = _coded_size(F.when(~has_magic(content, "png") & ~has_magic(content, "gif") & ~has_magic(content, "bmp"), content))
+    return F.when(has_magic(content, "png"), size(number(17, 4), number(21, 4))).when(has_magic(content, "gif"), size(little(7, 2), little(9, 2))).when(has_magic(content, "bmp"), size(little(19, 4), little(23, 4))).when(coded["width"].isNotNull() & coded["height"].isNotNull(), coded)
