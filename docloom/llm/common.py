@@ -8,6 +8,7 @@ import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +40,7 @@ def shared_dir(spark: SparkSession) -> str:
     return _OWN_DIR["dir"]
 
 
-def _delete(spark: SparkSession, path: str) -> None:
+def delete_table(spark: SparkSession, path: str) -> None:
     try:
         jvm = spark.sparkContext._jvm
         target = jvm.org.apache.hadoop.fs.Path(path)
@@ -52,7 +53,18 @@ def _delete(spark: SparkSession, path: str) -> None:
 def drop_scratch_tables() -> None:
     """Deletes the tables that materialize() wrote; frames over them end with this."""
     while _TABLES:
-        _delete(*_TABLES.pop())
+        delete_table(*_TABLES.pop())
+
+
+@contextmanager
+def scratch_scope() -> Iterator[None]:
+    """Deletes at its end the tables that materialize() wrote within it. What is made of them must have been written by then."""
+    before = len(_TABLES)
+    try:
+        yield
+    finally:
+        while len(_TABLES) > before:
+            delete_table(*_TABLES.pop())
 
 
 def release_shuffles(spark: SparkSession) -> None:

@@ -8,8 +8,11 @@ the item are compared one by one. A document holds an item if on some diagonal,
 all words of a shorter item), at least 0.8 W words agree.
 
 Items with fewer than W words have masks of their own: where k words may be substituted, the item is cut into k + 2 blocks, of
-which two at least are untouched, and each mask keeps two blocks. Where none may be, the mask is the whole item. Items without a word, and null texts, match nothing. Rows alike
-in id and text are one document. An empty table gives an empty result. Only DataFrame functions are used.
+which two at least are untouched, and each mask keeps two blocks. Where none may be, the mask is the whole item.
+
+Items without a word, and null texts, match nothing. Rows alike in id and text are one document. Of several items with one id
+the one with most words matched counts. An empty table gives an empty result. Only DataFrame functions are used. The seeds, the
+items and the hits are broadcast where their bytes, counted, allow it, and shuffled otherwise.
 """
 
 from __future__ import annotations
@@ -88,15 +91,17 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
     found = None
     for masks, span, part in plans:
         known = materialize(_seed_rows(part, ["item_key"], masks, span).withColumnRenamed("place", "item_place").distinct(), "seeds")
-        hits = _seed_rows(texts, keys, masks, span).join(maybe_broadcast(known, known.count()), "seed")
+        hits = _seed_rows(texts, keys, masks, span).join(maybe_broadcast(known, known.count(), 40), "seed")
         hits = hits.select(*keys, "item_key", (F.col("place") - F.col("item_place")).alias("diagonal"))
         found = hits if found is None else found.unionByName(hits)
     found = materialize(found.distinct(), "hits")
     wanted = found.groupBy(*keys).agg(F.collect_list(F.struct("item_key", "diagonal")).alias("found"))
     wanted = materialize(wanted, "wanted")
-    held = docs.select(F.col(id_col).alias("id"), *_keys(id_col, text_col), F.col(text_col).alias("text")).join(maybe_broadcast(wanted, found.count()), keys)
+    n_wanted, n_found = wanted.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("found")), F.lit(0))).first()
+    held = docs.select(F.col(id_col).alias("id"), *_keys(id_col, text_col), F.col(text_col).alias("text")).join(maybe_broadcast(wanted, n_wanted, 56 + 32 * n_found // max(1, n_wanted)), keys)
     held = held.select("id", *keys, word_hashes(F.col("text")).alias("doc_words"), "found").select("id", *keys, "doc_words", F.explode("found").alias("f"))
-    met = held.select("id", *keys, "doc_words", "f.item_key", "f.diagonal").join(maybe_broadcast(items, items.count()), "item_key")
+    n_items, n_words = items.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("words")), F.lit(0))).first()
+    met = held.select("id", *keys, "doc_words", "f.item_key", "f.diagonal").join(maybe_broadcast(items, n_items, 64 + 8 * n_words // max(1, n_items)), "item_key")
     width = F.least(F.lit(words), F.size("words"))
 
     def same(w: Column, k: Column) -> Column:
@@ -107,7 +112,8 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
     scored = met.select("id", *keys, "item", width.alias("window"), F.transform("words", same).alias("agree"))
     scored = scored.select("id", *keys, "item", "window", best_run(F.col("agree"), F.col("window")).alias("matched"))
     good = scored.filter(F.col("matched") >= F.ceil(F.col("window") * agree - 1e-9))
-    return good.groupBy("id", *keys, "item").agg(F.max("matched").cast("long").alias("matched"), F.max("window").cast("long").alias("window"))
+    best = good.groupBy("id", *keys, "item").agg(F.max(F.struct("matched", "window")).alias("best"))
+    return best.select("id", *keys, "item", F.col("best.matched").cast("long").alias("matched"), F.col("best.window").cast("long").alias("window"))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", item_col: str = "item_id", **options) -> DataFrame:
@@ -120,7 +126,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_
     """docs without those that hold a benchmark item."""
     bad = materialize(overlaps(docs, benchmark, id_col, text_col, **options).select("__dl_k1", "__dl_k2").distinct(), "contaminated")
     keyed = docs.select(*[F.col(c) for c in docs.columns], *_keys(id_col, text_col))
-    return keyed.join(maybe_broadcast(bad, bad.count()), ["__dl_k1", "__dl_k2"], "left_anti").select(*docs.columns)
+    return keyed.join(maybe_broadcast(bad, bad.count(), 40), ["__dl_k1", "__dl_k2"], "left_anti").select(*docs.columns)
 
 
 def _sql() -> str:
@@ -130,19 +136,19 @@ def _sql() -> str:
     return f"""
 WITH d AS (SELECT doc_id, md5(text) AS k, {clean} AS w FROM documents WHERE text IS NOT NULL),
 b AS (SELECT item_id, w FROM (SELECT item_id, {clean} AS w FROM benchmark WHERE text IS NOT NULL) WHERE w <> ['']),
-ds AS ({unions("d", "doc_id, k", "dp")}), bs AS ({unions("b", "item_id", "bp")}),
+ds AS ({unions("d", "doc_id, k", "dp")}), bs AS ({unions("b", "item_id, w", "bp")}),
 short AS (
-  SELECT DISTINCT doc_id, k, item_id, i AS diagonal FROM (SELECT *, unnest(range(0, len(w))) AS i FROM d) x JOIN b ON len(b.w) < {SPAN} AND x.w[i + 1:i + len(b.w)] = b.w
+  SELECT doc_id, k, item_id, w, unnest(range(1 - len(w), len(dw))) AS diagonal FROM (SELECT doc_id, k, item_id, b.w, d.w AS dw FROM d JOIN b ON len(b.w) < {WORDS})
 ), hit AS (
-  SELECT DISTINCT doc_id, k, item_id, dp - bp AS diagonal FROM ds JOIN bs USING (m, s) UNION SELECT * FROM short
+  SELECT DISTINCT doc_id, k, item_id, w, dp - bp AS diagonal FROM ds JOIN bs USING (m, s) UNION SELECT * FROM short
 ), agree AS (
-  SELECT hit.doc_id, hit.k, item_id, least({WORDS}, len(b.w)) AS width,
-    list_transform(range(0, len(b.w)), lambda i: CASE WHEN i + diagonal >= 0 AND d.w[i + diagonal + 1] = b.w[i + 1] THEN 1 ELSE 0 END) AS a
-  FROM hit JOIN d USING (doc_id, k) JOIN b USING (item_id)
+  SELECT hit.doc_id, hit.k, item_id, least({WORDS}, len(hit.w)) AS width,
+    list_transform(range(0, len(hit.w)), lambda i: CASE WHEN i + diagonal >= 0 AND d.w[i + diagonal + 1] = hit.w[i + 1] THEN 1 ELSE 0 END) AS a
+  FROM hit JOIN d USING (doc_id, k)
 ), best AS (
   SELECT doc_id, k, item_id, width, list_max(list_transform(range(0, len(a) - width + 1), lambda i: list_sum(a[i + 1:i + width]))) AS matched FROM agree
 )
-SELECT doc_id, item_id, max(matched)::BIGINT AS matched, max(width)::BIGINT AS "window" FROM best
+SELECT doc_id, item_id, max(matched)::BIGINT AS matched, arg_max(width, (matched, width))::BIGINT AS "window" FROM best
 WHERE matched >= ceil(width * {AGREE} - 1e-9) GROUP BY doc_id, k, item_id
 """
 

@@ -6,6 +6,8 @@ anchor of a window is the least hash among its runs of ANCHOR words, and equal w
 with one anchor make a context. Contexts whose anchor is found once are unique; contexts that are found twice as a whole are
 repeated in full; only contexts that share an anchor but differ are compared window by window. Counting is by map-side sums,
 and an anchor with very many different contexts is counted window by window in a distributed aggregate, never in one task.
+Windows are equal where 64 bits of hash are, and only windows with one anchor (another 64 bits, of the same eight words) are
+compared: with 10,000 different windows at each of 10,000,000,000 anchors, 0.03 false equalities are to be expected.
 
 Against a reference of bounded size (`remove_reference_spans`), suffix automata of its shards are broadcast and each document
 is streamed through them for matching statistics: the longest match that ends at each word.

@@ -51,6 +51,16 @@ def test_words(texts, chunk):
     assert len(set(by_word.values())) == len(by_word)
 
 
+def test_scratch_tables_go_with_their_scope(spark):
+    import os
+
+    with common.scratch_scope():
+        table = common.materialize(spark.range(5), "t")
+        path = table.inputFiles()[0].removeprefix("file://")
+        assert table.count() == 5 and os.path.exists(path)
+    assert not os.path.exists(path)
+
+
 def test_gapless_rank(spark):
     frame = spark.createDataFrame([(i % 7 != 0, i // 2) for i in range(500)], "k boolean, v int")
     found = common.with_gapless_rank(frame, ["k"], ["v"], "r", 500, per_bucket=40).collect()
@@ -156,6 +166,29 @@ def test_short_leaks_with_substitutions(spark):
     assert found == want
 
 
+def test_leaks_agree_with_sql_for_items_of_any_length(spark):
+    import duckdb
+
+    items = [sentence(700 + n, n).split() for n in (1, 3, 5, 7, 9, 11, 12, 13, 20)]
+    texts = [None, "", *(" ".join("zzz" if i in bad else w for i, w in enumerate(item)) for item in items for bad in itertools.combinations(range(len(item)), min(2, len(item) // 4)))]
+    documents, benchmark = docs(spark, [f"x {t} y" if t else t for t in texts]).select("doc_id", "text").toPandas(), spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string")  # noqa: F841
+    connection, bench = duckdb.connect(), benchmark.toPandas()
+    connection.register("documents", documents)
+    connection.register("benchmark", bench)
+    want = sorted(map(tuple, connection.execute(decontaminate.SQL).fetchall()))
+    found = sorted((r["doc_id"], r["item_id"], r["matched"], r["window"]) for r in decontaminate.contaminated(docs(spark, [f"x {t} y" if t else t for t in texts]), benchmark).collect())
+    assert found == want and {x[1] for x in found} == set(range(9)) - {4}  # of nine words eight must agree
+
+
+def test_items_with_one_id(spark):
+    a, b = sentence(1, 20), sentence(2, 9)
+    benchmark = spark.createDataFrame([(1, a), (1, b)], "item_id long, text string")
+    found = {r["doc_id"]: (r["matched"], r["window"]) for r in decontaminate.contaminated(docs(spark, [a, b, f"{a} {b}", f"{a} {b}"]), benchmark).collect()}
+    assert found == {0: (13, 13), 1: (9, 9), 2: (13, 13), 3: (13, 13)}
+    same = spark.createDataFrame([(1, a), (1, a)], "doc_id long, text string")
+    assert [tuple(r) for r in decontaminate.contaminated(same, benchmark).collect()] == [(1, 1, 13, 13)]
+
+
 def test_leaks_with_substitutions(spark):
     item, other = sentence(1, 30).split(), sentence(2, 20).split()
     changed = [w if i not in (3, 11, 19, 27) else "zzz" for i, w in enumerate(item)]
