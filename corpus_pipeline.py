@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.llm import decontaminate, language, lines, packing, simhash
-from docloom.llm.common import shared_dir
+from docloom.llm.common import delete_table, scratch_scope, shared_dir
 from docloom.llm.queries import table, word_tokenizer
 
 
@@ -26,7 +26,9 @@ def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Line dedup: repeated chunks of lines stay in one place; a document of which nothing is left goes."""
     done = lines.dedup_lines(docs).filter("text <> '' or __dl_removed = 0")
-    return done.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    if "n_chars" in docs.columns:
+        done = done.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return done.select(*docs.columns)
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,6 +62,9 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Applies STAGES to documents."""
     docs, root = table(spark, sf_dir, "documents"), f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     for k, (name, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{root}/{k}-{name}")
+        with scratch_scope():
+            stage(spark, docs, sf_dir).write.parquet(f"{root}/{k}-{name}")
         docs = spark.read.parquet(f"{root}/{k}-{name}")
+        if k:  # what the stage has read isn't needed any more
+            delete_table(spark, f"{root}/{k - 1}-{STAGES[k - 1][0]}")
     return docs
