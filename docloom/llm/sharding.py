@@ -209,9 +209,11 @@ def read_shard(spark: SparkSession, root: str, shard: int) -> DataFrame:
     return spark.read.parquet(*(f"{root}/{f}" for f in read_manifest(spark, root)["shards"][shard]))
 
 
-def _parting(parts: list[tuple[int, int]]):
-    def part_block(block: pd.DataFrame) -> pd.DataFrame:
-        room = [(-x, shard) for shard, x in parts]
+def _parting(plan: dict[tuple[int, int], list[tuple[int, int]]]):
+    """For each block the rows with their new shards: the largest first, each to the shard with most room left."""
+
+    def part_block(key: tuple, block: pd.DataFrame) -> pd.DataFrame:
+        room = [(-x, shard) for shard, x in plan[int(key[0]), int(key[1])]]
         heapq.heapify(room)
         block = block.sort_values("size", ascending=False, kind="stable")
         to = []
@@ -224,37 +226,41 @@ def _parting(parts: list[tuple[int, int]]):
     return part_block
 
 
-def rewrite_affected(spark: SparkSession, root: str, new_capacities: list[int] | int, size: str, block_rows: int = BLOCK_ROWS) -> dict:
+def _blocks(spark: SparkSession, root: str, files: list[tuple[int, int, str]], size: str) -> DataFrame:
+    """The rows of block folders with old_shard, block and size, read at once."""
+    rows = spark.read.option("mergeSchema", "true").parquet(*(f"{root}/{f}" for _, _, f in files))
+    folder = F.regexp_extract("_metadata.file_path", "([^/]+/[^/]+/[^/]+)/[^/]+$", 1)
+    known = spark.createDataFrame(files, "old_shard int, block int, __folder string")
+    return rows.withColumn("__folder", folder).join(F.broadcast(known), "__folder").drop("__folder").withColumn("size", F.expr(size).cast("long"))
+
+
+def rewrite_affected(spark: SparkSession, root: str, new_capacities: list[int] | int, size: str) -> dict:
     """Moves a sharded dataset to new capacities; size: SQL for the bytes of a row. Returns the new manifest with `rewritten`.
 
-    Block files whose rows all go to one shard are renamed in the manifest alone; the others are written again, parted by
-    their new shards. Files of older manifests stay until someone deletes them, so a reader, or a run that died half way,
-    isn't hurt.
+    Block files whose rows all go to one shard are renamed in the manifest alone; the others are written again by one job,
+    parted by their new shards. Files of older manifests stay until someone deletes them, so a reader, or a run that died half
+    way, isn't hurt.
     """
     manifest = read_manifest(spark, root)
     files = [(shard, k, f) for shard, fs in sorted(manifest["shards"].items()) for k, f in enumerate(sorted(fs))]
-    frames = [spark.read.parquet(f"{root}/{f}").withColumn("old_shard", F.lit(s)).withColumn("block", F.lit(k)).withColumn("size", F.expr(size).cast("long")) for s, k, f in files]
-    every = frames[0]
-    for frame in frames[1:]:
-        every = every.unionByName(frame, allowMissingColumns=True)
-    sums = every.groupBy("old_shard", "block").agg(F.sum("size").alias("bytes")).toPandas()
+    sums = _blocks(spark, root, files, size).groupBy("old_shard", "block").agg(F.sum("size").alias("bytes")).toPandas()
     old = max(manifest["shards"]) + 1
     old_bytes = [int(sums.loc[sums["old_shard"] == i, "bytes"].sum()) for i in range(old)]
     capacities = even_capacities(sum(old_bytes), new_capacities) if isinstance(new_capacities, int) else new_capacities
     plan = plan_blocks(sums, min_cost_flow(old_bytes, capacities, stay_or_move(old, len(capacities))))
     shards: dict[int, list[str]] = {j: [] for j in range(len(capacities))}
-    rewritten, version = [], manifest["version"] + 1
-    for (s, k, f), frame in zip(files, frames, strict=True):
-        parts = plan[s, k]
-        if len(parts) == 1:
-            shards[parts[0][0]].append(f)
-            continue
-        columns = [c for c in frame.columns if c not in ("old_shard", "block", "size")]
-
-        schema = ", ".join(f"`{x.name}` {x.dataType.simpleString()}" for x in frame.schema if x.name in (*columns, "block")) + ", shard int"
-        frame.groupBy("old_shard").applyInPandas(_parting(parts), schema).write.partitionBy("shard", "block").parquet(f"{root}/v{version}-{s}-{k}")
-        rewritten.append(f)
-        for shard, _, folder in _block_folders(spark, root, f"v{version}-{s}-{k}"):
+    version = manifest["version"] + 1
+    affected = [(s, k, f) for s, k, f in files if len(plan[s, k]) > 1]
+    for s, k, f in files:
+        if len(plan[s, k]) == 1:
+            shards[plan[s, k][0][0]].append(f)
+    if affected:
+        rows = _blocks(spark, root, affected, size)
+        schema = ", ".join(f"`{x.name}` {x.dataType.simpleString()}" for x in rows.schema if x.name not in ("old_shard", "block", "size")) + ", block int, shard int"
+        part, number = _parting(plan), {(s, k): i for i, (s, k, _) in enumerate(affected)}
+        moved = rows.groupBy("old_shard", "block").applyInPandas(lambda key, block: part(key, block).assign(block=number[int(key[0]), int(key[1])]), schema)
+        moved.write.partitionBy("shard", "block").parquet(f"{root}/v{version}")
+        for shard, _, folder in _block_folders(spark, root, f"v{version}"):
             shards[shard].append(folder)
     write_manifest(spark, root, version, {k: v for k, v in shards.items() if v})
-    return read_manifest(spark, root) | {"rewritten": rewritten}
+    return read_manifest(spark, root) | {"rewritten": [f for _, _, f in affected]}
