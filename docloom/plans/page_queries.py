@@ -227,7 +227,9 @@ def w12_j11_reading_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.reading_order(b, pages.columns_of_page(b)).select("doc", "place", "column_no", "reading_order")
 
 
-@query()
+@query("""WITH l AS (SELECT doc_id AS doc, unnest(range(0, len(l))) // 3 + 1 AS page, unnest(range(0, len(l))) AS i, unnest(l) AS t FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)),
+  s AS (SELECT doc, page, string_agg(t, chr(10) ORDER BY i) AS text FROM l GROUP BY doc, page), n AS (SELECT *, count(*) OVER (PARTITION BY doc) AS n FROM s)
+  SELECT doc, page::INTEGER AS page, CASE WHEN n > 1 THEN text ELSE 'Report of document ' || doc || ', page ' || page || chr(10) || text END AS text FROM n""")
 def u2_u3_headers_footers(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), F.posexplode(F.split("text", "\n")).alias("i", "t"))
     sheets = lines.withColumn("page", F.floor(F.col("i") / 3).cast("int") + 1).groupBy("doc", "page").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "t"))), lambda x: x["t"]), "\n").alias("text"))

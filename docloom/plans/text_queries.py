@@ -266,9 +266,12 @@ def f4_f5_coercion(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query(r"""SELECT page_id, trim(regexp_replace(regexp_replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?s)<!--.*?-->|<!(?i:doctype)[^>]*>', '', 'g'),
+HTML_TEXT = r"""SELECT page_id, trim(regexp_replace(regexp_replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?s)<!--.*?-->|<!(?i:doctype)[^>]*>', '', 'g'),
   '(?is)<script\b[^>]*>.*?</script\s*>|<style\b[^>]*>.*?</style\s*>', '', 'g'), '(?i)<br\b[^>]*>|</?p\b[^>]*>', chr(10), 'g'), '<[^>]*>', '', 'g'),
-  '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&'), '\n{3,}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g')) AS text FROM pages""")
+  '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&'), '\n{3,}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g')) AS text FROM pages"""
+
+
+@query(HTML_TEXT)
 def t9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", text.html_text(F.col("html")).alias("text"))
 
@@ -278,7 +281,8 @@ def t9_html_text_parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", decode.html_to_text(F.col("html")).alias("text"))
 
 
-@query()
+@query("""SELECT doc_id, (len(l) + 1)::INTEGER AS elements, false AS fallback, array_to_string(list_concat(['doc [id=' || doc_id || ']'],
+  list_transform(list_filter(list_transform(l, lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: x <> ''), lambda x: 'p: ' || x)), chr(10)) AS text FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)""")
 def t8_xml_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     xml = F.concat(F.lit("<doc id='"), F.col("doc_id").cast("string"), F.lit("'><p>"), F.replace(F.replace(F.replace("text", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit("\n"), F.lit("</p><p>")), F.lit("</p></doc>"))
     found = table(spark, sf_dir, "documents").select("doc_id", decode.xml_lines(xml).alias("x"))
