@@ -48,17 +48,16 @@ def passages(data: np.ndarray, offsets: np.ndarray, size: int = PASSAGE) -> tupl
     at = np.concatenate(([0], np.cumsum(counts)))
     n = int(at[-1])
     out = np.zeros((n, GRAMS + MEASURES), dtype=np.float32)
-    if not len(hashes):
-        return out, at
     row = np.repeat(np.arange(n_rows), n_words)
     of_word = at[row] + (np.arange(len(hashes)) - rows[row]) // size
     base = int(offsets[0])
     part = data[base : int(offsets[-1])]
-    # A byte belongs to the passage of the last word that began before it.
-    starts = np.zeros(len(part), dtype=bool)
-    starts[begins - base] = True
-    nth = np.cumsum(starts) - 1
-    of_byte = of_word[np.maximum(nth, 0)]
+    # A byte belongs to the passage of the last word of its row that began before it, or to the row's first.
+    of_byte = np.repeat(at[:-1], np.diff(offsets))
+    if len(hashes):
+        starts = np.zeros(len(part), dtype=bool)
+        starts[begins - base] = True
+        of_byte = np.maximum(np.concatenate(([0], of_word))[np.cumsum(starts)], of_byte)
     b = part.astype(np.uint32)
     if len(b) > 2:
         gram = ((b[:-2] * np.uint32(0x9E3779B1) + b[1:-1] * np.uint32(0x85EBCA77) + b[2:] * np.uint32(0xC2B2AE3D)) * np.uint32(0x27D4EB2F)) >> np.uint32(24)

@@ -241,6 +241,31 @@ def test_a_long_token_leaves_scores_whole(spark):
     assert len(found) == 21 and found["score"].between(0, 1).all() and all(np.isfinite(p).all() for p in model.p.values())
 
 
+def test_scores_by_plain_loops(spark):
+    """The network's own course over one document after the other, passage by passage."""
+    import math
+
+    import pyarrow as pa
+
+    texts = [sentence(i, 20 + 90 * i) for i in range(8)] + ["", " \n\n ", "\n\n word " * 700, " "]
+    model = quality.train(docs(spark, texts), spark.createDataFrame([(i, i % 2) for i in range(8)], "doc_id long, quality int"), epochs=4)
+    found = {r["doc_id"]: r["score"] for r in quality.score(docs(spark, texts), model).collect()}
+    p = {k: v.astype(float) for k, v in model.p.items()}
+    sigmoid = lambda x: 1 / (1 + math.exp(-x))
+    for i, t in enumerate(texts):
+        x, at = quality.passages(*common.text_buffers(pa.array([t])))
+        assert len(x) == max(1, -(-len(t.split()) // quality.PASSAGE)) == at[-1]
+        hidden, weights = [], []
+        for row in x.astype(float):
+            scaled = [(v - m) * s for v, m, s in zip(row, model.mean, model.scale)]
+            h = [math.tanh(sum(v * p["W"][k][j] for k, v in enumerate(scaled)) + p["b"][j]) for j in range(quality.HIDDEN)]
+            gate = [math.tanh(sum(h[k] * p["V"][k][j] for k in range(len(h)))) * sigmoid(sum(h[k] * p["U"][k][j] for k in range(len(h)))) for j in range(len(h))]
+            hidden.append(h)
+            weights.append(math.exp(sum(g * w for g, w in zip(gate, p["w"]))))
+        z = [sum(w * h[j] for w, h in zip(weights, hidden)) / sum(weights) for j in range(quality.HIDDEN)]
+        assert abs(found[i] - sigmoid(sum(a * b for a, b in zip(z, p["c"])) + p["d"][0])) < 1e-4, i
+
+
 def test_attention_gradient():
     r = np.random.default_rng(0)
     net = quality.GatedAttention(5, 3)
@@ -285,6 +310,34 @@ def test_language_odd_cases(spark):
     assert language.identify(docs(spark, []), model).count() == 0
 
 
+def test_languages_by_plain_loops(spark):
+    """Every n-gram counted by itself, and the cosine with every centroid, for whole texts."""
+    import math
+
+    rows = docs(spark, [sentence(i, 30) for i in range(30)]).selectExpr("doc_id", "text", "'aa' as lang")
+    rows = rows.union(docs(spark, [sentence(50 + i, 30).translate(str.maketrans("abcdefgh", "éàüößñçî")) for i in range(30)], 100).selectExpr("doc_id", "text", "'bb' as lang"))
+    model = language.train(rows)
+    texts = ["Sie Éàü abc", sentence(3, 200), "été " * 40, "x", "  1a2b  c", "éàü ößñ " * 9]
+    found = {r["doc_id"]: r for r in language.identify(docs(spark, texts), model).collect()}
+    shift, m32 = 32 - language.DIMENSIONS.bit_length() + 1, 0xFFFFFFFF
+    for i, t in enumerate(texts):
+        codes, counts = [ord(c) if c.isalpha() else 0 for c in t.lower()], Counter()
+        for at in range(len(codes)):
+            h = codes[at] * 0x9E3779B1 & m32
+            counts[h >> shift] += 1
+            for k in (1, 2):
+                if at + k >= len(codes):
+                    break
+                h = ((h ^ h >> 15) * 0x85EBCA77 + codes[at + k] * 0xC2B2AE3D) & m32
+                if codes[at + k] or codes[at]:
+                    counts[h >> shift] += 1
+        v = {d: (1 + math.log(n)) * float(model.idf[d]) for d, n in counts.items()}
+        norm = math.sqrt(sum(x * x for x in v.values()))
+        cosines = [sum(x * float(c[d]) for d, x in v.items()) / norm for c in model.centroids]
+        best = max(range(len(cosines)), key=cosines.__getitem__)
+        assert found[i]["lang_pred"] == model.languages[model.owner[best]] and abs(found[i]["score"] - max(0, cosines[best])) < 1e-4
+
+
 @settings(deadline=None)
 @given(st.lists(st.text(st.sampled_from("aé中 .1"), max_size=12), min_size=1, max_size=5))
 def test_ngram_counts_of_a_row_are_its_own(texts):
