@@ -105,10 +105,25 @@ def give_back() -> None:
         pass
 
 
-def trimmed(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """run, for mapInArrow, with give_back() at the end of a task."""
+_HELD: dict[str, Callable[[], None]] = {}
+
+
+def hold(name: str, drop: Callable[[], None]) -> None:
+    """Says how to drop what a module keeps in a worker from task to task; tasks of other operators drop it."""
+    _HELD[name] = drop
+
+
+def drop_held(but: str | None) -> None:
+    for name, drop in _HELD.items():
+        if name != but:
+            drop()
+
+
+def trimmed(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], holds: str | None = None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, for mapInArrow, in a worker that keeps from other tasks only what `holds` names, and gives memory back at the end."""
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_held(holds)
         try:
             yield from run(batches)
         finally:
@@ -138,6 +153,14 @@ def row_slices(offsets: np.ndarray, target: int = 4 << 20) -> Iterator[tuple[int
         i = j
 
 
+def column_slices(column: pa.Array, target: int, rows: int) -> Iterator[tuple[int, int]]:
+    """Row ranges of about target bytes and `rows` rows at most, without a copy of the column."""
+    sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    for start, stop in row_slices(np.concatenate(([0], np.cumsum(sizes))), target):
+        for lo in range(start, stop, rows):
+            yield lo, min(stop, lo + rows)
+
+
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """p**i and p**-i modulo 2**64 for i < n at least."""
     if len(_powers.get("p", ())) < n:

@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import row_slices, text_buffers, trimmed
+from docloom.llm.common import column_slices, text_buffers, trimmed
 
 DIMENSIONS = 2048
 CENTROIDS = 4
@@ -68,22 +68,20 @@ def ngram_counts(data: np.ndarray, offsets: np.ndarray, dimensions: int = DIMENS
 
 
 def _slices(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """Row ranges of lower-cased texts with their counts and letters; at most 512 rows, and a long row in parts."""
-    data, offsets = text_buffers(pc.utf8_lower(pc.fill_null(column, "")))
-    for lo, hi in row_slices(offsets, 1 << 20):
-        for i in range(lo, hi, 512):
-            j = min(hi, i + 512)
-            if offsets[j] - offsets[i] <= 8 << 20:
-                counts, letters = ngram_counts(data, offsets[i : j + 1])
-            else:  # a very long text, cut where characters begin
-                counts, letters, at = 0, 0, int(offsets[i])
-                while at < offsets[j]:
-                    end = min(int(offsets[j]), at + (4 << 20))
-                    while end < offsets[j] and data[end] & 0xC0 == 0x80:
-                        end += 1
-                    c, n = ngram_counts(data, np.array([at, end]))
-                    counts, letters, at = counts + c, letters + n, end
-            yield i, j, counts, letters
+    """Row ranges with their counts and letters, of texts in lower case: a quarter of a megabyte and 512 rows at most, and a long row in parts."""
+    for i, j in column_slices(column, 1 << 18, 512):
+        data, offsets = text_buffers(pc.utf8_lower(pc.fill_null(column.slice(i, j - i), "")))
+        if len(offsets) > 2 or offsets[-1] - offsets[0] <= 1 << 20:
+            counts, letters = ngram_counts(data, offsets)
+        else:  # a very long text, cut where characters begin
+            counts, letters, at = 0, 0, int(offsets[0])
+            while at < offsets[-1]:
+                end = min(int(offsets[-1]), at + (1 << 20))
+                while end < offsets[-1] and data[end] & 0xC0 == 0x80:
+                    end += 1
+                c, n = ngram_counts(data, np.array([at, end]))
+                counts, letters, at = counts + c, letters + n, end
+        yield i, j, counts, letters
 
 
 @dataclass

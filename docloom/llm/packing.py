@@ -25,7 +25,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import materialize, trimmed, with_gapless_rank
+from docloom.llm.common import hold, materialize, trimmed, with_gapless_rank
 
 CAPACITY = 4096
 END_ID = 1
@@ -104,6 +104,9 @@ def _tokens(path: str) -> WordTokens:
     return WordTokens(path)
 
 
+hold("tokens", _tokens.cache_clear)
+
+
 class _Exact:
     """Combinations of one, two or three available lengths with a given sum."""
 
@@ -226,7 +229,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY,
                     names=[id_col, "piece", "start", "length", "ids_crc32"],
                 )
 
-    return docs.select(id_col, text_col).mapInArrow(trimmed(cut), f"`{id_col}` {id_type}, piece int, start long, length long, ids_crc32 long")
+    return docs.select(id_col, text_col).mapInArrow(trimmed(cut, "tokens"), f"`{id_col}` {id_type}, piece int, start long, length long, ids_crc32 long")
 
 
 def place(pieces: DataFrame, capacity: int = CAPACITY, id_col: str = "doc_id") -> DataFrame:
@@ -251,7 +254,7 @@ def place(pieces: DataFrame, capacity: int = CAPACITY, id_col: str = "doc_id") -
                 names=[*fields, "sequence_id", "offset"],
             )
 
-    return ranked.select(*fields, "__dl_rank").mapInArrow(trimmed(lay), f"{schema}, sequence_id long, offset long")
+    return ranked.select(*fields, "__dl_rank").mapInArrow(trimmed(lay, "tokens"), f"{schema}, sequence_id long, offset long")
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import row_slices, text_buffers, trimmed, words
+from docloom.llm.common import column_slices, text_buffers, trimmed, words
 
 PASSAGE = 128
 GRAMS = 256
@@ -165,9 +165,8 @@ def train(docs: DataFrame, labels: DataFrame, target: str = "quality", sample: i
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = text_buffers(batch.column(2))
-            for lo, hi in row_slices(offsets):
-                x, at = passages(data, offsets[lo : hi + 1])
+            for lo, hi in column_slices(batch.column(2), 1 << 19, 1024):
+                x, at = passages(*text_buffers(batch.column(2).slice(lo, hi - lo)))
                 chosen = [np.linspace(at[i], at[i + 1] - 1, min(TAUGHT, at[i + 1] - at[i])).astype(np.int64) for i in range(hi - lo)]
                 blobs = [x[c].astype(np.float16).tobytes() for c in chosen]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), pa.array(blobs, pa.binary())], names=["id", "y", "x"])
@@ -190,10 +189,9 @@ def score(docs: DataFrame, model: GatedAttention | None, text_col: str = "text",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = text_buffers(batch.column(at_column))
             parts = [np.zeros(0)]
-            for lo, hi in row_slices(offsets):
-                x, at = passages(data, offsets[lo : hi + 1])
+            for lo, hi in column_slices(batch.column(at_column), 1 << 19, 1024):
+                x, at = passages(*text_buffers(batch.column(at_column).slice(lo, hi - lo)))
                 parts.append(model.score(x, at) if model is not None else np.full(hi - lo, 0.5))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(parts))], names=[*names, out])
 

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import gram_hashes, materialize, maybe_broadcast, mix, row_slices, text_buffers, trimmed, words
+from docloom.llm.common import column_slices, gram_hashes, materialize, maybe_broadcast, mix, text_buffers, trimmed, words
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -87,12 +87,9 @@ def parities(grams: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 def _slices(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """Row ranges of about a megabyte and 1024 rows at most, with their shingle sets."""
-    data, offsets = text_buffers(column)
-    for start, stop in row_slices(offsets, 1 << 20):
-        for lo in range(start, stop, 1024):
-            hi = min(stop, lo + 1024)
-            yield lo, hi, *shingle_sets(data, offsets[lo : hi + 1])
+    """Row ranges of about half a megabyte and 1024 rows at most, with their shingle sets."""
+    for lo, hi in column_slices(column, 1 << 19, 1024):
+        yield lo, hi, *shingle_sets(*text_buffers(column.slice(lo, hi - lo)))
 
 
 def _blobs(rows: np.ndarray) -> pa.Array:
