@@ -227,26 +227,29 @@ def stitch_tables(tables: DataFrame, threshold: float = 0.8) -> DataFrame:
 
     A table continues the group before it if it is the first of the next page with tables, has as many columns as the group's
     first table, and a header that is like that table's (matching share of the two arrays). Whether a table goes on depends on where the
-    group began, so a document's tables are walked in order.
+    group began, so a document's tables are walked in order, many documents a batch.
     """
 
-    def walk(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["page", "table_no"], kind="stable").reset_index(drop=True)
-        base, group, page, continued, groups = None, 0, None, [], []
-        for row in part.itertuples():
-            header = list(row.header) if row.header is not None else []
-            first = page is not None and row.page != page
-            goes_on = first and base is not None and len(base) == len(header) and difflib.SequenceMatcher(None, base, header).ratio() >= threshold
-            if not goes_on:
-                base, group = header, group + 1
-            continued.append(bool(goes_on))
-            groups.append(group)
-            page = row.page
-        return part[["doc", "page", "table_no"]].assign(continued=continued, group_no=groups)
-
-    kinds = dict(tables.dtypes)
-    schema = f"doc {kinds['doc']}, page {kinds['page']}, table_no {kinds['table_no']}, continued boolean, group_no long"
-    return tables.join(tables.select("doc", "page", "table_no", "header").groupBy("doc").applyInPandas(walk, schema), ["doc", "page", "table_no"])
+    @F.pandas_udf("array<struct<continued:boolean,group_no:bigint>>")
+    def walk(headers: pd.Series, pages: pd.Series) -> pd.Series:
+        def one(own, at) -> list[dict]:
+            base, group, before, out = None, 0, None, []
+            for header, page in zip(own, at):
+                header = [] if header is None else list(header)
+                first = before is not None and page != before
+                goes_on = first and len(base) == len(header) and (base == header or difflib.SequenceMatcher(None, base, header).ratio() >= threshold)
+                if not goes_on:
+                    base, group = header, group + 1
+                out.append({"continued": bool(goes_on), "group_no": group})
+                before = page
+            return out
+
+        return pd.Series([one(h, p) for h, p in zip(headers, pages)])
+
+    placed = tables.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("page", "table_no", "header"))).alias("t"))
+    known = placed.withColumn("g", walk(F.col("t.header"), F.col("t.page").cast("array<string>")))
+    each = known.select("doc", F.explode(F.arrays_zip("t", "g")).alias("x")).select("doc", "x.t.page", "x.t.table_no", "x.g.continued", "x.g.group_no")
+    return tables.join(each, ["doc", "page", "table_no"])
 
 
 def stitched_rows(tables: DataFrame) -> DataFrame:
