@@ -55,12 +55,14 @@ def _ranges(counts: Column, size: int, overlap: int) -> Column:
 
 def _cut(units: DataFrame, size: int, overlap: int, glue: str) -> DataFrame:
     """units: any columns and `units`, an array of strings. Adds chunk_index and chunk."""
-    counted = units.withColumn("__counts", F.transform("units", word_count))
-    ranged = counted.withColumn("__ranges", _ranges(F.col("__counts"), size, overlap))
-    # Cut inside the array, so that a document's units aren't carried along with each of its chunks.
+    # What an explode gives isn't computed again where it is used: once for the counts, and once for each chunk otherwise.
+    once = units.select(*[c for c in units.columns if c != "units"], F.explode(F.array("units")).alias("units"))
+    ranged = once.withColumn("__ranges", _ranges(F.transform("units", word_count), size, overlap))
+    # Cut inside the array, so that a document's units aren't carried along with each of its chunks; outer, as the other kind
+    # would cut them once more to see if there are any.
     part = lambda r: F.array_join(F.slice("units", r["first"] + 1, r["last"] - r["first"]), glue)
-    cut = ranged.withColumn("__chunks", F.transform("__ranges", part)).drop("units", "__counts", "__ranges")
-    return cut.select("*", F.posexplode("__chunks").alias("chunk_index", "chunk")).drop("__chunks")
+    cut = ranged.withColumn("__chunks", F.transform("__ranges", part)).drop("units", "__ranges")
+    return cut.select("*", F.posexplode_outer("__chunks").alias("chunk_index", "chunk")).drop("__chunks").filter("chunk_index is not null")
 
 
 def line_chunks(docs: DataFrame, text: str = "text", size: int = SIZE, overlap: int = OVERLAP) -> DataFrame:
@@ -71,7 +73,7 @@ def line_chunks(docs: DataFrame, text: str = "text", size: int = SIZE, overlap:
 
 def paragraphs(text: Column, size: int = SIZE) -> Column:
     """Paragraphs between blank lines, trimmed; one over the size is cut into its lines."""
-    trim = lambda x: F.regexp_replace(x, "^\\s+|\\s+$", "")
+    trim = lambda x: F.btrim(x, F.lit(" \t\n\x0b\f\r"))
     parts = F.filter(F.transform(F.split(text, "\n\n"), trim), lambda p: p != "")
     lines = lambda p: F.filter(F.transform(F.split(p, "\n"), trim), lambda x: x != "")
     return F.flatten(F.transform(parts, lambda p: F.when(word_count(p) > size, lines(p)).otherwise(F.array(p))))
@@ -79,8 +81,7 @@ def paragraphs(text: Column, size: int = SIZE) -> Column:
 
 def paragraph_chunks(docs: DataFrame, text: str = "text", size: int = SIZE, overlap: int = OVERLAP) -> DataFrame:
     """Chunks of whole paragraphs, for office formats."""
-    kept = docs.filter(F.col(text).isNotNull()).withColumn("units", paragraphs(F.col(text), size)).drop(text)
-    return _cut(kept.filter(F.size("units") > 0), size, overlap, "\n\n")
+    return _cut(docs.filter(F.col(text).isNotNull()).withColumn("units", paragraphs(F.col(text), size)).drop(text), size, overlap, "\n\n")
 
 
 def split_recursive(text: str, separators: list[str], limit: int) -> list[str]:
