@@ -13,6 +13,10 @@ from docloom.functions.text import iou
 FORMATS = {"pdf": "pdf", "xlsx": "xlsx", "jpg": "image", "jpeg": "image", "png": "image", "tif": "image", "tiff": "image"}
 
 
+#: Template pages that are broadcast: a grid of 320 levels takes about 1.5 KB.
+MOST_TEMPLATE_PAGES = 20_000
+
+
 def source_format(path: Column) -> Column:
     """The format of a form by its extension; null: not supported."""
     known = F.create_map(*(F.lit(x) for pair in FORMATS.items() for x in pair))
@@ -35,15 +39,18 @@ def match_pages(doc_pages: DataFrame, template_pages: DataFrame, page_min: float
 
     doc_pages: doc, format, page, grid. template_pages: template, version, format, page, grid. A template of T pages slides over
     D >= T pages; every page must reach page_min; the score is the mean less `extra` for each page left over; ties: first start.
+    Formats are few, so a join on them has hot keys: templates of up to MOST_TEMPLATE_PAGES pages, counted, go to every task, and
+    only pairs of pages that reach page_min are shuffled.
     """
     d_n = doc_pages.groupBy("doc").agg(F.count(F.lit(1)).alias("d_n"))
     t_n = template_pages.groupBy("template", "version").agg(F.count(F.lit(1)).alias("t_n"))
     d, t = doc_pages.join(d_n, "doc").withColumnRenamed("page", "d_page"), template_pages.join(t_n, ["template", "version"])
     t = t.withColumnRenamed("grid", "t_grid").withColumnRenamed("page", "t_page")
-    met = d.join(t, "format").filter("d_n >= t_n").withColumn("start", F.col("d_page") - F.col("t_page")).filter("start >= 0 and start <= d_n - t_n")
-    scored = met.withColumn("s", grid_similarity(F.col("grid"), F.col("t_grid")))
-    runs = scored.groupBy("doc", "template", "version", "start", "d_n", "t_n").agg(F.min("s").alias("least"), F.avg("s").alias("mean"), F.count(F.lit(1)).alias("n"))
-    good = runs.filter((F.col("least") >= page_min) & (F.col("n") == F.col("t_n"))).withColumn("confidence", F.col("mean") - (F.col("d_n") - F.col("t_n")) * extra)
+    few = template_pages.limit(MOST_TEMPLATE_PAGES + 1).count() <= MOST_TEMPLATE_PAGES
+    met = d.join(F.broadcast(t) if few else t, "format").filter("d_n >= t_n").withColumn("start", F.col("d_page") - F.col("t_page")).filter("start >= 0 and start <= d_n - t_n")
+    scored = met.withColumn("s", grid_similarity(F.col("grid"), F.col("t_grid"))).filter(F.col("s") >= page_min)
+    runs = scored.groupBy("doc", "template", "version", "start", "d_n", "t_n").agg(F.avg("s").alias("mean"), F.count(F.lit(1)).alias("n"))
+    good = runs.filter(F.col("n") == F.col("t_n")).withColumn("confidence", F.col("mean") - (F.col("d_n") - F.col("t_n")) * extra)
     best = F.row_number().over(Window.partitionBy("doc", "template", "version").orderBy(F.desc("confidence"), "start"))
     return good.withColumn("r", best).filter("r = 1").select("doc", "template", "version", "start", "confidence")
 
