@@ -111,7 +111,7 @@ def _windows(window: int):
             data, offsets = text_buffers(batch.column("__dl_text"))
             wanted = batch.column("wanted")
             at = np.asarray(wanted.offsets)
-            asked = {c: wanted.flatten().field(c).to_numpy(zero_copy_only=False) for c in ("anchor", "first", "n", "c")}
+            asked = {c: wanted.flatten().field(c).to_numpy(zero_copy_only=False) for c in ("anchor", "first", "n", "c", "hot")}
             at = at - at[0]
             for lo, hi in row_slices(offsets):
                 hashes, _, _, rows = words(data, offsets[lo : hi + 1])
@@ -124,7 +124,7 @@ def _windows(window: int):
                 blob = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(np.concatenate(([0], ends * 8)).astype(np.int32)), pa.py_buffer(hashed)])
                 keys = [batch.column(c).slice(lo, hi - lo).take(pa.array(doc)) for c in ("__dl_k1", "__dl_k2")]
                 yield pa.RecordBatch.from_arrays(
-                    [*keys, *(pa.array(asked[c][part]) for c in ("anchor", "first", "c")), blob], names=["__dl_k1", "__dl_k2", "anchor", "first", "c", "windows"]
+                    [*keys, *(pa.array(asked[c][part]) for c in ("anchor", "first", "c", "hot")), blob], names=["__dl_k1", "__dl_k2", "anchor", "first", "c", "hot", "windows"]
                 )
 
     return run
@@ -188,20 +188,19 @@ def repeated_spans(keyed: DataFrame, window: int = WINDOW, hot_contexts: int = H
     full = shared.join(distinct.filter("c > 1").select("anchor", "ctx"), ["anchor", "ctx"]).select("__dl_k1", "__dl_k2", "first", "n")
     mixed = distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("forms"), F.min("c").alias("least"), F.max("again").alias("self")).filter("least = 1 and (forms > 1 or self)")
     open_ = materialize(distinct.join(mixed, "anchor").select("anchor", F.least("c", F.lit(2)).alias("c"), "forms", "at.*"), "open")
-    wanted = open_.groupBy("__dl_k1", "__dl_k2").agg(F.collect_list(F.struct("anchor", "first", "n", "c", "forms")).alias("wanted"))
+    hot = (F.col("forms") > hot_contexts).alias("hot")
+    wanted = open_.select("*", hot).groupBy("__dl_k1", "__dl_k2").agg(F.collect_list(F.struct("anchor", "first", "n", "c", "hot")).alias("wanted"))
     texts = keyed.select("__dl_text", "__dl_k1", "__dl_k2").join(wanted, ["__dl_k1", "__dl_k2"])
     # Rows alike in id and text give the same context twice; its count says so already.
-    windows = texts.dropDuplicates(["__dl_k1", "__dl_k2"]).select("*", F.transform("wanted", lambda x: x["forms"] > hot_contexts).alias("__dl_hot"))
-    schema = f"{_KEY}, anchor long, first int, c long, windows binary"
-    cool = windows.withColumn("wanted", F.filter("wanted", lambda x: x["forms"] <= hot_contexts)).drop("__dl_hot").filter(F.size("wanted") > 0)
-    partial = cool.mapInArrow(trimmed(_windows(window)), schema).repartition("anchor").sortWithinPartitions("anchor")
-    # Written by itself, so that the shuffled texts are gone before the spans of all documents are put together.
+    hashed = texts.dropDuplicates(["__dl_k1", "__dl_k2"]).mapInArrow(trimmed(_windows(window)), f"{_KEY}, anchor long, first int, c long, hot boolean, windows binary")
+    # Written, so that the texts are joined once for both ways of comparing, and their shuffle files are gone before the next.
+    hashed = materialize(hashed, "windows")
+    partial = hashed.filter("not hot").drop("hot").repartition("anchor").sortWithinPartitions("anchor")
+    # Written by itself, so that the shuffled windows are gone before the spans of all documents are put together.
     spans = materialize(partial.mapInArrow(trimmed(_compare), f"{_KEY}, first int, n int"), "partial")
     result = full.unionByName(spans)
-    hot = open_.filter(F.col("forms") > hot_contexts)
-    if hot.limit(1).count():
-        heavy = windows.withColumn("wanted", F.filter("wanted", lambda x: x["forms"] > hot_contexts)).drop("__dl_hot").filter(F.size("wanted") > 0)
-        heavy = materialize(heavy.mapInArrow(trimmed(_windows(window)), schema), "hot")
+    heavy = hashed.filter("hot")
+    if heavy.limit(1).count():
         count = F.expr("length(windows) div 8").cast("int")
         each = heavy.select("*", F.explode(F.sequence(F.lit(0), count - 1)).alias("i"))
         each = each.select("__dl_k1", "__dl_k2", "anchor", "c", (F.col("first") + F.col("i")).alias("first"), F.expr("substring(windows, i * 8 + 1, 8)").alias("hash"))
