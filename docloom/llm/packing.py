@@ -72,7 +72,7 @@ class WordTokens:
 
         class Words(dict):
             def __missing__(self, word: str) -> bytes:
-                if word.isascii() or not any(unicodedata.category(x) == "Cn" for x in word):
+                if word.isascii() or word.isalpha() or not any(unicodedata.category(x) == "Cn" for x in word):
                     ids = b"".join(map(owner.pieces.__getitem__, split_word(word)))
                 else:  # characters that this Python's tables don't know, but the tokenizer's may
                     ids = owner.whole(word)
