@@ -10,7 +10,6 @@ import difflib
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
 
 from docloom.functions.text import extraction_score, printable_ratio, quality_grade, word_count
 
@@ -105,11 +104,15 @@ def diverse_pages(profile: DataFrame, most: int = 10) -> DataFrame:
     return profile.withColumn("later", first).withColumn("__rank", rank).filter(F.col("__rank") <= most).drop("later", "__rank")
 
 
+def even_places(n: Column, k: int) -> Column:
+    """k of the places 1 to n, spread evenly; halves round to even."""
+    return F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: F.bround(i * (n - 1) / (k - 1)).cast("int") + 1)
+
+
 def even_pages(pages: DataFrame, k: int = 5) -> DataFrame:
     """k pages spread evenly over a document (all of a shorter one); halves round to even."""
     n = pages.groupBy("doc").agg(F.max("page").alias("n"))
-    at = F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: F.bround(i * (F.col("n") - 1) / (k - 1)).cast("int") + 1)
-    chosen = n.select("doc", F.explode(F.when(F.col("n") <= k, F.sequence(F.lit(1), F.col("n"))).otherwise(F.array_distinct(at))).alias("page"))
+    chosen = n.select("doc", F.explode(F.when(F.col("n") <= k, F.sequence(F.lit(1), F.col("n"))).otherwise(F.array_distinct(even_places(F.col("n"), k)))).alias("page"))
     return pages.join(chosen, ["doc", "page"], "left_semi")
 
 
@@ -191,35 +194,93 @@ def reading_order(blocks: DataFrame, columns: DataFrame, full: float = 0.75) ->
     return placed.withColumn("reading_order", order)
 
 
-@F.pandas_udf(DoubleType())
-def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Matching-blocks ratio of two strings."""
-    return pd.Series([0.0 if x is None or y is None else difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)])
+def common_length(masks: dict[str, int], n: int, text: str) -> int:
+    """Length of the longest common subsequence; masks: the places of each character in the other text, n: its length."""
+    full = (1 << n) - 1
+    rest = full
+    for c in text:
+        both = rest & masks.get(c, 0)
+        rest = ((rest + both) | (rest - both)) & full
+    return n - rest.bit_count()
+
+
+class Alike:
+    """Whether the matching-blocks ratio of a text and a fixed one is at least `ratio`; what bounds say can't be isn't matched."""
+
+    def __init__(self, known: str, ratio: float):
+        self.ratio, self.n = ratio, len(known)
+        self.masks: dict[str, int] = {}
+        for i, c in enumerate(known):
+            self.masks[c] = self.masks.get(c, 0) | 1 << i
+        self.matcher = difflib.SequenceMatcher(None, "", known)
+
+    def __call__(self, text: str) -> bool:
+        total = len(text) + self.n
+        if total and (2.0 * min(len(text), self.n) / total < self.ratio or 2.0 * common_length(self.masks, self.n, text) / total < self.ratio):
+            return False
+        self.matcher.set_seq1(text)
+        return self.matcher.ratio() >= self.ratio
+
+
+def near_length(a: Column, b: Column, ratio: float) -> Column:
+    """Whether two texts' lengths leave a ratio possible."""
+    total = F.length(a) + F.length(b)
+    return (total == 0) | (2.0 * F.least(F.length(a), F.length(b)) / F.greatest(total, F.lit(1)) >= ratio)
 
 
 def repeated_zones(zones: DataFrame, ratio: float = 0.7, samples: int = 5) -> DataFrame:
     """Header and footer texts that come back on nearly all of a document's sampled pages. zones: doc, page, zone, text.
 
-    A document is sampled evenly: `samples` pages, so at most samples squared pairs of texts are compared.
+    A document is sampled evenly: `samples` pages, so at most samples squared pairs of texts of a zone are compared.
     """
-    numbered = zones.withColumn("at", F.dense_rank().over(Window.partitionBy("doc").orderBy("page")))
-    sampled = even_pages(numbered.withColumnRenamed("page", "sheet").withColumnRenamed("at", "page"), samples).withColumnRenamed("page", "at").withColumnRenamed("sheet", "page")
-    n = sampled.groupBy("doc").agg(F.count_distinct("page").alias("n"))
-    a, b = sampled.alias("a"), sampled.alias("b")
-    pairs = a.join(b, (F.col("a.doc") == F.col("b.doc")) & (F.col("a.zone") == F.col("b.zone")) & (F.col("a.page") != F.col("b.page")))
-    alike = pairs.select(F.col("a.doc").alias("doc"), F.col("a.zone").alias("zone"), F.col("a.text").alias("text"), F.col("b.page").alias("other"), similarity(F.col("a.text"), F.col("b.text")).alias("r")).filter(F.col("r") >= ratio)
-    hits = alike.groupBy("doc", "zone", "text").agg((F.count_distinct("other") + 1).alias("pages"))
-    return hits.join(n, "doc").filter(F.col("pages") >= F.greatest(F.col("n") - 1, F.lit(1))).select("doc", "zone", "text")
+
+    @F.pandas_udf("array<struct<zone:string,text:string>>")
+    def repeated(batch: pd.Series) -> pd.Series:
+        def one(sample) -> list[dict]:
+            n, others = len({x["page"] for x in sample}), {}
+            for b in sample:
+                alike = Alike(b["text"], ratio) if b["text"] is not None else None
+                for a in sample:
+                    if alike and a["text"] is not None and a["zone"] == b["zone"] and a["page"] != b["page"] and alike(a["text"]):
+                        others.setdefault((a["zone"], a["text"]), set()).add(b["page"])
+            return [{"zone": z, "text": t} for (z, t), pages in others.items() if len(pages) + 1 >= max(n - 1, 1)]
+
+        return batch.map(one)
+
+    by_doc = Window.partitionBy("doc")
+    numbered = zones.filter("doc is not null").withColumn("__at", F.dense_rank().over(by_doc.orderBy("page"))).withColumn("__n", F.max("__at").over(by_doc))
+    chosen = (F.col("__n") <= samples) | F.array_contains(even_places(F.col("__n"), samples), F.col("__at"))
+    sampled = numbered.filter(chosen).groupBy("doc").agg(F.collect_list(F.struct(F.col("zone").cast("string").alias("zone"), F.col("__at").alias("page"), "text")).alias("sample"))
+    return sampled.select("doc", F.explode(repeated("sample")).alias("x")).select("doc", "x.zone", "x.text")
 
 
 def strip_lines(pages: DataFrame, patterns: DataFrame, ratio: float = 0.7) -> DataFrame:
-    """Pages less the lines that are like a pattern of their document."""
-    lines = pages.select("doc", "page", F.posexplode(F.split("text", "\n")).alias("line", "t"))
-    known = patterns.select("doc", F.col("text").alias("pattern")).distinct()
-    like = lines.join(known, "doc").filter(similarity(F.trim("t"), F.trim("pattern")) >= ratio).select("doc", "page", "line")
-    kept = lines.join(like, ["doc", "page", "line"], "left_anti")
-    texts = kept.groupBy("doc", "page").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "t"))), lambda x: x["t"]), "\n").alias("text"))
-    return pages.drop("text").join(texts, ["doc", "page"], "left").withColumn("text", F.coalesce("text", F.lit("")))
+    """Pages less the lines that are like a pattern of their document.
+
+    Only lines as long as a pattern can be like are sent to Python; the texts are cut where they are.
+    """
+
+    @F.pandas_udf("array<array<boolean>>")
+    def like(lines: pd.Series, known: pd.Series) -> pd.Series:
+        before, matchers, out = None, [], []
+        for some, own in zip(lines, known):
+            if some is None or own is None:
+                out.append([[]])
+                continue
+            if before is None or before != list(own):
+                before = list(own)
+                matchers = [Alike(p, ratio) for p in before]
+            out.append([[t is not None and any(m(t) for m in matchers) for t in some]])
+        return pd.Series(out, dtype=object)
+
+    known = patterns.groupBy("doc").agg(F.collect_set(F.trim("text")).alias("__known"))
+    met = pages.join(known, "doc", "left").withColumn("__lines", F.split("text", "\n"))
+    near = F.transform("__lines", lambda t: F.when(F.exists("__known", lambda p: near_length(F.trim(t), p, ratio)), F.trim(t)))
+    # What an explode gives stays a column: neither the UDF nor its input may end up within a higher-order function.
+    sent = met.select("*", F.explode(F.array(F.when(F.size("__known") > 0, near))).alias("__near"))
+    found = sent.select(*pages.columns, "__lines", F.explode(like("__near", "__known")).alias("__gone"))
+    kept = F.transform(F.filter(F.arrays_zip("__lines", "__gone"), lambda x: ~F.coalesce(x["__gone"], F.lit(False))), lambda x: x["__lines"])
+    return found.withColumn("text", F.coalesce(F.array_join(kept, "\n"), F.lit(""))).select(pages.columns)
 
 
 def stitch_tables(tables: DataFrame, threshold: float = 0.8) -> DataFrame:
