@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,8 +17,8 @@ from docloom.functions.text import iou
 FORMATS = {"pdf": "pdf", "xlsx": "xlsx", "jpg": "image", "jpeg": "image", "png": "image", "tif": "image", "tiff": "image"}
 
 
-#: Template pages that are broadcast: a grid of 320 levels takes about 1.5 KB.
-MOST_TEMPLATE_PAGES = 20_000
+#: Pages of documents and of templates that are compared at once. If all match, a block has some two million matches (about 100 MB).
+DOC_BLOCK, TEMPLATE_BLOCK = 4096, 2048
 
 
 def source_format(path: Column) -> Column:
@@ -34,25 +38,125 @@ def unpack_grid(fingerprint: Column) -> Column:
     return F.transform(F.sequence(F.lit(1), F.length(fingerprint)), lambda i: F.conv(F.hex(F.substr(fingerprint, i, F.lit(1))), 16, 10).cast("int"))
 
 
+def _grids(column: pa.ChunkedArray, null: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Levels of all grids in a row, and where each grid starts and how long it is."""
+    grids = column.combine_chunks() if column.num_chunks else pa.array([], column.type)
+    lengths = pc.fill_null(pc.list_value_length(grids), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    levels = pc.fill_null(grids.flatten().cast(pa.int64()), null).to_numpy(zero_copy_only=False)
+    return levels, np.cumsum(lengths) - lengths, lengths
+
+
+def _points(a: np.ndarray, b: np.ndarray) -> Callable[[np.ndarray], np.ndarray]:
+    """Points of rows of a with all grids of b: 1 for equal levels, 0.5 for neighbours. Few levels: a product of matrices, exact as all is in halves."""
+    known = np.unique(b)
+    known = np.intersect1d(np.unique(np.concatenate((known - 1, known, known + 1))), np.unique(a))
+    if len(known) <= 16:
+        far = np.abs(b[:, :, None] - known)
+        right = ((far == 0) + 0.5 * (far == 1)).astype(np.float32).reshape(len(b), -1).T
+        return lambda rows: (a[rows][:, :, None] == known).astype(np.float32).reshape(len(rows), -1) @ right
+
+    def each(rows: np.ndarray) -> np.ndarray:
+        out = np.empty((len(rows), len(b)), np.float32)
+        for i, row in enumerate(a[rows]):
+            far = np.abs(b - row)
+            out[i] = (far == 0).sum(1) + 0.5 * (far == 1).sum(1)
+        return out
+
+    return each
+
+
+def _numbers(values: pa.ChunkedArray) -> tuple[np.ndarray, pa.Array]:
+    known = values.combine_chunks().dictionary_encode()
+    return known.indices.to_numpy(), known.dictionary
+
+
+def match_block(docs: pa.Table, templates: pa.Table, page_min: float, extra: float) -> pa.Table:
+    """match_pages of some documents and templates of one format, all pages of each."""
+    doc, doc_names = _numbers(docs["doc"])
+    of = pd.MultiIndex.from_arrays([_numbers(templates["template"])[0], _numbers(templates["version"])[0]])
+    template, _ = pd.factorize(of)
+    page, t_page = docs["page"].to_numpy().astype(np.int64), templates["t_page"].to_numpy().astype(np.int64)
+    levels, at, size = _grids(docs["grid"], -(1 << 40))
+    t_levels, t_at, t_size = _grids(templates["t_grid"], 1 << 40)
+    d_n = np.bincount(doc, minlength=len(doc_names))
+    span = int(page.max() - page.min()) + 1
+    order = np.argsort(doc * span + (page - page.min()), kind="stable")
+    key = (doc * span + (page - page.min()))[order]
+    # Templates whose pages have the same numbers and sizes are compared together.
+    alike: dict[tuple, list[np.ndarray]] = {}
+    by = np.lexsort((t_page, template))
+    for rows in np.split(by, np.flatnonzero(np.diff(template[by])) + 1):
+        alike.setdefault((tuple(t_page[rows]), tuple(t_size[rows])), []).append(rows)
+    out = []
+    for (numbers, sizes), members in alike.items():
+        n, members = len(numbers), np.array(members)
+        if min(sizes) == 0:
+            continue
+        starts = np.maximum(d_n - n + 1, 0)
+        of_doc = np.repeat(np.arange(len(d_n)), starts)
+        start = np.arange(len(of_doc)) - np.repeat(np.cumsum(starts) - starts, starts)
+        wanted = start[:, None] + np.array(numbers) - page.min()
+        inside = ((wanted >= 0) & (wanted < span)).all(1)
+        of_doc, start, wanted = of_doc[inside], start[inside], of_doc[inside, None] * span + wanted[inside]
+        place = np.minimum(np.searchsorted(key, wanted), len(key) - 1)
+        rows = order[place]
+        full = (key[place] == wanted).all(1) & (size[rows] == np.array(sizes)).all(1)
+        of_doc, start, rows = of_doc[full], start[full], rows[full]
+        if not len(rows):
+            continue
+        points = []
+        for k, length in enumerate(sizes):
+            used, back = np.unique(rows[:, k], return_inverse=True)
+            grid = levels[at[used][:, None] + np.arange(length)]
+            points.append((_points(grid, t_levels[t_at[members[:, k]][:, None] + np.arange(length)]), back))
+        least = [next((m / 2 for m in range(2 * length + 1) if m / 2 / length >= page_min), np.inf) for length in sizes]
+        for lo in range(0, len(rows), 512):
+            some = [f(back[lo : lo + 512]) for f, back in points]
+            good = np.logical_and.reduce([p >= m for p, m in zip(some, least)])
+            w, t = np.nonzero(good)
+            mean = sum(p[w, t].astype(np.float64) / length for p, length in zip(some, sizes)) / n
+            own = of_doc[lo + w]
+            out.append((own.astype(np.int32), members[t, 0].astype(np.int32), start[lo + w].astype(np.int32), mean - (d_n[own] - n) * extra))
+    own, first, start, confidence = (np.concatenate(x) for x in zip(*out)) if out else (np.empty(0, int), np.empty(0, int), np.empty(0, int), np.empty(0))
+    best = np.lexsort((start, -confidence, first, own))
+    own, first = own[best], first[best]
+    new = np.ones(len(own), bool)
+    new[1:] = (own[1:] != own[:-1]) | (first[1:] != first[:-1])
+    own, first, best = own[new], first[new], best[new]
+    return pa.table({"doc": doc_names.take(pa.array(own)), "template": templates["template"].take(pa.array(first)), "version": templates["version"].take(pa.array(first)), "start": pa.array(start[best], pa.int64()), "confidence": pa.array(confidence[best], pa.float64())})
+
+
 def match_pages(doc_pages: DataFrame, template_pages: DataFrame, page_min: float = 0.6, extra: float = 0.02) -> DataFrame:
     """The best place of each template in each document: doc, template, version, start, confidence.
 
-    doc_pages: doc, format, page, grid. template_pages: template, version, format, page, grid. A template of T pages slides over
-    D >= T pages; every page must reach page_min; the score is the mean less `extra` for each page left over; ties: first start.
-    Formats are few, so a join on them has hot keys: templates of up to MOST_TEMPLATE_PAGES pages, counted, go to every task, and
-    only pairs of pages that reach page_min are shuffled.
+    doc_pages: doc, format, page, grid. template_pages: template, version, format, page, grid; a page number comes once. A template
+    of T pages slides over D >= T pages; every page must reach page_min; the score is the mean less `extra` for each page left over;
+    ties: first start. All documents meet all templates of their format, in blocks of bounded size that are compared by products of
+    matrices; each block of either side goes to each block of the other, and only matches come back.
     """
-    d_n = doc_pages.groupBy("doc").agg(F.count(F.lit(1)).alias("d_n"))
-    t_n = template_pages.groupBy("template", "version").agg(F.count(F.lit(1)).alias("t_n"))
-    d, t = doc_pages.join(d_n, "doc").withColumnRenamed("page", "d_page"), template_pages.join(t_n, ["template", "version"])
-    t = t.withColumnRenamed("grid", "t_grid").withColumnRenamed("page", "t_page")
-    few = template_pages.limit(MOST_TEMPLATE_PAGES + 1).count() <= MOST_TEMPLATE_PAGES
-    met = d.join(F.broadcast(t) if few else t, "format").filter("d_n >= t_n").withColumn("start", F.col("d_page") - F.col("t_page")).filter("start >= 0 and start <= d_n - t_n")
-    scored = met.withColumn("s", grid_similarity(F.col("grid"), F.col("t_grid"))).filter(F.col("s") >= page_min)
-    runs = scored.groupBy("doc", "template", "version", "start", "d_n", "t_n").agg(F.avg("s").alias("mean"), F.count(F.lit(1)).alias("n"))
-    good = runs.filter(F.col("n") == F.col("t_n")).withColumn("confidence", F.col("mean") - (F.col("d_n") - F.col("t_n")) * extra)
-    best = F.row_number().over(Window.partitionBy("doc", "template", "version").orderBy(F.desc("confidence"), "start"))
-    return good.withColumn("r", best).filter("r = 1").select("doc", "template", "version", "start", "confidence")
+    d, t = doc_pages.select("doc", "format", "page", "grid").dropna(subset=["doc", "format"]), template_pages.dropna(subset=["template", "version", "format"])
+    # Under names of their own: both sides may come from one table, whose columns would be taken for each other.
+    t = t.select("template", "version", F.col("format").alias("t_format"), F.col("page").alias("t_page"), F.col("grid").alias("t_grid"))
+    parts = lambda frame, most: max(1, -(-frame.count() // most))
+    n_d, n_t = parts(d, DOC_BLOCK), parts(t, TEMPLATE_BLOCK)
+    spread = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = d.withColumn("__d", F.pmod(F.hash("doc"), F.lit(n_d))).withColumn("__t", spread(n_t))
+    right = t.withColumn("__t", F.pmod(F.hash("template", "version"), F.lit(n_t))).withColumn("__d", spread(n_d))
+    kinds = dict(d.dtypes) | dict(t.select("template", "version").dtypes)
+    schema = f"doc {kinds['doc']}, template {kinds['template']}, version {kinds['version']}, start bigint, confidence double"
+    names = [x.split()[0] for x in schema.split(", ")]
+
+    kinds = {f.name: f.type for f in d.select("doc").limit(0).toArrow().schema} | {f.name: f.type for f in t.select("template", "version").limit(0).toArrow().schema}
+    empty = pa.table({name: pa.array([], kinds.get(name, pa.int64() if name == "start" else pa.float64())) for name in names})
+
+    def run(docs: pa.Table, templates: pa.Table) -> pa.Table:
+        if not docs.num_rows or not templates.num_rows:
+            return empty
+        return match_block(docs, templates, page_min, extra)
+
+    found = left.groupBy("format", "__d", "__t").cogroup(right.groupBy("t_format", "__d", "__t")).applyInArrow(run, schema)
+    wide = "bigint" if "bigint" in (dict(d.dtypes)["page"], dict(t.dtypes)["t_page"]) else "int"
+    return found.withColumn("start", F.col("start").cast(wide))
 
 
 def top_matches(matches: DataFrame, floor: float = 0.5, accept: float = 0.8) -> DataFrame:

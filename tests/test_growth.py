@@ -25,3 +25,37 @@ def test_stripped_pages_have_one_scan_of_lines(spark):
     assert {(r["doc"], r["page"]): r["text"] for r in left.collect()} == want
     plan = left._jdf.queryExecution().optimizedPlan().toString()
     assert "explode(split" not in plan and plan.count("Join") == 1
+
+
+def test_templates_meet_all_pages_in_blocks(spark, monkeypatch):
+    from docloom.operators import forms
+
+    rng = random.Random(5)
+    grid = lambda top: [rng.randint(0, top) for _ in range(6)]
+    found = {}
+    for top in (3, 200):
+        docs = [(f"d{d}", "pdf" if d % 3 else "image", p, None if (d, p) == (4, 1) else grid(top)) for d in range(30) for p in range(1 + d % 4)]
+        templates = [(k, 1 + k % 2, "pdf", p, docs[3 * k + p][3] or grid(top)) for k in range(12) for p in range(1 + k % 2)] + [(99, 1, "xlsx", 0, grid(top))]
+        d = spark.createDataFrame(docs, "doc string, format string, page int, grid array<int>")
+        t = spark.createDataFrame(templates, "template long, version int, format string, page int, grid array<int>")
+
+        def score(a, b):
+            return 0.0 if a is None else sum(1.0 if x == y else 0.5 if abs(x - y) == 1 else 0.0 for x, y in zip(a, b)) / len(b)
+
+        want = {}
+        for name in {x[0] for x in docs}:
+            own = {x[2]: x[3] for x in docs if x[0] == name}
+            for k, v in {(x[0], x[1]) for x in templates}:
+                its = [x[4] for x in templates if x[0] == k]
+                if {x[1] for x in docs if x[0] == name} == {x[2] for x in templates if x[0] == k}:
+                    for start in range(len(own) - len(its) + 1):
+                        s = [score(own[start + i], g) for i, g in enumerate(its)]
+                        c = round(sum(s) / len(s) - (len(own) - len(its)) * 0.02, 9)
+                        if min(s) >= 0.6 and c > want.get((name, k, v), (0, -9))[1]:
+                            want[name, k, v] = (start, c)
+        for blocks in ((4096, 2048), (7, 3)):
+            monkeypatch.setattr(forms, "DOC_BLOCK", blocks[0])
+            monkeypatch.setattr(forms, "TEMPLATE_BLOCK", blocks[1])
+            matched = forms.match_pages(d, t)
+            found[top, blocks] = {(r["doc"], r["template"], r["version"]): (r["start"], round(r["confidence"], 9)) for r in matched.collect()}
+            assert found[top, blocks] == want and want
