@@ -9,6 +9,7 @@ from typing import Any, Protocol
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -50,24 +51,23 @@ def embed(chunks: DataFrame, make: Callable[[], Embedder], text: str = "chunk",
     """chunks with `vector`. make() builds the model once in each task; a batch that fails gives null vectors and a code."""
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chunks.schema)
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # What is worked on at once is a batch of the model, not one of Arrow: ten thousand vectors as lists take a gigabyte in places.
         model = make()
         for frame in frames:
-            vectors, errors = [], []
-            for lo in range(0, len(frame), batch):
-                texts = [t or "" for t in frame[text].iloc[lo : lo + batch]]
+            for lo in range(0, frame.num_rows, batch):
+                part = frame.slice(lo, batch)
+                texts = [t or "" for t in part.column(text).to_pylist()]
                 try:
                     found = model(texts)
                     if any(len(v) != model.dimension for v in found) or len(found) != len(texts):
                         raise ValueError("dimension")
-                    vectors += found
-                    errors += [None] * len(texts)
+                    vectors, error = pa.array(found, pa.list_(pa.float64())), None
                 except Exception:
-                    vectors += [None] * len(texts)
-                    errors += ["E_BACKEND_EMBED_FAILED"] * len(texts)
-            yield frame.assign(vector=vectors, embed_error=errors)
+                    vectors, error = pa.nulls(len(texts), pa.list_(pa.float64())), "E_BACKEND_EMBED_FAILED"
+                yield pa.RecordBatch.from_arrays([*part.columns, vectors, pa.array([error] * len(texts), pa.string())], names=[*part.schema.names, "vector", "embed_error"])
 
-    return chunks.mapInPandas(run, f"{schema}, vector array<double>, embed_error string")
+    return chunks.mapInArrow(run, f"{schema}, vector array<double>, embed_error string")
 
 
 def sheet_summary(profile: DataFrame, with_values: bool = False) -> DataFrame:

@@ -59,3 +59,21 @@ def test_templates_meet_all_pages_in_blocks(spark, monkeypatch):
             matched = forms.match_pages(d, t)
             found[top, blocks] = {(r["doc"], r["template"], r["version"]): (r["start"], round(r["confidence"], 9)) for r in matched.collect()}
             assert found[top, blocks] == want and want
+
+
+def test_embedding_holds_a_batch_of_the_model_at_a_time(spark):
+    from docloom.operators import models
+
+    class Model:
+        dimension = 2
+
+        def __call__(self, texts):
+            if any(t == "bad" for t in texts):
+                raise RuntimeError
+            return [[float(len(t)), float(len(texts))] for t in texts]
+
+    rows = [(i, None if i == 3 else "bad" if i == 7 else "x" * i) for i in range(10)]
+    done = models.embed(spark.createDataFrame(rows, "i int, chunk string").coalesce(1), Model, batch=4)
+    found = {r["i"]: (r["vector"], r["embed_error"]) for r in done.collect()}
+    assert found == {i: (None, "E_BACKEND_EMBED_FAILED") if 4 <= i < 8 else ([0.0 if i == 3 else float(i), 2.0 if i > 7 else 4.0], None) for i in range(10)}
+    assert "MapInPandas" not in done._jdf.queryExecution().optimizedPlan().toString()
