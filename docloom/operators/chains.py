@@ -85,8 +85,13 @@ def write(done: Processed, store: stores.ParquetStore, run_id: str, atomic: bool
 
 
 def run_totals(results: DataFrame) -> DataFrame:
-    """One row over a run's results: files, files with errors, chunks, and how often each code came."""
-    each = results.select(F.explode(F.concat("errors", "warnings")).alias("code")).groupBy("code").count()
-    totals = results.agg(F.count(F.lit(1)).alias("n_files"), F.count_if(F.size("errors") > 0).alias("n_failed"), F.coalesce(F.sum("n_chunks"), F.lit(0)).alias("n_chunks"))
-    codes = each.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("code", "count")))).alias("codes"))
-    return totals.join(codes, F.lit(True))
+    """One row over a run's results: files, files with errors, chunks, and how often each code came.
+
+    The results are read once: each file has a row without a code, which bears its numbers, and a row for each code.
+    """
+    codes = F.concat(F.array(F.lit(None).cast("string")), F.coalesce(F.concat("errors", "warnings"), F.array().cast("array<string>")))
+    each = results.select((F.size("errors") > 0).cast("long").alias("failed"), F.col("n_chunks").cast("long").alias("n_chunks"), F.explode(codes).alias("code"))
+    counted = each.groupBy("code").agg(F.count(F.lit(1)).alias("count"), F.sum("failed").alias("failed"), F.sum("n_chunks").alias("chunks"))
+    of_files = lambda name: F.coalesce(F.sum(F.when(F.col("code").isNull(), F.col(name))), F.lit(0).cast("long"))
+    entries = F.array_sort(F.collect_list(F.when(F.col("code").isNotNull(), F.struct("code", "count"))))
+    return counted.agg(of_files("count").alias("n_files"), of_files("failed").alias("n_failed"), of_files("chunks").alias("n_chunks"), F.map_from_entries(entries).alias("codes"))

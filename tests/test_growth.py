@@ -77,3 +77,14 @@ def test_embedding_holds_a_batch_of_the_model_at_a_time(spark):
     found = {r["i"]: (r["vector"], r["embed_error"]) for r in done.collect()}
     assert found == {i: (None, "E_BACKEND_EMBED_FAILED") if 4 <= i < 8 else ([0.0 if i == 3 else float(i), 2.0 if i > 7 else 4.0], None) for i in range(10)}
     assert "MapInPandas" not in done._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_totals_read_a_run_once(spark):
+    from docloom.operators import chains
+
+    rows = [("a.json", '{"k": 1}'), ("b.json", ""), ("c.json", "{"), ("d.txt", "{}")]
+    totals = chains.run_totals(chains.process(spark.createDataFrame(rows, "uri string, text string"), "json").results)
+    assert totals._jdf.queryExecution().optimizedPlan().toString().count("MapIn") == 1
+    assert tuple(totals.first()) == (4, 3, 1, {"E_PARSE_EMPTY": 1, "E_SECURITY_INVALID_JSON": 1, "E_SECURITY_BAD_EXTENSION": 1})
+    none = chains.run_totals(spark.createDataFrame([], "errors array<string>, warnings array<string>, n_chunks long")).first()
+    assert tuple(none) == (0, 0, 0, {})
