@@ -6,8 +6,11 @@ A page is a row keyed by (doc, page), pages counted from 1.
 from __future__ import annotations
 
 import difflib
+import json
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -288,44 +291,56 @@ def stitch_tables(tables: DataFrame, threshold: float = 0.8) -> DataFrame:
 
     A table continues the group before it if it is the first of the next page with tables, has as many columns as the group's
     first table, and a header that is like that table's (matching share of the two arrays). Whether a table goes on depends on where the
-    group began, so a document's tables are walked in order, many documents a batch.
+    group began, so a document's tables are walked in order, many documents a batch. Python gets one text per header, and compares
+    two of them once; the tables themselves stay where they are.
     """
 
-    @F.pandas_udf("array<struct<continued:boolean,group_no:bigint>>")
-    def walk(headers: pd.Series, pages: pd.Series) -> pd.Series:
-        def one(own, at) -> list[dict]:
-            base, group, before, out = None, 0, None, []
-            for header, page in zip(own, at):
-                header = [] if header is None else list(header)
-                first = before is not None and page != before
-                goes_on = first and len(base) == len(header) and (base == header or difflib.SequenceMatcher(None, base, header).ratio() >= threshold)
+    @F.arrow_udf("array<struct<continued:boolean,group_no:bigint>>")
+    def walk(headers: pa.Array, pages: pa.Array) -> pa.Array:
+        sizes = headers.value_lengths().to_pylist()
+        known = headers.flatten().dictionary_encode(null_encoding="encode")
+        names = [[] if k is None else json.loads(k) for k in known.dictionary.to_pylist()]
+        codes, at = known.indices.to_pylist(), pages.flatten().dictionary_encode(null_encoding="encode").indices.to_pylist()
+        near: dict[tuple[int, int], bool] = {}
+
+        def alike(a: list, b: list) -> bool:
+            return len(a) == len(b) and (a == b or difflib.SequenceMatcher(None, a, b).ratio() >= threshold)
+
+        continued, groups, i = [], [], 0
+        for size in sizes:
+            base, group = -1, 0
+            for k in range(i, i + size):
+                code, goes_on = codes[k], False
+                if k > i and at[k] != at[k - 1]:
+                    goes_on = near.get((base, code))
+                    if goes_on is None:
+                        goes_on = near[base, code] = alike(names[base], names[code])
                 if not goes_on:
-                    base, group = header, group + 1
-                out.append({"continued": bool(goes_on), "group_no": group})
-                before = page
-            return out
+                    base, group = code, group + 1
+                continued.append(goes_on)
+                groups.append(group)
+            i += size
+        each = pa.StructArray.from_arrays([pa.array(continued, pa.bool_()), pa.array(groups, pa.int64())], names=["continued", "group_no"])
+        return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32()), each)
 
-        return pd.Series([one(h, p) for h, p in zip(headers, pages)])
-
-    placed = tables.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("page", "table_no", "header"))).alias("t"))
-    known = placed.withColumn("g", walk(F.col("t.header"), F.col("t.page").cast("array<string>")))
-    each = known.select("doc", F.explode(F.arrays_zip("t", "g")).alias("x")).select("doc", "x.t.page", "x.t.table_no", "x.g.continued", "x.g.group_no")
-    return tables.join(each, ["doc", "page", "table_no"])
+    rest = [c for c in tables.columns if c not in ("doc", "page", "table_no")]
+    placed = tables.filter("doc is not null").groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("page", "table_no", F.to_json("header").alias("__key"), F.struct(*rest).alias("__rest")))).alias("t"))
+    known = placed.withColumn("g", walk(F.col("t.__key"), F.col("t.page")))
+    each = known.select("doc", F.explode(F.arrays_zip("t", "g")).alias("x"))
+    return each.select("doc", "x.t.page", "x.t.table_no", *(F.col(f"x.t.__rest.`{c}`").alias(c) for c in rest), "x.g.continued", "x.g.group_no")
 
 
 def stitched_rows(tables: DataFrame) -> DataFrame:
-    """A row per group of stitch_tables: doc, group_no, pages, header and rows. tables also has rows, an array of arrays.
+    """A row per group of stitch_tables: doc, group_no, pages, header, rows and n_tables. tables also has rows, an array of arrays.
 
     A continuation's first row goes where it repeats the header of the group's first table, white space and case aside.
     """
     same = lambda a: F.transform(a, lambda x: F.lower(F.trim(x)))
-    base = F.first("header").over(Window.partitionBy("doc", "group_no").orderBy("page", "table_no"))
-    headed = tables.withColumn("base", base)
-    again = F.col("continued") & (F.size("rows") > 0) & F.coalesce(same(F.try_element_at("rows", F.lit(1))) == same(F.col("base")), F.lit(False))
-    cut = headed.withColumn("rows", F.when(again, F.slice("rows", 2, F.greatest(F.size("rows") - 1, F.lit(0)))).otherwise(F.col("rows")))
-    parts = F.array_sort(F.collect_list(F.struct("page", "table_no", "rows")))
-    grouped = cut.groupBy("doc", "group_no").agg(F.first("base").alias("header"), parts.alias("parts"))
-    return grouped.select("doc", "group_no", F.array_distinct(F.transform("parts", lambda x: x["page"])).alias("pages"), "header", F.flatten(F.transform("parts", lambda x: x["rows"])).alias("rows"))
+    grouped = tables.groupBy("doc", "group_no").agg(F.array_sort(F.collect_list(F.struct("page", "table_no", "header", "continued", "rows"))).alias("parts"))
+    headed = grouped.withColumn("header", F.col("parts")[0]["header"])
+    again = lambda x: x["continued"] & (F.size(x["rows"]) > 0) & F.coalesce(same(F.try_element_at(x["rows"], F.lit(1))) == same(F.col("header")), F.lit(False))
+    cut = lambda x: F.when(again(x), F.slice(x["rows"], 2, F.greatest(F.size(x["rows"]) - 1, F.lit(0)))).otherwise(x["rows"])
+    return headed.select("doc", "group_no", F.array_distinct(F.transform("parts", lambda x: x["page"])).alias("pages"), "header", F.flatten(F.transform("parts", cut)).alias("rows"), F.size("parts").cast("long").alias("n_tables"))
 
 
 def widget_text(widgets: DataFrame, pages: DataFrame | None = None) -> DataFrame:

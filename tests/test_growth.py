@@ -88,3 +88,14 @@ def test_totals_read_a_run_once(spark):
     assert tuple(totals.first()) == (4, 3, 1, {"E_PARSE_EMPTY": 1, "E_SECURITY_INVALID_JSON": 1, "E_SECURITY_BAD_EXTENSION": 1})
     none = chains.run_totals(spark.createDataFrame([], "errors array<string>, warnings array<string>, n_chunks long")).first()
     assert tuple(none) == (0, 0, 0, {})
+
+
+def test_tables_are_stitched_by_one_shuffle(spark):
+    rows = [(1, 1, 1, ["a", 'b"'], [["1"]]), (1, 2, 1, ["a", 'b"'], [["A ", 'b"'], ["2"]]), (1, 3, 1, None, [["3"]]), (1, 4, 1, None, []), (1, 5, 1, ["a", None], [["4"]]), (1, 6, 1, ["a", None], [["5"]]), (2, 1, 1, [], None)]
+    tables = spark.createDataFrame(rows, "doc int, page int, table_no int, header array<string>, rows array<array<string>>")
+    done = pages.stitch_tables(tables)
+    assert [(r["doc"], r["page"], r["continued"], r["group_no"]) for r in done.orderBy("doc", "page").collect()] == [(1, 1, False, 1), (1, 2, True, 1), (1, 3, False, 2), (1, 4, True, 2), (1, 5, False, 3), (1, 6, True, 3), (2, 1, False, 1)]
+    stitched = pages.stitched_rows(done)
+    assert {(r["doc"], r["group_no"]): (r["pages"], r["rows"], r["n_tables"]) for r in stitched.collect()} == {(1, 1): ([1, 2], [["1"], ["2"]], 2), (1, 2): ([3, 4], [["3"]], 2), (1, 3): ([5, 6], [["4"], ["5"]], 2), (2, 1): ([1], None, 1)}
+    plan = stitched._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Window" not in plan and plan.count("ArrowEvalPython") == 1
