@@ -21,6 +21,26 @@ def classed(cells: DataFrame) -> DataFrame:
     return cells.withColumn("class", cell_class(F.col("num"), F.col("str")))
 
 
+def packed(cells: DataFrame) -> DataFrame:
+    """Rows with their cells in order: file, sheet, row, cells (an array of col, num, str). Frames that are so already stay as they are."""
+    if "cells" in cells.columns:
+        return cells
+    return cells.groupBy(*SHEET, "row").agg(F.array_sort(F.collect_list(F.struct("col", "num", "str"))).alias("cells"))
+
+
+def unpacked(rows: DataFrame) -> DataFrame:
+    return rows.select(*SHEET, "row", F.explode("cells").alias("cell")).select(*SHEET, "row", "cell.col", "cell.num", "cell.str")
+
+
+def sheet_profile(cells: DataFrame) -> DataFrame:
+    """n_rows, numeric_ratio and consistency of each sheet that has a value: type_ratios and column_consistency in one pass. cells: as they are or packed."""
+    each = packed(cells).select(*SHEET, F.posexplode("cells").alias("at", "cell"))
+    of = each.select(*SHEET, F.col("cell.col").alias("col"), cell_class(F.col("cell.num"), F.col("cell.str")).alias("class"), (F.col("at") == 0).alias("first"))
+    columns = of.groupBy(*SHEET, "col").agg(F.count_if(F.col("class") == "numeric").alias("numeric"), F.count_if(F.col("class") == "text").alias("text"), F.count(F.lit(1)).alias("all"), F.count_if("first").alias("rows"))
+    sheets = columns.groupBy(SHEET).agg(F.sum("rows").alias("n_rows"), F.sum("numeric").alias("numeric"), F.sum("all").alias("all"), F.sum(F.greatest("numeric", "text")).alias("top"), F.sum(F.col("numeric") + F.col("text")).alias("full"))
+    return sheets.filter("full > 0").select(*SHEET, "n_rows", (F.col("numeric") / F.col("all")).alias("numeric_ratio"), (F.col("top") / F.col("full")).alias("consistency"))
+
+
 def type_ratios(cells: DataFrame, headers: DataFrame | None = None) -> DataFrame:
     """Shares of numeric, text and empty cells of a sheet's data rows: those below its header. headers: file, sheet, header_row (0: none)."""
     share = lambda kind: F.count_if(F.col("class") == kind) / F.count(F.lit(1))
@@ -192,19 +212,18 @@ def matrix_sentences(table: DataFrame, label: str, columns: list[str]) -> DataFr
 
 
 def free_text(cells: DataFrame, title: str | None = None) -> DataFrame:
-    """Cells of a row joined by spaces, rows by blank lines."""
-    value = F.coalesce(F.col("num").cast("string"), F.trim("str"))
-    rows = cells.withColumn("v", value).filter("v is not null and v <> ''").groupBy(*SHEET, "row")
-    rows = rows.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("col", "v"))), lambda x: x["v"]), " ").alias("line"))
+    """Cells of a row joined by spaces, rows by blank lines. cells: as they are or packed."""
+    values = F.filter(F.transform("cells", lambda c: F.coalesce(c["num"].cast("string"), F.trim(c["str"]))), lambda v: v.isNotNull() & (v != ""))
+    rows = packed(cells).select(*SHEET, "row", F.array_join(values, " ").alias("line")).filter("line <> ''")
     body = rows.groupBy(SHEET).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("row", "line"))), lambda x: x["line"]), "\n\n").alias("text"))
     return body if title is None else body.withColumn("text", F.concat(F.lit(title + "\n\n"), F.col("text")))
 
 
 def pipe_text(cells: DataFrame) -> DataFrame:
-    """A workbook as text: `## sheet` and its rows with cells joined by pipes; empty sheets are left out."""
-    value = F.coalesce(F.regexp_replace(F.col("num").cast("string"), "\\.0$", ""), F.trim("str"), F.lit(""))
-    rows = cells.withColumn("v", value).groupBy(*SHEET, "row").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("col", "v"))), lambda x: x["v"]), " | ").alias("line"), F.max(F.col("v") != "").alias("full"))
-    sheets = rows.filter("full").groupBy(SHEET).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("row", "line"))), lambda x: x["line"]), "\n").alias("body"))
+    """A workbook as text: `## sheet` and its rows with cells joined by pipes; empty sheets are left out. cells: as they are or packed."""
+    value = lambda c: F.coalesce(F.regexp_replace(c["num"].cast("string"), "\\.0$", ""), F.trim(c["str"]), F.lit(""))
+    rows = packed(cells).select(*SHEET, "row", F.transform("cells", value).alias("v")).filter(F.exists("v", lambda v: v != "")).withColumn("line", F.array_join("v", " | "))
+    sheets = rows.groupBy(SHEET).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("row", "line"))), lambda x: x["line"]), "\n").alias("body"))
     parts = sheets.select("file", "sheet", F.concat(F.lit("## "), F.col("sheet"), F.lit("\n"), F.col("body")).alias("part"))
     return parts.groupBy("file").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("sheet", "part"))), lambda x: x["part"]), "\n\n").alias("text"))
 

@@ -24,11 +24,17 @@ def rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").withColumn("file", F.col("l_orderkey")).withColumn("sheet", F.lit("items")).withColumn("row", n)
 
 
+def cell_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row per line item with its five cells."""
+    none = {"num": F.lit(None).cast("double"), "str": F.lit(None).cast("string")}
+    tax = {"num": F.when(F.col("l_tax") < 0.03, F.col("l_tax")), "str": F.when(F.col("l_tax") >= 0.03, "high")}
+    parts = [{"num": F.col("l_quantity").cast("double")}, {"str": F.col("l_returnflag")}, {"num": F.when(F.col("l_discount") > 0, F.col("l_discount"))}, tax, {"str": F.when(F.col("l_linestatus") == "O", F.col("l_linestatus")).otherwise(" ")}]
+    packed = F.array(*(F.struct(F.lit(i).alias("col"), *(c.alias(k) for k, c in (none | part).items())) for i, part in enumerate(parts, 1)))
+    return rows(spark, sf_dir).select("file", "sheet", "row", packed.alias("cells"))
+
+
 def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    number, text = lambda c: F.struct(c.cast("double").alias("num"), F.lit(None).cast("string").alias("str")), lambda c: F.struct(F.lit(None).cast("double").alias("num"), c.alias("str"))
-    tax = F.struct(F.when(F.col("l_tax") < 0.03, F.col("l_tax")).alias("num"), F.when(F.col("l_tax") >= 0.03, "high").alias("str"))
-    parts = F.array(number(F.col("l_quantity")), text(F.col("l_returnflag")), number(F.when(F.col("l_discount") > 0, F.col("l_discount"))), tax, text(F.when(F.col("l_linestatus") == "O", F.col("l_linestatus")).otherwise(" ")))
-    return rows(spark, sf_dir).select("file", "sheet", "row", F.posexplode(parts).alias("col", "cell")).select("file", "sheet", "row", (F.col("col") + 1).alias("col"), "cell.num", "cell.str")
+    return sheets.unpacked(cell_rows(spark, sf_dir))
 
 
 # A sheet per document: words of a line are its cells. Three empty rows follow every four lines, three empty columns the twelfth word.
@@ -38,12 +44,21 @@ GRID = """g0 AS (SELECT doc_id AS file, 'text' AS sheet, row + 3 * ((row - 1) //
   c AS (SELECT *, CASE WHEN num IS NOT NULL THEN 'numeric' WHEN coalesce(trim(str), '') <> '' THEN 'text' ELSE 'empty' END AS class FROM g)"""
 
 
-def grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+def grid_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row per line of a document with its words as cells."""
     lines = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("file"), F.lit("text").alias("sheet"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    words = lines.select("file", "sheet", F.expr("line_no + 1 + 3 * (line_no div 4)").cast("int").alias("row"), F.posexplode(F.split("line", " ")).alias("at", "w"))
-    words = words.withColumn("col", F.col("at") + 1 + F.when(F.col("at") >= 12, 3).otherwise(0))
-    number = (F.col("row") % 3 == 0) & (F.col("col") % 2 == 0)
-    return words.select("file", "sheet", "row", "col", F.when(number, F.length("w").cast("double")).alias("num"), F.when(~number, F.col("w")).alias("str"))
+    rows = lines.select("file", "sheet", F.expr("line_no + 1 + 3 * (line_no div 4)").cast("int").alias("row"), "line")
+
+    def cell(w, at):
+        col = at + 1 + F.when(at >= 12, 3).otherwise(0)
+        number = (F.col("row") % 3 == 0) & (col % 2 == 0)
+        return F.struct(col.alias("col"), F.when(number, F.length(w).cast("double")).alias("num"), F.when(~number, w).alias("str"))
+
+    return rows.select("file", "sheet", "row", F.transform(F.split("line", " "), cell).alias("cells"))
+
+
+def grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sheets.unpacked(grid_rows(spark, sf_dir))
 
 
 HEADERS = "hd AS (SELECT DISTINCT file, sheet, file % 3 AS header_row FROM c)"
@@ -80,9 +95,7 @@ PROFILE = f"""{CONSISTENCY}, p AS (
 
 
 def votes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = cells(spark, sf_dir)
-    sizes = c.groupBy("file", "sheet").agg(F.count_distinct("row").alias("n_rows"))
-    profile = sizes.join(sheets.type_ratios(c), ["file", "sheet"]).join(sheets.column_consistency(c), ["file", "sheet"])
+    profile = sheets.sheet_profile(cell_rows(spark, sf_dir))
     profile = profile.withColumn("merged_ratio", F.col("file") % 4 / 20).withColumn("header_row", F.when(F.col("file") % 3 == 0, 1).otherwise(0))
     return sheets.sheet_vote(profile)
 
@@ -248,7 +261,7 @@ def t4_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {GRID}, v AS (SELECT file, row, string_agg(coalesce(num::VARCHAR, trim(str)), ' ' ORDER BY col) AS line FROM g WHERE coalesce(num::VARCHAR, trim(str), '') <> '' GROUP BY ALL)
   SELECT file, string_agg(line, chr(10) || chr(10) ORDER BY row) AS text FROM v GROUP BY file""")
 def t5_free_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sheets.free_text(grid(spark, sf_dir)).select("file", "text")
+    return sheets.free_text(grid_rows(spark, sf_dir)).select("file", "text")
 
 
 @query(f"WITH {ROWS} SELECT file, CASE WHEN count(*) <= 3 THEN 'sentences' ELSE 'table' END AS route, count(*)::BIGINT AS n FROM r GROUP BY file")
@@ -260,7 +273,7 @@ def t6_table_routing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {CELLS}, v AS (SELECT file, sheet, row, string_agg(coalesce(regexp_replace(num::VARCHAR, '\\.0$', ''), trim(str), ''), ' | ' ORDER BY col) AS line FROM cell GROUP BY ALL)
   SELECT file, '## items' || chr(10) || string_agg(line, chr(10) ORDER BY row) AS text FROM v GROUP BY file""")
 def s6_t16_pipe_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sheets.pipe_text(cells(spark, sf_dir))
+    return sheets.pipe_text(cell_rows(spark, sf_dir))
 
 
 @query(f"WITH {ROWS} SELECT file, row::INTEGER AS row, l_quantity FROM r WHERE row <= 3")
