@@ -136,10 +136,15 @@ def ocr_rollup(results: DataFrame, low: float = 0.7) -> DataFrame:
 
 
 def words_to_pages(words: DataFrame) -> DataFrame:
-    """OCR words (doc, page, place, word, confidence 0 to 100, -1: none) as page texts with mean confidence."""
-    kept = words.filter("confidence >= 0 and trim(word) <> ''")
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "word"))), lambda x: x["word"]), " ")
-    return kept.groupBy("doc", "page").agg(text.alias("text"), (F.avg("confidence") / 100).alias("confidence"))
+    """OCR words (doc, page, place, word, confidence 0 to 100, -1: none) as page texts with mean confidence.
+
+    Words may come a page a row, too: doc, page, words (an array of place, word, confidence); nothing is shuffled then.
+    """
+    if "words" not in words.columns:
+        words = words.filter("confidence >= 0 and trim(word) <> ''").groupBy("doc", "page").agg(F.collect_list(F.struct("place", "word", "confidence")).alias("words"))
+    kept = words.select("doc", "page", F.array_sort(F.filter("words", lambda x: (x["confidence"] >= 0) & (F.trim(x["word"]) != ""))).alias("kept")).filter(F.size("kept") > 0)
+    total = F.aggregate("kept", F.lit(0.0), lambda s, x: s + x["confidence"])
+    return kept.select("doc", "page", F.array_join(F.transform("kept", lambda x: x["word"]), " ").alias("text"), (total / F.size("kept") / 100).alias("confidence"))
 
 
 def merge_ocr(native: Column, ocr: Column, more: float = 1.2) -> Column:
@@ -186,17 +191,38 @@ def columns_of_page(blocks: DataFrame, gap: float = 0.10, full: float = 0.75, mo
     return ranked.filter(F.col("column_no") <= most).select("doc", "page", "column_no", "left", "right", ((F.col("left") + F.col("right")) / 2).alias("middle"))
 
 
-def reading_order(blocks: DataFrame, columns: DataFrame, full: float = 0.75) -> DataFrame:
-    """Full-width blocks first from the top, then column by column; a block is in the column with the nearest middle."""
+def reading_order(blocks: DataFrame, columns: DataFrame | None = None, full: float = 0.75) -> DataFrame:
+    """Full-width blocks first from the top, then column by column; a block is in the column with the nearest middle.
+
+    columns: as columns_of_page gives them; without, they are found on the way, and the blocks are read once and not joined.
+    """
     middle = (F.col("x0") + F.col("x1")) / 2
-    cols = columns.groupBy("doc", "page").agg(F.collect_list(F.struct("column_no", "middle")).alias("cols"))
-    met = blocks.join(cols, ["doc", "page"], "left").withColumn("is_full", (F.col("x1") - F.col("x0")) >= full * F.col("width"))
+    if columns is None:
+        met = with_columns(blocks)
+    else:
+        met = blocks.join(columns.groupBy("doc", "page").agg(F.collect_list(F.struct("column_no", "middle")).alias("cols")), ["doc", "page"], "left")
+    met = met.withColumn("is_full", (F.col("x1") - F.col("x0")) >= full * F.col("width"))
     nearest = F.array_min(F.transform("cols", lambda c: F.struct(F.abs(c["middle"] - middle).alias("d"), c["column_no"].alias("column_no"))))["column_no"]
     placed = met.withColumn("column_no", F.when(F.col("is_full"), 0).otherwise(F.coalesce(nearest, F.lit(1)))).drop("cols")
     order = F.row_number().over(Window.partitionBy("doc", "page").orderBy(F.desc("is_full"), "column_no", "y0", "place"))
     return placed.withColumn("reading_order", order)
 
 
+def with_columns(blocks: DataFrame, gap: float = 0.10, full: float = 0.75, most: int = 3, least: int = 2) -> DataFrame:
+    """blocks with `cols`, the columns of their page (an array of column_no and middle), by windows alone; columns_of_page has the rules."""
+    narrow = F.coalesce((F.col("x1") - F.col("x0")) < full * F.col("width"), F.lit(False))
+    page, kind = Window.partitionBy("doc", "page"), Window.partitionBy("doc", "page", "__narrow")
+    by_x = kind.orderBy("x0", "place")
+    far = F.coalesce(((F.col("x0") - F.lag("x0").over(by_x)) > gap * F.col("width")).cast("int"), F.lit(0))
+    upto = by_x.rowsBetween(Window.unboundedPreceding, 0)
+    split = blocks.withColumn("__narrow", narrow).withColumn("__far", far).withColumn("__part", F.sum("__far").over(upto))
+    of_part = Window.partitionBy("doc", "page", "__narrow", "__part")
+    counted = split.withColumn("__n", F.count(F.lit(1)).over(of_part)).withColumn("__left", F.min("x0").over(of_part)).withColumn("__right", F.max("x1").over(of_part))
+    clusters = F.collect_set(F.when(F.col("__narrow") & (F.col("__n") >= least), F.struct("__left", "__right"))).over(page)
+    cols = F.transform(F.slice(F.array_sort(clusters), 1, most), lambda c, i: F.struct((i + 1).alias("column_no"), ((c["__left"] + c["__right"]) / 2).alias("middle")))
+    return counted.withColumn("cols", cols).drop("__narrow", "__far", "__part", "__n", "__left", "__right")
+
+
 def common_length(masks: dict[str, int], n: int, text: str) -> int:
     """Length of the longest common subsequence; masks: the places of each character in the other text, n: its length."""
     full = (1 << n) - 1
