@@ -142,7 +142,8 @@ def words_to_pages(words: DataFrame) -> DataFrame:
     """
     if "words" not in words.columns:
         words = words.filter("confidence >= 0 and trim(word) <> ''").groupBy("doc", "page").agg(F.collect_list(F.struct("place", "word", "confidence")).alias("words"))
-    kept = words.select("doc", "page", F.array_sort(F.filter("words", lambda x: (x["confidence"] >= 0) & (F.trim(x["word"]) != ""))).alias("kept")).filter(F.size("kept") > 0)
+    # What an explode gives isn't computed again where it is used.
+    kept = words.select("doc", "page", F.explode(F.array(F.array_sort(F.filter("words", lambda x: (x["confidence"] >= 0) & (F.trim(x["word"]) != ""))))).alias("kept")).filter(F.size("kept") > 0)
     total = F.aggregate("kept", F.lit(0.0), lambda s, x: s + x["confidence"])
     return kept.select("doc", "page", F.array_join(F.transform("kept", lambda x: x["word"]), " ").alias("text"), (total / F.size("kept") / 100).alias("confidence"))
 

@@ -214,7 +214,8 @@ def matrix_sentences(table: DataFrame, label: str, columns: list[str]) -> DataFr
 def free_text(cells: DataFrame, title: str | None = None) -> DataFrame:
     """Cells of a row joined by spaces, rows by blank lines. cells: as they are or packed."""
     values = F.filter(F.transform("cells", lambda c: F.coalesce(c["num"].cast("string"), F.trim(c["str"]))), lambda v: v.isNotNull() & (v != ""))
-    rows = packed(cells).select(*SHEET, "row", F.array_join(values, " ").alias("line")).filter("line <> ''")
+    # What an explode gives isn't computed again for the filter.
+    rows = packed(cells).select(*SHEET, "row", F.explode(F.array(F.array_join(values, " "))).alias("line")).filter("line <> ''")
     body = rows.groupBy(SHEET).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("row", "line"))), lambda x: x["line"]), "\n\n").alias("text"))
     return body if title is None else body.withColumn("text", F.concat(F.lit(title + "\n\n"), F.col("text")))
 
@@ -222,7 +223,7 @@ def free_text(cells: DataFrame, title: str | None = None) -> DataFrame:
 def pipe_text(cells: DataFrame) -> DataFrame:
     """A workbook as text: `## sheet` and its rows with cells joined by pipes; empty sheets are left out. cells: as they are or packed."""
     value = lambda c: F.coalesce(F.regexp_replace(c["num"].cast("string"), "\\.0$", ""), F.trim(c["str"]), F.lit(""))
-    rows = packed(cells).select(*SHEET, "row", F.transform("cells", value).alias("v")).filter(F.exists("v", lambda v: v != "")).withColumn("line", F.array_join("v", " | "))
+    rows = packed(cells).select(*SHEET, "row", F.explode(F.array(F.transform("cells", value))).alias("v")).filter(F.exists("v", lambda v: v != "")).withColumn("line", F.array_join("v", " | "))
     sheets = rows.groupBy(SHEET).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("row", "line"))), lambda x: x["line"]), "\n").alias("body"))
     parts = sheets.select("file", "sheet", F.concat(F.lit("## "), F.col("sheet"), F.lit("\n"), F.col("body")).alias("part"))
     return parts.groupBy("file").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("sheet", "part"))), lambda x: x["part"]), "\n\n").alias("text"))

@@ -3,6 +3,8 @@
 import difflib
 import random
 
+from pyspark.sql import functions as F
+
 from docloom.operators import pages
 
 
@@ -99,3 +101,33 @@ def test_tables_are_stitched_by_one_shuffle(spark):
     assert {(r["doc"], r["group_no"]): (r["pages"], r["rows"], r["n_tables"]) for r in stitched.collect()} == {(1, 1): ([1, 2], [["1"], ["2"]], 2), (1, 2): ([3, 4], [["3"]], 2), (1, 3): ([5, 6], [["4"], ["5"]], 2), (2, 1): ([1], None, 1)}
     plan = stitched._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" not in plan and "Window" not in plan and plan.count("ArrowEvalPython") == 1
+
+
+def test_packed_cells_give_what_cells_give(spark):
+    from docloom.operators import sheets
+
+    cells = [("f", "s", 1, 1, 1.0, None), ("f", "s", 1, 2, None, " a "), ("f", "s", 2, 1, None, "b"), ("f", "s", 3, 1, None, " "), ("g", "s", 1, 1, None, None)]
+    flat = spark.createDataFrame(cells, "file string, sheet string, row int, col int, num double, str string")
+    for frame in (flat, sheets.packed(flat)):
+        assert [tuple(r) for r in sheets.free_text(frame).collect()] == [("f", "s", "1.0 a\n\nb")]
+        assert [tuple(r) for r in sheets.pipe_text(frame).collect()] == [("f", "## s\n1 | a\nb")]
+        assert [tuple(r) for r in sheets.sheet_profile(frame).collect()] == [("f", "s", 3, 0.25, 2 / 3)]
+    lone = sheets.free_text(sheets.packed(flat).localCheckpoint())._jdf.queryExecution().optimizedPlan().toString()
+    assert lone.count("Aggregate") == 1
+
+
+def test_reading_order_finds_columns_on_the_way(spark):
+    rng = random.Random(2)
+    rows = [(d, 1, i, x, x + rng.choice([150.0, 500.0]), float(rng.randint(0, 5)), 600.0) for d in range(40) for i in range(rng.randint(1, 9)) for x in [rng.choice([0.0, 6.0, 200.0, 210.0, 400.0])]]
+    blocks = spark.createDataFrame(rows, "doc int, page int, place int, x0 double, x1 double, y0 double, width double")
+    shown = lambda frame: sorted(tuple(r) for r in frame.select("doc", "place", "column_no", "reading_order").collect())
+    one = pages.reading_order(blocks)
+    assert shown(one) == shown(pages.reading_order(blocks, pages.columns_of_page(blocks)))
+    assert "Join" not in one._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_words_of_a_page_in_one_row(spark):
+    words = [(1, 1, 0, "b", 50), (1, 1, 1, " ", 70), (1, 1, 2, "a", 100), (1, 1, 3, "c", -1), (1, 2, 0, "d", -1)]
+    flat = spark.createDataFrame(words, "doc int, page int, place int, word string, confidence int")
+    packed = flat.groupBy("doc", "page").agg(F.collect_list(F.struct("place", "word", "confidence")).alias("words"))
+    assert [tuple(r) for r in pages.words_to_pages(flat).collect()] == [tuple(r) for r in pages.words_to_pages(packed).collect()] == [(1, 1, "b a", 0.75)]
