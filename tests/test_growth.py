@@ -131,3 +131,12 @@ def test_words_of_a_page_in_one_row(spark):
     flat = spark.createDataFrame(words, "doc int, page int, place int, word string, confidence int")
     packed = flat.groupBy("doc", "page").agg(F.collect_list(F.struct("place", "word", "confidence")).alias("words"))
     assert [tuple(r) for r in pages.words_to_pages(flat).collect()] == [tuple(r) for r in pages.words_to_pages(packed).collect()] == [(1, 1, "b a", 0.75)]
+
+
+def test_xml_is_read_without_pandas(spark):
+    from docloom.sources import decode
+
+    rows = [(i, None if i == 5 else f"<a k='{i}'>t</a>" if i % 2 else "<a") for i in range(300)]
+    frame = spark.createDataFrame(rows, "i int, t string").coalesce(1).select("i", decode.xml_lines(F.col("t")).alias("x"))
+    assert {r["i"]: r["x"]["lines"] for r in frame.collect()} == {i: [] if i == 5 else [f"a [k={i}]: t"] if i % 2 else ["<a"] for i in range(300)}
+    assert decode.xml_lines.evalType != F.pandas_udf(lambda x: x, "string").evalType
