@@ -56,12 +56,6 @@ def column_consistency(cells: DataFrame) -> DataFrame:
     return tops.groupBy(SHEET).agg((F.sum("top") / F.sum("all")).alias("consistency"))
 
 
-def single_type_share(cells: DataFrame, keys: list[str]) -> DataFrame:
-    """Share of columns that hold one class only: a region's measure, unlike the sheet's."""
-    columns = classed(cells).filter("class <> 'empty'").groupBy(*keys, "col").agg(F.count_distinct("class").alias("kinds"))
-    return columns.groupBy(*keys).agg((F.count_if(F.col("kinds") == 1) / F.count(F.lit(1))).alias("single_type_share"))
-
-
 def data_bounds(cells: DataFrame) -> DataFrame:
     full = classed(cells).filter("class <> 'empty'")
     return full.groupBy(SHEET).agg(F.min("row").alias("row_0"), F.max("row").alias("row_1"), F.min("col").alias("col_0"), F.max("col").alias("col_1"))
@@ -119,35 +113,74 @@ def row_gaps(cells: DataFrame, axis: str = "row", least: int = 2) -> DataFrame:
     return lines.withColumn("before", before).filter(F.col(axis) - F.col("before") > least).select(*SHEET, (F.col("before") + 1).alias("start"), (F.col(axis) - F.col("before") - 1).alias("length"))
 
 
+def turns(window: int, heavy: float) -> Column:
+    """Whether the `window` rows before a row and those from it on differ in what they mostly hold. Rows with n (numbers) and all (cells with data)."""
+    by_row = Window.partitionBy(SHEET).orderBy("row")
+    share = lambda w: F.sum("n").over(w) / F.nullif(F.sum("all").over(w), F.lit(0))
+    above, below = share(by_row.rowsBetween(-window, -1)), share(by_row.rowsBetween(0, window - 1))
+    turn = ((above >= heavy) & (below <= 1 - heavy + 1e-12)) | ((above <= 1 - heavy + 1e-12) & (below >= heavy))
+    return F.coalesce(turn, F.lit(False))
+
+
 def format_transitions(cells: DataFrame, window: int = 5, heavy: float = 0.6) -> DataFrame:
     """Rows where `window` rows mostly of numbers meet as many mostly of text, or the other way round."""
     rows = classed(cells).groupBy(*SHEET, "row").agg(F.count_if(F.col("class") == "numeric").alias("n"), F.count_if(F.col("class") != "empty").alias("all"))
-    by_row = Window.partitionBy(SHEET).orderBy("row")
-    before, after = by_row.rowsBetween(-window, -1), by_row.rowsBetween(0, window - 1)
-    share = lambda w: F.sum("n").over(w) / F.nullif(F.sum("all").over(w), F.lit(0))
-    both = rows.select(*SHEET, "row", share(before).alias("above"), share(after).alias("below"))
-    turn = ((F.col("above") >= heavy) & (F.col("below") <= 1 - heavy + 1e-12)) | ((F.col("above") <= 1 - heavy + 1e-12) & (F.col("below") >= heavy))
-    return both.filter(turn)
+    return rows.withColumn("turn", turns(window, heavy)).filter("turn").select(*SHEET, "row")
 
 
-def boundaries(gaps: DataFrame, transitions: DataFrame) -> DataFrame:
+def row_kinds(cells: DataFrame) -> DataFrame:
+    """A row's columns of numbers and of texts, and how many cells hold a number (n) or anything (all). cells: as they are or packed."""
+    if "cells" in cells.columns:
+        of = lambda kind: F.transform(F.filter("cells", lambda c: cell_class(c["num"], c["str"]) == kind), lambda c: c["col"]).alias(kind)
+        # A file's rows meet here, and nothing after this is shuffled again (by file alone: a constant sheet wouldn't count as a key).
+        rows = cells.select(*SHEET, "row", of("numeric"), of("text")).repartition("file")
+        n, full = F.sum(F.size("numeric")), F.sum(F.size("numeric") + F.size("text"))
+        columns = [F.flatten(F.collect_list(kind)).alias(kind) for kind in ("numeric", "text")]
+    else:
+        rows = classed(cells)
+        n, full = F.count_if(F.col("class") == "numeric"), F.count_if(F.col("class") != "empty")
+        columns = [F.collect_list(F.when(F.col("class") == kind, F.col("col"))).alias(kind) for kind in ("numeric", "text")]
+    return rows.groupBy(*SHEET, "row").agg(n.alias("n"), full.alias("all"), *columns)
+
+
+def cut_rows(cells: DataFrame, window: int = 5, heavy: float = 0.6, least: int = 2) -> DataFrame:
+    """row_kinds with what cuts the sheet: gap (`least` or more rows without data lie between `before` and this one) and turn (format_transitions)."""
+    by_row = Window.partitionBy(SHEET).orderBy("row").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.last(F.when(F.col("all") > 0, F.col("row")), ignorenulls=True).over(by_row)
+    gap = F.coalesce((F.col("all") > 0) & (F.col("row") - F.col("before") > least), F.lit(False))
+    return row_kinds(cells).withColumn("before", before).withColumn("turn", turns(window, heavy)).withColumn("gap", gap)
+
+
+def boundaries(cells: DataFrame, window: int = 5, heavy: float = 0.6, least: int = 2) -> DataFrame:
     """Where a sheet is cut: starts of gaps and transitions, each once."""
-    return gaps.select(*SHEET, F.col("start").alias("row")).union(transitions.select(*SHEET, "row")).distinct()
+    at = F.array(F.when(F.col("gap"), F.col("before") + 1), F.when(F.col("turn"), F.col("row")))
+    return cut_rows(cells, window, heavy, least).select(*SHEET, F.explode(at).alias("row")).filter("row is not null").distinct()
 
 
-def regions(cells: DataFrame, cuts: DataFrame) -> DataFrame:
-    """Boxes between the cuts that hold data, numbered by sheet; a sheet without cuts is one region."""
-    full = classed(cells).filter("class <> 'empty'")
-    marks = full.select(*SHEET, "row", "col", F.lit(0).alias("cut")).unionByName(cuts.select(*SHEET, "row", F.lit(None).cast("int").alias("col"), F.lit(1).alias("cut")))
-    island = F.sum("cut").over(Window.partitionBy(SHEET).orderBy("row").rangeBetween(Window.unboundedPreceding, 0))
-    boxes = marks.withColumn("part", island).filter("cut = 0").groupBy(*SHEET, "part")
-    boxes = boxes.agg(F.min("row").alias("row_0"), (F.max("row") + 1).alias("row_1"), F.min("col").alias("col_0"), (F.max("col") + 1).alias("col_1"))
-    return boxes.withColumn("region", F.row_number().over(Window.partitionBy(SHEET).orderBy("part"))).drop("part")
+def region_rows(cells: DataFrame, window: int = 5, heavy: float = 0.6, least: int = 2) -> DataFrame:
+    """Rows with data and the part of the sheet they lie in: as many as cuts come before; a sheet without cuts is one."""
+    upto = Window.partitionBy(SHEET).orderBy("row").rowsBetween(Window.unboundedPreceding, 0)
+    part = F.sum((F.col("gap") | F.col("turn")).cast("int")).over(upto)
+    return cut_rows(cells, window, heavy, least).withColumn("part", part).filter("all > 0").select(*SHEET, "row", "part", "numeric", "text")
+
+
+def numbered(parts: DataFrame) -> DataFrame:
+    return parts.withColumn("region", F.row_number().over(Window.partitionBy(SHEET).orderBy("part"))).drop("part")
+
+
+def regions(rows: DataFrame) -> DataFrame:
+    """Boxes between the cuts that hold data, numbered by sheet. rows: of region_rows."""
+    edge = lambda pick, of: pick(of("numeric"), of("text"))
+    boxes = rows.groupBy(*SHEET, "part").agg(F.min("row").alias("row_0"), (F.max("row") + 1).alias("row_1"), F.min(edge(F.least, F.array_min)).alias("col_0"), (F.max(edge(F.greatest, F.array_max)) + 1).alias("col_1"))
+    return numbered(boxes)
 
 
-def cells_of_regions(cells: DataFrame, boxes: DataFrame) -> DataFrame:
-    inside = (F.col("row") >= F.col("row_0")) & (F.col("row") < F.col("row_1")) & (F.col("col") >= F.col("col_0")) & (F.col("col") < F.col("col_1"))
-    return cells.join(boxes, SHEET).filter(inside).drop("row_0", "row_1", "col_0", "col_1")
+def single_type_share(rows: DataFrame) -> DataFrame:
+    """Share of a region's columns that hold one class only: a region's measure, unlike the sheet's. rows: of region_rows."""
+    columns = rows.groupBy(*SHEET, "part").agg(*(F.array_distinct(F.flatten(F.collect_list(kind))).alias(kind) for kind in ("numeric", "text")))
+    counts = columns.select(*SHEET, "part", (F.size("numeric") + F.size("text")).alias("kinds"), F.size(F.array_intersect("numeric", "text")).alias("mixed"))
+    # A mixed column counts as two kinds.
+    return numbered(counts.select(*SHEET, "part", ((F.col("kinds") - 2 * F.col("mixed")) / (F.col("kinds") - F.col("mixed"))).alias("single_type_share")))
 
 
 def merged_values(cells: DataFrame, merges: DataFrame) -> DataFrame:

@@ -47,14 +47,12 @@ GRID = """g0 AS (SELECT doc_id AS file, 'text' AS sheet, row + 3 * ((row - 1) //
 def grid_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A row per line of a document with its words as cells."""
     lines = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("file"), F.lit("text").alias("sheet"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    rows = lines.select("file", "sheet", F.expr("line_no + 1 + 3 * (line_no div 4)").cast("int").alias("row"), "line")
-
-    def cell(w, at):
-        col = at + 1 + F.when(at >= 12, 3).otherwise(0)
-        number = (F.col("row") % 3 == 0) & (col % 2 == 0)
-        return F.struct(col.alias("col"), F.when(number, F.length(w).cast("double")).alias("num"), F.when(~number, w).alias("str"))
-
-    return rows.select("file", "sheet", "row", F.transform(F.split("line", " "), cell).alias("cells"))
+    rows = lines.select("file", "sheet", F.expr("line_no + 1 + 3 * (line_no div 4)").cast("int").alias("row"), F.split("line", " ").alias("words"))
+    col = lambda at: at + F.when(at < 12, 1).otherwise(4)
+    number = lambda at: (F.col("row") % 3 == 0) & (col(at) % 2 == 0)
+    # Arrays of plain values, zipped: structs made by a lambda take three times as long.
+    fields = {"col": lambda w, at: col(at), "num": lambda w, at: F.when(number(at), F.length(w).cast("double")), "str": lambda w, at: F.when(~number(at), w)}
+    return rows.select("file", "sheet", "row", F.arrays_zip(*(F.transform("words", of).alias(name) for name, of in fields.items())).alias("cells"))
 
 
 def grid(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -180,29 +178,22 @@ REGIONS = f"""{GRID}, gap AS (SELECT file, sheet, before + 1 AS row FROM (SELECT
   box AS (SELECT file, sheet, part, min(row) AS row_0, max(row) + 1 AS row_1, min(col) AS col_0, max(col) + 1 AS col_1 FROM part GROUP BY ALL)"""
 
 
-def region_boxes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    g = grid(spark, sf_dir)
-    cuts = sheets.boundaries(sheets.row_gaps(g), sheets.format_transitions(g, 1))
-    return g, sheets.regions(g, cuts)
-
-
 @query(f"WITH {REGIONS} SELECT file, sheet, row_number() OVER (PARTITION BY file, sheet ORDER BY part)::INTEGER AS region, row_0::INTEGER AS row_0, row_1::INTEGER AS row_1, col_0::INTEGER AS col_0, col_1::INTEGER AS col_1 FROM box")
 def w7_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return region_boxes(spark, sf_dir)[1].select("file", "sheet", "region", "row_0", "row_1", "col_0", "col_1")
+    return sheets.regions(sheets.region_rows(grid_rows(spark, sf_dir), 1)).select("file", "sheet", "region", "row_0", "row_1", "col_0", "col_1")
 
 
 @query(f"WITH {REGIONS} SELECT DISTINCT file, sheet, row::INTEGER AS row FROM cut")
 def u1_boundary_union(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = grid(spark, sf_dir)
-    return sheets.boundaries(sheets.row_gaps(g), sheets.format_transitions(g, 1))
+    return sheets.boundaries(grid_rows(spark, sf_dir), 1)
 
 
 @query(f"""WITH {REGIONS}, num AS (SELECT *, row_number() OVER (PARTITION BY file, sheet ORDER BY part) AS region FROM box),
   k AS (SELECT c.file, c.sheet, region, col, count(DISTINCT class) AS kinds FROM c JOIN num ON c.file = num.file AND c.sheet = num.sheet AND row >= row_0 AND row < row_1 AND col >= col_0 AND col < col_1 WHERE class <> 'empty' GROUP BY ALL)
   SELECT file, sheet, region::INTEGER AS region, round(count_if(kinds = 1) / count(*), 9) AS single_type_share FROM k GROUP BY ALL""")
 def c12_region_consistency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g, boxes = region_boxes(spark, sf_dir)
-    found = sheets.single_type_share(sheets.cells_of_regions(g, boxes), ["file", "sheet", "region"])
+    # As the SQL's join by file, this leaves out cells without one.
+    found = sheets.single_type_share(sheets.region_rows(grid_rows(spark, sf_dir).filter("file is not null"), 1))
     return found.select("file", "sheet", "region", F.round("single_type_share", 9).alias("single_type_share"))
 
 

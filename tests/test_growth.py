@@ -140,3 +140,47 @@ def test_xml_is_read_without_pandas(spark):
     frame = spark.createDataFrame(rows, "i int, t string").coalesce(1).select("i", decode.xml_lines(F.col("t")).alias("x"))
     assert {r["i"]: r["x"]["lines"] for r in frame.collect()} == {i: [] if i == 5 else [f"a [k={i}]: t"] if i % 2 else ["<a"] for i in range(300)}
     assert decode.xml_lines.evalType != F.pandas_udf(lambda x: x, "string").evalType
+
+
+def test_regions_of_a_sheet_come_of_one_pass(spark, sf_dir):
+    from docloom.operators import sheets
+    from docloom.plans import registry
+
+    rng = random.Random(4)
+    kinds = {"n": (1.0, None), "t": (None, "x"), "e": (None, " ")}
+    full = [(f, "s", r, c, rng.choice("e" if r % 5 > f % 3 + 1 else ("nnne", "ttte", "nte")[r // 7 % 3])) for f in range(12) for r in range(1, 60) if rng.random() < 0.8 for c in range(1, rng.randint(2, 5))]
+    full += [("none", "s", 1, 1, "e"), *((11, "z", r, 1, "n") for r in (1, 2))]
+    full = [(str(f), *rest) for f, *rest in full]
+    flat = spark.createDataFrame([(f, s, r, c, *kinds[k]) for f, s, r, c, k in full], "file string, sheet string, row int, col int, num double, str string").localCheckpoint()
+    # A sheet's row may lie in two rows of the frame.
+    halves = flat.groupBy("file", "sheet", "row", F.expr("row % 4 = 0 and col % 2 = 0")).agg(F.array_sort(F.collect_list(F.struct("col", "num", "str"))).alias("cells")).select("file", "sheet", "row", "cells")
+    for window in (1, 3):
+        cuts, boxes, shares = set(), {}, {}
+        for key in {x[:2] for x in full}:
+            own = [x for x in full if x[:2] == key]
+            at = sorted({x[2] for x in own})
+            count = lambda rows, classes: sum(x[4] in classes for x in own if x[2] in rows)  # noqa: B023, E731
+            having = [r for r in at if count([r], "nt")]
+            its = {a + 1 for a, b in zip(having, having[1:]) if b - a > 2}
+            for i, r in enumerate(at):
+                sides = [at[max(0, i - window) : i], at[i : i + window]]
+                if all(count(side, "nt") for side in sides):
+                    above, below = (count(side, "n") / count(side, "nt") for side in sides)
+                    if max(above, below) >= 0.6 and min(above, below) <= 0.4 + 1e-12:
+                        its.add(r)
+            cuts |= {(*key, r) for r in its}
+            parts = sorted({sum(c <= r for c in its) for r in having})
+            for n, part in enumerate(parts, 1):
+                inside = [x for x in own if x[4] != "e" and sum(c <= x[2] for c in its) == part]
+                rows, cols = [x[2] for x in inside], {x[3] for x in inside}
+                boxes[*key, n] = (min(rows), max(rows) + 1, min(cols), max(cols) + 1)
+                shares[*key, n] = sum(len({x[4] for x in inside if x[3] == c}) == 1 for c in cols) / len(cols)
+        assert len(shares) > 60 and len(set(shares.values())) > 2
+        for frame in (flat, halves):
+            rows = sheets.region_rows(frame, window)
+            assert sorted(tuple(r) for r in sheets.boundaries(frame, window).collect()) == sorted(cuts)
+            assert {(r["file"], r["sheet"], r["region"]): (r["row_0"], r["row_1"], r["col_0"], r["col_1"]) for r in sheets.regions(rows).collect()} == boxes
+            assert {(r["file"], r["sheet"], r["region"]): r["single_type_share"] for r in sheets.single_type_share(rows).collect()} == shares
+    for name in ("c12_region_consistency", "w7_regions", "u1_boundary_union"):
+        plan = registry.queries()[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("FileScan") == 1 and plan.count("Exchange") == 1 and "Join" not in plan
